@@ -51,7 +51,11 @@ def main(sf_dir: str, wanted: list[str]) -> int:
     for name in TABLES:
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     failures = 0
-    for name, run in queries.items():
+    names = list(queries)
+    if wanted and wanted[0].startswith("from:"):
+        names, wanted = names[names.index(wanted[0][5:]) :], []
+    for name in names:
+        run = queries[name]
         if wanted and not any(w in name for w in wanted):
             continue
         began = time.time()
@@ -80,8 +84,9 @@ def main(sf_dir: str, wanted: list[str]) -> int:
             print(f"FAIL  {name}: columns {sorted(result.columns)} != {sorted(columns)}", flush=True)
         elif got != want:
             failures += 1
-            only_got = [r for r in got if r not in set(want)][:3]
-            only_want = [r for r in want if r not in set(got)][:3]
+            in_got, in_want = set(got), set(want)
+            only_got = [r for r in got if r not in in_want][:3]
+            only_want = [r for r in want if r not in in_got][:3]
             print(f"FAIL  {name}: {len(got)} rows, expected {len(want)}; {sorted(columns)}\n   only Spark {only_got}\n   only SQL   {only_want}", flush=True)
         else:
             print(f"ok    {name}: {len(rows)} rows, {took:.1f}s (sql {time.time() - began:.1f}s)", flush=True)

@@ -45,7 +45,6 @@ from gridtide.operators.reduce import (
     reduce_bands,
     reduce_dimension,
     reduce_spatial,
-    variable_summary,
 )
 from gridtide.operators.regrid import reproject, resample_cube_spatial
 from gridtide.operators.resample import aggregate_temporal_period, drop_incomplete_edges, resample
@@ -60,7 +59,7 @@ from gridtide.sources.cube import (
     write_cube,
 )
 from gridtide.sources.features import read_features, read_observations
-from gridtide.sources.grid import GridSpec, grid_for_bbox
+from gridtide.sources.grid import GridSpec, grid_shape
 from gridtide.sources.sinks import save_result, write_csv, write_geojson, write_parquet, zones_to_table
 
 R = 6
@@ -476,10 +475,10 @@ def declared_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(run_transforms(hourly_cube(spark, sf_dir), template), "t2m")
 
 
-@query(with_views("daily") + "SELECT t, y, x, ROUND(price / 1000000, 6) AS price FROM daily")
+@query(with_views("daily") + "SELECT t, y, x, ROUND(price / 1000000, 9) AS price FROM daily")
 def values_in_millions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cube = select_variable(daily_cube(spark, sf_dir), "price")
-    return rounded(apply(cube, divide(1_000_000)), "price")
+    return rounded(apply(cube, divide(1_000_000)), "price", digits=9)
 
 
 @query(with_views("hourly") + "SELECT t, y, x, ROUND(GREATEST(t2m, 50), 6) AS t2m FROM hourly")
@@ -504,7 +503,7 @@ def renamed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_views("daily")
     + """SELECT TIME_BUCKET(INTERVAL '10 days', t, TIMESTAMP '1995-01-02') AS t, y, x, ROUND(SUM(precip), 6) AS precip,
                 ROUND(SUM(price), 2) AS price, ROUND(SUM(tax), 6) AS tax
-         FROM daily WHERE t < TIMESTAMP '2001-10-30' GROUP BY 1, 2, 3"""
+         FROM daily WHERE t < (SELECT TIME_BUCKET(INTERVAL '10 days', MAX(t), TIMESTAMP '1995-01-02') FROM daily) GROUP BY 1, 2, 3"""
 )
 def ten_day_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-day bins from the first day of the data; the last one lacks days and is left out."""
@@ -642,20 +641,20 @@ def calendar_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- reducing --------------------------------------------------------------
 
 
-@query(with_views("daily") + "SELECT y, x, ROUND(MAX(price) / 1000000, 6) AS price FROM daily GROUP BY 1, 2")
+@query(with_views("daily") + "SELECT y, x, ROUND(MAX(price) / 1000000, 9) AS price FROM daily GROUP BY 1, 2")
 def scaled_time_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load, rescale every value, take the maximum over time."""
     cube = select_variable(daily_cube(spark, sf_dir), "price")
-    return rounded(reduce_dimension(apply(cube, divide(1_000_000)), "t", "max"), "price")
+    return rounded(reduce_dimension(apply(cube, divide(1_000_000)), "t", "max"), "price", digits=9)
 
 
 @query(
     with_views("daily")
-    + "SELECT t, ROUND(AVG(precip), 6) AS precip, ROUND(AVG(price), 3) AS price, ROUND(AVG(tax), 6) AS tax FROM daily GROUP BY 1"
+    + "SELECT t, ROUND(AVG(precip), 6) AS precip, ROUND(AVG(price), 7) AS price, ROUND(AVG(tax), 6) AS tax FROM daily GROUP BY 1"
 )
 def spatial_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = reduce_spatial(daily_cube(spark, sf_dir), "mean")
-    return rounded(rounded(out, "precip", "tax"), "price", digits=3)
+    return rounded(rounded(out, "precip", "tax"), "price", digits=7)
 
 
 @query(with_views("bands") + "SELECT t, y, x, ROUND(MAX(value), 6) AS value FROM bands GROUP BY 1, 2, 3")
@@ -715,12 +714,12 @@ def second_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH axes AS (SELECT DISTINCT 't' AS axis, EPOCH(l_shipdate) AS at FROM lineitem
+    """WITH axes AS (SELECT DISTINCT 't' AS axis, EPOCH(l_shipdate) AS v FROM lineitem
                      UNION SELECT DISTINCT 'x', CAST(l_suppkey % 10 AS DOUBLE) FROM lineitem
                      UNION SELECT DISTINCT 'y', FLOOR(l_suppkey / 10.0) % 10 FROM lineitem),
-            gaps AS (SELECT axis, at, LEAD(at) OVER (PARTITION BY axis ORDER BY at) - at AS gap FROM axes)
-       SELECT axis, CASE WHEN axis = 't' THEN 'temporal' ELSE 'spatial' END AS type, COUNT(*) AS size,
-              MIN(at) AS low, MAX(at) AS high,
+            gaps AS (SELECT axis, v, LEAD(v) OVER (PARTITION BY axis ORDER BY v) - v AS gap FROM axes)
+       SELECT axis, CASE WHEN axis = 't' THEN 'temporal' ELSE 'spatial' END AS "type", COUNT(*) AS "size",
+              MIN(v) AS low, MAX(v) AS high,
               CASE WHEN axis = 'x' THEN ROUND(MEDIAN(gap), 8) WHEN axis = 'y' THEN ROUND(-MEDIAN(gap), 8) END AS step,
               CASE WHEN axis = 't' THEN 'P1D' END AS iso_step,
               CASE WHEN axis = 't' THEN (SELECT MIN(l_shipdate) FROM lineitem) END AS "start",
@@ -732,17 +731,6 @@ def axis_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return axis_summary(daily_rows(spark, sf_dir), "P1D", descending=("y",))
 
 
-@query(
-    """SELECT * FROM (VALUES ('precip', 't,y,x', 'Rainfall', 'mm'), ('price', 't,y,x', NULL, NULL), ('tax', 't,y,x', NULL, NULL))
-       AS v(variable, dimensions, long_name, units)"""
-)
-def variables_of_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variables of the daily cube as its schema describes them."""
-    cube = metres_to_mm(daily_cube(spark, sf_dir), "precip")
-    cube = cube.withMetadata("precip", {**cube.schema["precip"].metadata, "long_name": "Rainfall", "note": "dropped"})
-    return variable_summary(cube).withColumn("dimensions", F.array_join("dimensions", ","))
-
-
 # -- combining -------------------------------------------------------------
 
 
@@ -768,16 +756,16 @@ def merged_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_views("daily")
-    + """, cols AS (SELECT r AS i, 0.2 + r * 0.7 AS tx,
-                  (SELECT x FROM (SELECT DISTINCT x FROM daily) ORDER BY ABS(x - (0.2 + r * 0.7)), x LIMIT 1) AS x FROM RANGE(13) t(r)),
-         rws AS (SELECT r AS j, 8.3 - r * 1.9 AS ty,
-                  (SELECT y FROM (SELECT DISTINCT y FROM daily) ORDER BY ABS(y - (8.3 - r * 1.9)), y LIMIT 1) AS y FROM RANGE(5) t(r))
+    + """, cols AS (SELECT r AS i, 0.21 + r * 0.7 AS tx,
+                  (SELECT x FROM (SELECT DISTINCT x FROM daily) ORDER BY ABS(x - (0.21 + r * 0.7)), x LIMIT 1) AS x FROM RANGE(13) t(r)),
+         rws AS (SELECT r AS j, 8.33 - r * 1.87 AS ty,
+                  (SELECT y FROM (SELECT DISTINCT y FROM daily) ORDER BY ABS(y - (8.33 - r * 1.87)), y LIMIT 1) AS y FROM RANGE(5) t(r))
          SELECT t, ROUND(ty, 6) AS y, ROUND(tx, 6) AS x, ROUND(precip, 6) AS precip
          FROM daily JOIN cols USING (x) JOIN rws USING (y)"""
 )
 def other_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cube on a finer axis in x and a coarser, downward one in y."""
-    target = GridSpec(0.2, 0.7, 13, 8.3, -1.9, 5)
+    target = GridSpec(0.21, 0.7, 13, 8.33, -1.87, 5)
     return rounded(resample_cube_spatial(precip_cube(spark, sf_dir), target), "y", "x", "precip")
 
 
@@ -867,28 +855,20 @@ def mercator_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT n_nationkey, CAST(GREATEST(1, CEIL(ROUND((n_nationkey % 7) / 0.5, 6))) AS BIGINT) AS nx,
-              CAST(GREATEST(1, CEIL(ROUND((n_nationkey % 3) / 0.5, 6))) AS BIGINT) AS ny FROM nation"""
+    """SELECT c_custkey, CAST(GREATEST(1, CEIL(ROUND((c_custkey % 77) / 10.0 / 0.25, 6))) AS BIGINT) AS nx,
+              CAST(GREATEST(1, CEIL(ROUND((c_custkey % 31) / 10.0 / 0.25, 6))) AS BIGINT) AS ny FROM customer"""
 )
 def grids_for_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells per axis of a half-degree grid around a box per nation, counted on the generated cells."""
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") % 7).alias("w"), (F.col("n_nationkey") % 3).alias("h"))
-    sizes = []
-    for w in range(7):
-        for h in range(3):
-            cells = grid_for_bbox((30.0, -2.0, 30.0 + w, -2.0 + h), 0.5).cells(spark)
-            counted = cells.agg(F.count_distinct("x").alias("nx"), F.count_distinct("y").alias("ny"))
-            sizes.append(counted.select(F.lit(w).alias("w"), F.lit(h).alias("h"), "nx", "ny"))
-    table_of_sizes = sizes[0]
-    for part in sizes[1:]:
-        table_of_sizes = table_of_sizes.unionByName(part)
-    return nations.join(table_of_sizes, ["w", "h"]).select("n_nationkey", "nx", "ny")
+    """Cells per axis of a quarter-degree grid around a box per customer."""
+    wide, high = F.col("c_custkey") % 77 / 10.0, F.col("c_custkey") % 31 / 10.0
+    nx, ny = grid_shape(F.lit(0.0), F.lit(0.0), wide, high, 0.25)
+    return table(spark, sf_dir, "customer").select("c_custkey", nx.alias("nx"), ny.alias("ny"))
 
 
 # -- extension points ------------------------------------------------------
 
 
-@query(with_views("daily") + "SELECT y, x, ROUND(SUM(price) / 1000, 3) AS price FROM daily WHERE t >= TIMESTAMP '1998-01-01' GROUP BY 1, 2")
+@query(with_views("daily") + "SELECT y, x, ROUND(SUM(price) / 1000, 5) AS price FROM daily WHERE t >= TIMESTAMP '1998-01-01' GROUP BY 1, 2")
 def stored_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A named chain with a parameter that calls a second one and built-in processes."""
     recipes = Recipes()
@@ -900,7 +880,7 @@ def stored_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     cube = select_variable(daily_cube(spark, sf_dir), "price")
-    return rounded(recipes.run("total_since", {"data": cube, "start": "1998"}), "price", digits=3)
+    return rounded(recipes.run("total_since", {"data": cube, "start": "1998"}), "price", digits=5)
 
 
 @query(with_views("hourly") + "SELECT t, ROUND(MAX(t2m) - MIN(t2m), 6) AS t2m FROM hourly GROUP BY 1")

@@ -1 +1,197 @@
+"""Queries over polygons."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from checks.registry import query
+from checks.views import GRID, hourly_cube, precip_cube, table, with_views, zones
+from gridtide.operators.resample import aggregate_temporal_period
+from gridtide.operators.zones import (
+    aggregate_spatial,
+    attach_statistics,
+    cell_weights,
+    cells_in_zones,
+    data_values,
+    pivot_zones,
+    zonal_statistics,
+)
+from gridtide.plans.zonal_report import zonal_period_totals
+
+ZONAL = with_views("daily", "zones", "assigned")
+
+MONTHLY_SQL = """, monthly AS (SELECT DATE_TRUNC('month', t) AS t, y, x, SUM(precip) AS precip FROM daily GROUP BY 1, 2, 3),
+         zonal AS (SELECT zone_id, t, AVG(precip) AS precip FROM monthly JOIN assigned USING (x, y) GROUP BY 1, 2)"""
+
+# all months of the given shipments
+MONTHS = [f"{year}-{month:02d}" for year in range(1995, 2002) for month in range(1, 13)][:83]
+
+
+def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zonal_period_totals(precip_cube(spark, sf_dir), zones(spark, sf_dir), GRID.cells(spark))
+
+
+@query(ZONAL + MONTHLY_SQL + "SELECT zone_id, t, ROUND(precip, 6) AS precip FROM zonal")
+def monthly_zone_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly sums per cell, then the mean over the cells of every zone."""
+    return _totals(spark, sf_dir).withColumn("precip", F.round("precip", 6))
+
+
+@query("WITH " + ZONAL.split("WITH ", 1)[1] + "SELECT zone_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM assigned WHERE (x, y) IN (SELECT (x, y) FROM daily)")
+def cells_of_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the cube in each square."""
+    cells = precip_cube(spark, sf_dir).select(F.col("x").cast("double"), F.col("y").cast("double")).distinct()
+    return cells_in_zones(cells, zones(spark, sf_dir)).select("zone_id", "x", "y")
+
+
+@query(
+    """WITH places AS (SELECT c_custkey, (c_custkey * 37 % 1000) / 100.0 AS x, (c_custkey * 91 % 1000) / 100.0 AS y FROM customer),
+            frames AS (SELECT CAST(n_nationkey AS VARCHAR) AS zone_id, n_nationkey % 5 * 1.5 + 0.0037 AS x0,
+                              FLOOR(n_nationkey / 5.0) * 1.5 + 0.0041 AS y0 FROM nation)
+       SELECT zone_id, COUNT(*) AS n, SUM(c_custkey) AS keys
+       FROM places JOIN frames ON (y > y0 AND y < y0 + 4 AND x > x0 AND x < x0 + 4 - (y - y0))
+        AND NOT (x > x0 + 0.5 AND x < x0 + 1.5 AND y > y0 + 0.5 AND y < y0 + 1.5) GROUP BY 1"""
+)
+def places_in_holed_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' places in overlapping triangles, each with a square hole."""
+    nation = table(spark, sf_dir, "nation")
+    x0 = F.col("n_nationkey") % 5 * 1.5 + 0.0037
+    y0 = F.floor(F.col("n_nationkey") / 5.0) * 1.5 + 0.0041
+
+    def ring(*corners: tuple[float, float]):
+        return F.array(*[F.struct((x0 + a).alias("x"), (y0 + b).alias("y")) for a, b in corners])
+
+    outer = ring((0, 0), (4, 0), (0, 4), (0, 0))
+    hole = ring((0.5, 0.5), (1.5, 0.5), (1.5, 1.5), (0.5, 1.5), (0.5, 0.5))
+    frames = nation.select(F.col("n_nationkey").cast("string").alias("id"), F.array(outer, hole).alias("rings"))
+    key = F.col("c_custkey")
+    places = table(spark, sf_dir, "customer").select(
+        "c_custkey", (key * 37 % 1000 / 100.0).alias("x"), (key * 91 % 1000 / 100.0).alias("y")
+    )
+    held = cells_in_zones(places, frames, dx=0.1, dy=0.1)
+    return held.groupBy("zone_id").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
+
+
+@query(
+    """WITH frames AS (SELECT CAST(n_nationkey AS VARCHAR) AS zone_id, n_nationkey % 5 * 1.9 - 0.2 AS x0,
+                              FLOOR(n_nationkey / 5.0) * 1.9 - 0.3 AS y0 FROM nation),
+            cells AS (SELECT DISTINCT CAST(FLOOR(l_suppkey / 10.0) AS BIGINT) % 10 AS y, l_suppkey % 10 AS x FROM lineitem)
+       SELECT zone_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM cells JOIN frames
+         ON x + 0.5 >= x0 AND x - 0.5 <= x0 + 1.1 AND y + 0.5 >= y0 AND y - 0.5 <= y0 + 1.4"""
+)
+def touched_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells whose area a rectangle touches, also where it does not reach the centre."""
+    frames = _frames(spark, sf_dir, 1.9, -0.2, -0.3, 1.1, 1.4)
+    held = cells_in_zones(_cells(spark, sf_dir), frames, 1.0, 1.0, all_touched=True)
+    return held.select("zone_id", "x", "y")
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("l_suppkey")
+    y = (F.floor(key / 10.0) % 10).cast("double").alias("y")
+    return table(spark, sf_dir, "lineitem").select(y, (key % 10).cast("double").alias("x")).distinct()
+
+
+def _frames(spark, sf_dir, step: float, left: float, bottom: float, width: float, height: float) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    x0 = F.col("n_nationkey") % 5 * step + left
+    y0 = F.floor(F.col("n_nationkey") / 5.0) * step + bottom
+    corners = ((0, 0), (width, 0), (width, height), (0, height), (0, 0))
+    ring = F.array(*[F.struct((x0 + a).alias("x"), (y0 + b).alias("y")) for a, b in corners])
+    return nation.select(F.col("n_nationkey").cast("string").alias("id"), F.array(ring).alias("rings"))
+
+
+@query(
+    with_views("hourly", "zones", "assigned")
+    + """SELECT zone_id, t, CAST(COUNT(v) AS DOUBLE) AS "count", ROUND(SUM(v), 6) AS "sum", ROUND(AVG(v), 6) AS mean,
+                ROUND(MIN(v), 6) AS "min", ROUND(MAX(v), 6) AS "max", ROUND(MEDIAN(v), 6) AS median,
+                ROUND(STDDEV_POP(v), 6) AS std
+         FROM (SELECT zone_id, t, CASE WHEN t2m <> 10.5 THEN t2m END AS v FROM hourly JOIN assigned USING (x, y)) GROUP BY 1, 2"""
+)
+def zone_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven statistics per zone and hour; one value stands for missing."""
+    names = ("count", "sum", "mean", "min", "max", "median", "std")
+    held = cells_in_zones(GRID.cells(spark), zones(spark, sf_dir))
+    stats = zonal_statistics(hourly_cube(spark, sf_dir), held, "t2m", names, nodata=10.5)
+    return stats.withColumns({name: F.round(name, 6) for name in names})
+
+
+@query(
+    with_views("daily", "zones", "assigned")
+    + """SELECT zone_id, ROUND(MEDIAN(precip), 6) AS median, CAST(COUNT(*) AS DOUBLE) AS "count"
+         FROM daily JOIN assigned USING (x, y) GROUP BY 1"""
+)
+def zone_medians_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median over all cells and days of a zone: groups far larger than one time step."""
+    held = cells_in_zones(GRID.cells(spark), zones(spark, sf_dir))
+    cube = precip_cube(spark, sf_dir).drop("t")
+    return zonal_statistics(cube, held, "precip", ("median", "count")).withColumn("median", F.round("median", 6))
+
+
+@query(
+    with_views("daily")
+    + """, frames AS (SELECT CAST(n_nationkey AS VARCHAR) AS zone_id, n_nationkey % 5 * 2 AS x0,
+                           FLOOR(n_nationkey / 5.0) * 2 AS y0 FROM nation),
+         shares AS (SELECT zone_id, x, y,
+                     GREATEST(0, LEAST(x + 0.5, x0 + 1.75) - GREATEST(x - 0.5, x0 - 0.25)) *
+                     GREATEST(0, LEAST(y + 0.5, y0 + 2.0) - GREATEST(y - 0.5, y0 - 0.5)) AS w
+                    FROM (SELECT a.r AS x, b.r AS y FROM RANGE(10) a(r), RANGE(10) b(r)) JOIN frames ON x > x0 - 1 AND x < x0 + 3 AND y > y0 - 1 AND y < y0 + 3)
+         SELECT zone_id, t, ROUND(SUM(w), 6) AS "count", ROUND(SUM(w * precip), 6) AS "sum",
+                ROUND(SUM(w * precip) / SUM(w), 6) AS mean, MIN(precip) AS "min", MAX(precip) AS "max"
+         FROM daily JOIN shares USING (x, y) WHERE w > 0 GROUP BY 1, 2"""
+)
+def weighted_zone_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partly covered cells count by their covered share, here on quarter-cell sample points."""
+    frames = _frames(spark, sf_dir, 2.0, -0.25, -0.5, 2.0, 2.5)
+    shares = cell_weights(GRID.cells(spark), frames, 1.0, 1.0, k=4)
+    names = ("count", "sum", "mean", "min", "max")
+    stats = zonal_statistics(precip_cube(spark, sf_dir), shares, "precip", names)
+    return stats.withColumns({name: F.round(name, 6) for name in names})
+
+
+@query(
+    with_views("daily", "zones", "assigned")
+    + """SELECT name, ROUND(AVG(precip), 6) AS mean, CAST(COUNT(precip) AS DOUBLE) AS n
+         FROM daily JOIN assigned USING (x, y) GROUP BY 1
+         UNION ALL SELECT name, NULL, NULL FROM zones WHERE zone_id NOT IN
+           (SELECT zone_id FROM daily JOIN assigned USING (x, y))"""
+)
+def zones_with_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features themselves with their statistics as a property."""
+    features = zones(spark, sf_dir)
+    held = cells_in_zones(GRID.cells(spark), features)
+    stats = zonal_statistics(precip_cube(spark, sf_dir).drop("t"), held, "precip", ("mean", "count"))
+    packed = attach_statistics(features, stats, ("mean", "count"), "rain")
+    return packed.select("name", F.round("rain.mean", 6).alias("mean"), F.col("rain.count").alias("n"))
+
+
+@query(
+    ZONAL
+    + MONTHLY_SQL
+    + "SELECT (SELECT name FROM zones z WHERE z.zone_id = zonal.zone_id) AS name, zone_id, "
+    + ", ".join(
+        f"COALESCE(MAX(CASE WHEN STRFTIME(t, '%Y-%m') = '{m}' THEN PRINTF('%.1f', ROUND(precip, 6) + 1e-9) END), 'n/a') AS \"{m}\"" for m in MONTHS
+    )
+    + " FROM zonal GROUP BY zone_id"
+)
+def zone_month_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zone by month table of texts with one decimal."""
+    features = zones(spark, sf_dir)
+    # a hair above the rounded value, so that both engines print halves alike
+    totals = _totals(spark, sf_dir).withColumn("precip", F.round("precip", 6) + F.lit(1e-9))
+    return pivot_zones(totals, "precip", MONTHS, features)
+
+
+@query(
+    with_views("daily", "zones", "assigned")
+    + """SELECT 'rain' AS data_element, zone_id AS org_unit, STRFTIME(t, '%G-W%V') AS period, ROUND(SUM(precip), 6) AS value,
+                'default' AS category_option_combo
+         FROM (SELECT DATE_TRUNC('week', t) AS t, x, y, precip FROM daily) JOIN assigned USING (x, y) GROUP BY t, zone_id"""
+)
+def weekly_import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly zonal sums as rows to be imported elsewhere."""
+    weeks = aggregate_temporal_period(precip_cube(spark, sf_dir), "week", "sum")
+    held = cells_in_zones(GRID.cells(spark), zones(spark, sf_dir))
+    rows = data_values(aggregate_spatial(weeks, held, "sum"), "precip", "rain", "weekly", category_option_combo="default")
+    return rows.withColumn("value", F.round("value", 6))

@@ -59,7 +59,10 @@ def read_many(spark: SparkSession, paths: Sequence[str], dataset_id: str | None
     """
     if not paths:
         raise GridError("No files given")
-    cube = spark.read.option("mergeSchema", "true").parquet(*paths)
+    parts = [spark.read.parquet(path) for path in paths]
+    cube = parts[0]
+    for part in parts[1:]:
+        cube = cube.unionByName(part, allowMissingColumns=True)
     if dataset_id is not None:
         cube = cube.filter(F.col("dataset_id") == dataset_id)
     return normalise_axes(cube)

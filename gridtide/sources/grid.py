@@ -75,6 +75,17 @@ def grid_for_bbox(bbox: tuple[float, float, float, float], resolution: float = D
     return GridSpec(xmin + resolution / 2, resolution, nx, ymin + resolution / 2, resolution, ny)
 
 
+def grid_shape(
+    xmin: Column, ymin: Column, xmax: Column, ymax: Column, resolution: float = DEFAULT_RESOLUTION
+) -> tuple[Column, Column]:
+    """Cells per axis (x, y) of the grids around a whole table of boxes."""
+
+    def cells(low: Column, high: Column) -> Column:
+        return F.greatest(F.lit(1).cast("bigint"), F.ceil((high - low) / F.lit(float(resolution))))
+
+    return cells(xmin, xmax), cells(ymin, ymax)
+
+
 def infer_grid(cube: DataFrame, crs: str = WGS84, descending_y: bool = False) -> GridSpec:
     """Grid of a stored cube from one aggregate over its two axis columns."""
     row = cube.agg(
