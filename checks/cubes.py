@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.registry import query
 from checks.views import (
-    ASSIGNED_SQL,
     GRID,
     band_cube,
     daily_cube,
@@ -17,8 +14,8 @@ from checks.views import (
     daily_times,
     hourly_cube,
     hourly_times,
+    on_grid,
     precip_cube,
-    sql_period,
     table,
     with_views,
     zones,
@@ -69,7 +66,7 @@ def rounded(df: DataFrame, *names: str, digits: int = R) -> DataFrame:
     return df.withColumns({name: F.round(name, digits) for name in names})
 
 
-def time(text: str):
+def time(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
@@ -668,28 +665,22 @@ def column_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT CAST(l_linenumber AS BIGINT) AS line, COUNT(*) > 0 AS has_data, STRFTIME(MIN(l_shipdate), '%G-W%V') AS "start",
+    """SELECT CAST(1 AS BIGINT) AS line, COUNT(*) > 0 AS has_data, STRFTIME(MIN(l_shipdate), '%G-W%V') AS "start",
               STRFTIME(MAX(l_shipdate), '%G-W%V') AS "end", CAST(MIN(l_suppkey % 10) AS DOUBLE) AS xmin,
               CAST(MIN(FLOOR(l_suppkey / 10.0) % 10) AS DOUBLE) AS ymin, CAST(MAX(l_suppkey % 10) AS DOUBLE) AS xmax,
               CAST(MAX(FLOOR(l_suppkey / 10.0) % 10) AS DOUBLE) AS ymax
-       FROM lineitem WHERE l_linenumber = 1 GROUP BY 1
+       FROM lineitem
        UNION ALL SELECT -1, FALSE, NULL, NULL, NULL, NULL, NULL, NULL"""
 )
 def cube_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of the first line numbers, and of a cube without any row."""
+    """Coverage of all shipments, and of a cube without any row."""
     items = table(spark, sf_dir, "lineitem")
-    cube = items.select(F.col("l_shipdate").alias("t"), *on_grid_columns(), "l_linenumber")
-    full = coverage(cube.filter(F.col("l_linenumber") == 1), "weekly").withColumn("line", F.lit(1).cast("bigint"))
+    cube = items.select(F.col("l_shipdate").alias("t"), *on_grid("l_suppkey"), "l_linenumber")
+    full = coverage(cube, "weekly").withColumn("line", F.lit(1).cast("bigint"))
     none = coverage(cube.filter(F.col("l_linenumber") < 0), "weekly").withColumn("line", F.lit(-1).cast("bigint"))
     return full.unionByName(none).drop("spatial_wgs84")
 
 
-def on_grid_columns():
-    from checks.views import on_grid
-
-    return on_grid("l_suppkey")
-
-
 @query(
     with_views("daily")
     + """SELECT t, CAST(FLOOR(y / 2.0) AS BIGINT) * 2 + 0.5 AS y, CAST(FLOOR(x / 2.0) AS BIGINT) * 2 + 0.5 AS x,

@@ -1 +1,234 @@
+"""Queries that append, stream, rebuild and sync."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from checks.registry import query
+from checks.views import daily_times, hourly_cube, now, on_grid, precip_cube, table, with_views
+from gridtide.functions.periods import period_id
+from gridtide.operators import catalog as c
+from gridtide.operators.combine import find_gaps, pending_periods
+from gridtide.operators.reduce import coverage
+from gridtide.plans.derived import artifact_row, materialize_resampled
+from gridtide.plans.sync import APPEND, REMATERIALIZE, TEMPLATE_SCHEMA, plan_sync, run_sync
+from gridtide.session import scratch_path
+from gridtide.streaming.append import append_missing, rematerialize, stream_append
+from gridtide.streaming.resample import stream_resample
+from gridtide.streaming.store import PeriodStore
+
+TEMPLATE = {"id": "temperature", "variable": "t2m", "transforms": ["kelvin_to_celsius"]}
+CELSIUS_SQL = with_views("hourly") + "SELECT t, y, x, ROUND(t2m - 273.15, 6) AS t2m FROM hourly"
+
+
+def rounded(cube: DataFrame, name: str) -> DataFrame:
+    return cube.withColumn(name, F.round(name, 6))
+
+
+@query(
+    """WITH days AS (SELECT UNNEST(GENERATE_SERIES((SELECT MIN(l_shipdate) FROM lineitem), (SELECT MAX(l_shipdate) FROM lineitem),
+                     INTERVAL 1 DAY)) AS t)
+       SELECT STRFTIME(t, '%Y-%m-%d') AS period_id FROM days WHERE t NOT IN (SELECT DATE_TRUNC('day', o_orderdate) FROM orders)"""
+)
+def days_to_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of the shipments that no order was placed on."""
+    bounds = daily_times(spark, sf_dir).agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    wanted = bounds.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 DAY"))).alias("t"))
+    stored = table(spark, sf_dir, "orders").select(period_id("o_orderdate", "daily").alias("period_id")).distinct()
+    return pending_periods(wanted.select(period_id("t", "daily").alias("period_id")), stored)
+
+
+@query(
+    """WITH days AS (SELECT UNNEST(GENERATE_SERIES((SELECT MIN(o_orderdate) FROM orders), (SELECT MAX(o_orderdate) FROM orders),
+                     INTERVAL 1 DAY)) AS t)
+       SELECT t, STRFTIME(t, '%Y-%m-%d') AS period_id FROM days WHERE t NOT IN (SELECT o_orderdate FROM orders)"""
+)
+def days_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_gaps(table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("t")), "daily")
+
+
+@query(CELSIUS_SQL)
+def appended_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten days in the middle are stored first; then all missing hours, before and behind; then nothing."""
+    cube = hourly_cube(spark, sf_dir)
+    store = PeriodStore(spark, scratch_path(spark, "hours"), "hourly")
+    source = _any_shape(cube)
+    append_missing(source, store, TEMPLATE, "2024-01-10T00", "2024-01-19T23")
+    append_missing(source, store, TEMPLATE, "2024-01-01T00", "2024-01-31T23")
+    append_missing(source, store, TEMPLATE, "2024-01-01T00", "2024-01-31T23")
+    return rounded(_only_cells(store.read()), "t2m").select("t", "y", "x", "t2m")
+
+
+def _any_shape(cube: DataFrame) -> DataFrame:
+    """Sparse hours made dense over the ten by ten grid, since a store wants one shape."""
+    hours = cube.select("t").distinct()
+    every = hours.select("t", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("n"))
+    cells = every.select("t", F.floor(F.col("n") / 10).cast("bigint").alias("y"), (F.col("n") % 10).cast("bigint").alias("x"))
+    return cells.join(cube, ["t", "y", "x"], "left")
+
+
+def _only_cells(cube: DataFrame) -> DataFrame:
+    return cube.filter(F.col("t2m").isNotNull())
+
+
+@query(
+    """SELECT STRFTIME(l_shipdate, '%Y-%m') AS period_id, COUNT(DISTINCT CAST(FLOOR(l_suppkey / 10.0) AS BIGINT) % 10) AS ny,
+              COUNT(DISTINCT l_suppkey % 10) AS nx, COUNT(*) AS cells FROM lineitem GROUP BY 1"""
+)
+def period_shapes_of_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridtide.streaming.store import period_shapes
+
+    items = table(spark, sf_dir, "lineitem")
+    rows = items.select(period_id("l_shipdate", "monthly").alias("period_id"), *on_grid("l_suppkey"))
+    return period_shapes(rows).drop("cell_hash")
+
+
+@query("SELECT DISTINCT STRFTIME(l_shipdate, '%G-W%V') AS period_id FROM lineitem")
+def stored_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods a store knows of, after a rebuild by week."""
+    store = PeriodStore(spark, scratch_path(spark, "weeks"), "weekly")
+    rematerialize(_one_cell(precip_cube(spark, sf_dir)), store, {"variable": "precip"}, "1990-W01", "2010-W52")
+    return store.committed_periods()
+
+
+def _one_cell(cube: DataFrame) -> DataFrame:
+    """Totals per time as a cube of a single cell."""
+    one = cube.groupBy("t").agg(F.sum("precip").alias("precip"))
+    return one.select("t", F.lit(0).cast("bigint").alias("y"), F.lit(0).cast("bigint").alias("x"), "precip")
+
+
+@query(CELSIUS_SQL)
+def streamed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One landed folder per day streamed into a store that already holds two days; run twice."""
+    landing, path = scratch_path(spark, "landing"), scratch_path(spark, "streamed")
+    dense = _any_shape(hourly_cube(spark, sf_dir))
+    dense.repartition(F.to_date("t")).write.parquet(landing)
+    store = PeriodStore(spark, path, "hourly")
+    append_missing(dense, store, TEMPLATE, "2024-01-05T00", "2024-01-06T23")
+    for _ in range(2):
+        stream, _progress = stream_append(
+            spark, landing, dense.schema, store, TEMPLATE, scratch_path(spark, "stream-state")
+        )
+        stream.awaitTermination()
+    return rounded(_only_cells(store.read()), "t2m").select("t", "y", "x", "t2m")
+
+
+@query(
+    with_views("hourly")
+    + """SELECT TIME_BUCKET(INTERVAL '2 days', t, TIMESTAMP '2024-01-01') AS t, y, x, ROUND(SUM(t2m), 6) AS t2m FROM hourly
+         WHERE t < (SELECT TIME_BUCKET(INTERVAL '2 days', MAX(t), TIMESTAMP '2024-01-01') FROM hourly) GROUP BY 1, 2, 3"""
+)
+def streamed_two_day_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-day sums of a stream of hours; the bin the watermark has not passed stays out."""
+    landing, out = scratch_path(spark, "hours"), scratch_path(spark, "sums")
+    cube = hourly_cube(spark, sf_dir)
+    cube.repartition(1).write.parquet(landing)
+    rows = spark.readStream.schema(cube.schema).parquet(landing)
+    sums = stream_resample(rows, "2D", "sum", "2024-01-01", watermark="0 seconds")
+    stream = (
+        sums.writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", scratch_path(spark, "sums-state"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    stream.awaitTermination()
+    return rounded(spark.read.parquet(out), "t2m").select("t", "y", "x", "t2m")
+
+
+@query(
+    with_views("daily")
+    + """SELECT DATE_TRUNC('day', t) AS t, CAST(0 AS BIGINT) AS y, CAST(0 AS BIGINT) AS x, ROUND(SUM(precip), 6) AS precip
+         FROM daily WHERE t >= TIMESTAMP '1996-01-01' AND t < TIMESTAMP '2001-01-01' GROUP BY 1"""
+)
+def rebuilt_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store with wrong values for two years is rebuilt over five; the rebuild takes over as a whole."""
+    cube = _one_cell(precip_cube(spark, sf_dir))
+    store = PeriodStore(spark, scratch_path(spark, "rebuilt"), "daily")
+    wrong = cube.withColumn("precip", F.lit(-1.0))
+    rematerialize(wrong, store, {"variable": "precip"}, "1996-01-01", "1997-12-31")
+    rematerialize(cube, store, {"variable": "precip"}, "1996-01-01", "2000-12-31")
+    return rounded(store.read(), "precip").select("t", "y", "x", "precip")
+
+
+@query(
+    with_views("daily")
+    + """SELECT t, CAST(0 AS BIGINT) AS y, CAST(0 AS BIGINT) AS x, ROUND(SUM(precip), 6) AS precip, 'completed' AS status, 'append' AS action
+         FROM daily WHERE t >= TIMESTAMP '1995-01-02' AND t < TIMESTAMP '2001-08-01' GROUP BY 1"""
+)
+def synced_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recorded store is planned and brought up to the last complete month."""
+    cube = _one_cell(precip_cube(spark, sf_dir))
+    store = PeriodStore(spark, scratch_path(spark, "synced"), "daily")
+    template = {"id": "rain", "variable": "precip"}
+    append_missing(cube, store, template, "1995-01-02", "1998-12-31")
+    record = artifact_row(
+        spark,
+        coverage(store.read(), "daily"),
+        dataset_id="rain",
+        source_dataset_id=None,
+        name="Rain",
+        variable="precip",
+        period_type="daily",
+        fmt=c.LEDGER_FORMAT,
+        path=store.path,
+        start="1995-01-02",
+        end="1998-12-31",
+        bbox=None,
+        now=now(),
+    )
+    templates = spark.createDataFrame(
+        [("rain", "temporal", "append", "daily", ("complete_month", None, None, None, None, None, None)) + (None,) * 5
+         + ("P1D", None, None)],
+        TEMPLATE_SCHEMA,
+    )
+    periods = store.committed_periods().withColumn("dataset_id", F.lit("rain"))
+    asked = spark.createDataFrame([("rain", None)], "dataset_id string, requested_end string")
+    plan = plan_sync(record, templates, periods, asked, now())
+    outcome = run_sync(
+        plan,
+        {
+            APPEND: lambda row: append_missing(cube, store, template, row["delta_start"], row["delta_end"]),
+            REMATERIALIZE: lambda row: rematerialize(cube, store, template, row["current_start"], row["target_end"]),
+        },
+    )[0]
+    done = rounded(store.read(), "precip").select("t", "y", "x", "precip")
+    return done.withColumns({"status": F.lit(outcome["status"]), "action": F.lit(outcome["action"])})
+
+
+@query(
+    with_views("daily")
+    + """SELECT t, y, x, ROUND(precip, 6) AS precip, 'rain_ms_sum' AS dataset_id, '1995-01' AS scope_start, '2001-10' AS scope_end,
+                '1995-02' AS cov_start, 'published' AS status, CAST(1 AS BIGINT) AS records
+         FROM (SELECT DATE_TRUNC('month', t) AS t, y, x, SUM(precip) AS precip FROM daily GROUP BY 1, 2, 3)
+         WHERE t >= TIMESTAMP '1995-02-01' AND t < TIMESTAMP '2001-11-01'"""
+)
+def derived_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly sums as a dataset of their own: resampled, written, recorded and published."""
+    catalog = c.CatalogTable(spark, scratch_path(spark, "catalog"))
+    record = materialize_resampled(
+        spark,
+        catalog,
+        precip_cube(spark, sf_dir),
+        scratch_path(spark, "derived"),
+        source_dataset_id="rain",
+        source_period_type="daily",
+        variable="precip",
+        frequency="MS",
+        method="sum",
+        start="1995-01-01",
+        end="2001-12-31",
+        now=now(),
+    )
+    row = record.select(
+        "dataset_id",
+        "path",
+        F.col("request_scope.start").alias("scope_start"),
+        F.col("request_scope.end").alias("scope_end"),
+        F.col("coverage.temporal.start").alias("cov_start"),
+        "publication.status",
+    ).first()
+    notes = {name: F.lit(row[name]) for name in ("dataset_id", "scope_start", "scope_end", "cov_start", "status")}
+    cube = spark.read.parquet(row["path"]).select("t", "y", "x", F.round("precip", 6).alias("precip"))
+    return cube.withColumns({**notes, "records": F.lit(catalog.read().count())})

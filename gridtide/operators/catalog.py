@@ -82,12 +82,12 @@ def version_history(artifacts: DataFrame) -> DataFrame:
     The number is the count of the dataset's versions on later days plus the rank within the day,
     so no task has to order all versions of one dataset.
     """
-    day = F.to_date("created_at").alias("__day")
-    per_day = artifacts.groupBy("dataset_id", day).agg(F.count("*").alias("n"))
+    dated = artifacts.withColumn("__day", F.to_date("created_at"))
+    per_day = dated.groupBy("dataset_id", "__day").agg(F.count("*").alias("n"))
     later = Window.partitionBy("dataset_id").orderBy(F.col("__day").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_day.select("dataset_id", "__day", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("newer"))
     within = Window.partitionBy("dataset_id", "__day").orderBy(F.col("created_at").desc(), F.col("seq").asc())
-    ranked = artifacts.withColumns({"__day": day, "__rank": F.row_number().over(within)})
+    ranked = dated.withColumn("__rank", F.row_number().over(within))
     return ranked.join(offsets, ["dataset_id", "__day"]).select(
         "dataset_id",
         (F.col("newer") + F.col("__rank")).alias("version"),
@@ -302,7 +302,7 @@ def collection_metadata(
         )
     )
     # a dataset has three axes and a handful of variables, so these lists stay short
-    dimension = F.struct("axis", "type", "low", "high", "step", "iso_step")
+    dimension = F.struct("axis", "type", "size", "low", "high", "step", "iso_step")
     dimensions = axes.groupBy("dataset_id").agg(F.array_sort(F.collect_list(dimension)).alias("dimensions"))
     variable = F.struct(F.col("variable").alias("name"), "dimensions", "long_name", "units")
     bands = variables.groupBy("dataset_id").agg(F.array_sort(F.collect_list(variable)).alias("variables"))

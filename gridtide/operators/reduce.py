@@ -70,8 +70,10 @@ def coverage(cube: DataFrame, period_type: str, crs: str = WGS84) -> DataFrame:
     )
 
 
-def axis_summary(cube: DataFrame, iso_step: str | None = None, descending: Sequence[str] = ()) -> DataFrame:
-    """Extent, size and step of every axis.
+def axis_summary(
+    cube: DataFrame, iso_step: str | None = None, descending: Sequence[str] = (), by: Sequence[str] = ()
+) -> DataFrame:
+    """Extent, size and step of every axis, per ``by`` group.
 
     One pass collects the distinct values of all axes; only these, and never the cube, are ordered.
     The spatial step is the median gap, rounded and negative for an axis that runs downwards; the
@@ -84,11 +86,11 @@ def axis_summary(cube: DataFrame, iso_step: str | None = None, descending: Seque
         F.struct(F.lit("x").alias("axis"), F.col("x").cast("double").alias("at")),
         F.struct(F.lit("y").alias("axis"), F.col("y").cast("double").alias("at")),
     ]
-    values = cube.select(F.inline(F.array(*entries))).distinct()
-    gap = F.lead("at").over(Window.partitionBy("axis").orderBy("at")) - F.col("at")
+    values = cube.select(*by, F.inline(F.array(*entries))).distinct()
+    gap = F.lead("at").over(Window.partitionBy(*by, "axis").orderBy("at")) - F.col("at")
     sign = F.when(F.col("axis").isin(*descending), -1.0).otherwise(1.0) if descending else F.lit(1.0)
     temporal = F.col("axis") == "t"
-    measured = values.withColumn("gap", gap).groupBy("axis").agg(
+    measured = values.withColumn("gap", gap).groupBy(*by, "axis").agg(
         F.count("at").alias("size"),
         F.min("at").alias("low"),
         F.max("at").alias("high"),
@@ -99,6 +101,7 @@ def axis_summary(cube: DataFrame, iso_step: str | None = None, descending: Seque
         return F.when(temporal, F.timestamp_micros((F.col(name) * 1e6).cast("bigint")).cast("timestamp_ntz"))
 
     return measured.select(
+        *by,
         "axis",
         F.when(temporal, "temporal").otherwise("spatial").alias("type"),
         "size",

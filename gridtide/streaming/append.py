@@ -35,9 +35,10 @@ def rows_of(source: DataFrame, periods: DataFrame, period_type: str) -> DataFram
     The overall range goes first as a plain comparison on ``t``; the semi join then takes out what
     lies between wanted periods.
     """
-    span = periods.agg(F.struct(F.min("period_id").alias("a"), F.max("period_id").alias("b"))).scalar()
-    low, high = period_start(span["a"]), period_start(span["b"]) + F.expr(PERIOD_STEPS[period_type])
-    near = source.filter((F.col("t") >= low) & (F.col("t") < high))
+    starts = periods.select(period_start("period_id").alias("at"))
+    high = F.max("at") + F.expr(PERIOD_STEPS[period_type])
+    span = starts.agg(F.struct(F.min("at").alias("low"), high.alias("high"))).scalar()
+    near = source.filter((F.col("t") >= span["low"]) & (F.col("t") < span["high"]))
     keyed = near.withColumn("period_id", period_id("t", period_type))
     return keyed.join(periods.select("period_id"), "period_id", "left_semi").drop("period_id")
 
@@ -63,31 +64,23 @@ def append_missing(
         return 0
     store.refuse_unsafe_first_write()
     rows = source(pending) if callable(source) else rows_of(source, pending, store.period_type)
-    return _store_rows(store, run_transforms(rows, template), pending, uuid.uuid4().hex, same_cells)
+    return _store_rows(store, run_transforms(rows, template), uuid.uuid4().hex, same_cells)
 
 
-def _store_rows(store: PeriodStore, rows: DataFrame, pending: DataFrame, batch: str, same_cells: bool) -> int:
+def _store_rows(store: PeriodStore, rows: DataFrame, batch: str, same_cells: bool) -> int:
     generation = store.generation()
     generation = store.next_generation() if generation is None else generation
     store.announce(batch, generation)
-    store.write_values(rows, generation)
-    if not _has_data(store, generation):
+    if not store.write_values(rows, batch, generation):
         return 0
-    shapes = store.written_shapes(pending, generation)
+    shapes = store.written_shapes(batch, generation)
     misfit = first_misfit(shapes, store.ledger(generation), same_cells)
-    good = shapes if misfit is None else shapes.filter(F.col("period_id") < misfit[0])
-    before = store.ledger(generation).count()
-    if misfit is None or not good.isEmpty():
-        store.commit(good, batch, generation)
-    if misfit is not None:
-        raise ShapeError(misfit[1])
-    return store.ledger(generation).count() - before
-
-
-def _has_data(store: PeriodStore, generation: int) -> bool:
-    from gridtide.sources import files
-
-    return any(name.startswith("period_id=") for name in files.child_names(store.spark, store.data_path(generation)))
+    if misfit is None:
+        return store.commit(shapes, batch, generation)
+    good = shapes.filter(F.col("period_id") < misfit[0])
+    if not good.isEmpty():
+        store.commit(good, batch, generation, until=misfit[0])
+    raise ShapeError(misfit[1])
 
 
 def rematerialize(
@@ -106,15 +99,13 @@ def rematerialize(
     rows = source(wanted) if callable(source) else rows_of(source, wanted, store.period_type)
     batch, generation = uuid.uuid4().hex, store.next_generation()
     store.announce(batch, generation)
-    store.write_values(run_transforms(rows, template), generation)
-    if not _has_data(store, generation):
+    if not store.write_values(run_transforms(rows, template), batch, generation):
         raise NoDataError(f"The source has no data between {start} and {end}")
-    shapes = store.written_shapes(wanted, generation)
+    shapes = store.written_shapes(batch, generation)
     misfit = first_misfit(shapes, store.ledger(generation))
     if misfit is not None:
         raise ShapeError(misfit[1])
-    store.commit(shapes, batch, generation, mode="overwrite")
-    return store.ledger(generation).count()
+    return store.commit(shapes, batch, generation)
 
 
 class AppendProgress:
@@ -162,13 +153,10 @@ def stream_append(
         if pending.isEmpty():
             return
         session_store.refuse_unsafe_first_write()
-        # fixed before anything is written, since the ledger is about to change
-        pending = batch.sparkSession.createDataFrame(pending.collect(), "period_id string")
         keyed = batch.withColumn("period_id", period_id("t", store.period_type))
         rows = keyed.join(pending, "period_id", "left_semi").drop("period_id")
-        progress.periods_written += _store_rows(
-            session_store, run_transforms(rows, template), pending, f"stream-{batch_id}", same_cells
-        )
+        name = f"stream-{batch_id}-{uuid.uuid4().hex}"
+        progress.periods_written += _store_rows(session_store, run_transforms(rows, template), name, same_cells)
 
     writer = landed.writeStream.foreachBatch(store_batch).option("checkpointLocation", checkpoint)
     query = (writer.trigger(availableNow=True) if available_now else writer).start()

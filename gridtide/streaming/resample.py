@@ -50,13 +50,15 @@ def stream_resample(
     keys = key_columns(rows, extra_dims, drop=("t",))
     fold = reducer(method)
     folded = (
-        rows.withWatermark("t", watermark)
+        rows.withColumn("t", F.col("t").cast("timestamp"))  # a watermark needs this type; the session zone is UTC
+        .withWatermark("t", watermark)
         .groupBy(bins.alias("bin"), *keys)
         .agg(*[fold(F.col(name)).alias(name) for name in values])
     )
     any_value = F.coalesce(*[F.col(name) for name in values]).isNotNull()
-    complete = folded.filter(any_value & (F.col("bin.start") >= naive(first)))
-    return complete.select(F.col("bin.start").alias("t"), *keys, *values)
+    start_of_bin = F.col("bin.start").cast("timestamp_ntz")
+    complete = folded.filter(any_value & (start_of_bin >= naive(first)))
+    return complete.select(start_of_bin.alias("t"), *keys, *values)
 
 
 def late_rows(query: StreamingQuery) -> int:

@@ -2,12 +2,13 @@
 
 Layout below the store path::
 
-    generation=<n>/data/period_id=<period>/...   the values
-    generation=<n>/ledger/...                    one row per stored period
-    intents/...                                  what a writer was about to store
+    generation=<n>/data/batch=<b>/time_bucket=<k>/...   the values, one folder per write
+    generation=<n>/ledger/...                           one row per stored period, with its batch
+    intents/...                                         what a writer was about to store
 
-A period counts as stored only once the ledger names it. Values are written first, so after a
-crash in between the same partition is simply written again. A rebuild goes to the next
+A period counts as stored only once the ledger names it. Every write goes to a folder of its own
+and becomes visible with its ledger rows, so a crash in between leaves nothing to repair and files
+are as large as the write allows, however many periods it holds. A rebuild goes to the next
 generation, which takes over when its ledger is complete.
 """
 
@@ -18,10 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtide.errors import ShapeError, UnsafeStoreError
-from gridtide.functions.periods import period_id
+from gridtide.functions.periods import period_id, period_start
 from gridtide.sources import files
+from gridtide.sources.cube import bucket_seconds, time_bucket
+
+LEDGER_SCHEMA = "period_id string, ny bigint, nx bigint, cells bigint, cell_hash decimal(38,0), batch string, until timestamp_ntz"
+# ISO step of each period type, which sets the width of a time bucket.
+ISO_STEPS = {"hourly": "PT1H", "daily": "P1D", "weekly": "P1W", "monthly": "P1M", "yearly": "P1Y"}
 
-LEDGER_SCHEMA = "period_id string, ny bigint, nx bigint, cells bigint, cell_hash decimal(38,0), batch string"
 INTENT_SCHEMA = "batch string, generation int"
 
 
@@ -66,13 +71,18 @@ class PeriodStore:
         return self.ledger().select("period_id").distinct()
 
     def read(self) -> DataFrame:
-        """The stored values. Partitions that the ledger does not name stay out of sight."""
+        """The stored values. A batch that the ledger does not name stays out of sight.
+
+        Batches are partitions and their list is one row per write, so whole folders are pruned;
+        ``until`` cuts a batch whose later periods were refused.
+        """
         generation = self.generation()
         if generation is None:
             raise FileNotFoundError(f"No stored periods at {self.path}")
-        data = self.spark.read.option("mergeSchema", "false").parquet(self.data_path(generation))
-        data = data.withColumn("period_id", F.col("period_id").cast("string"))
-        return data.join(self.committed_periods(), "period_id", "left_semi").drop("period_id")
+        data = self.spark.read.parquet(self.data_path(generation)).withColumn("batch", F.col("batch").cast("string"))
+        batches = self.ledger(generation).groupBy("batch").agg(F.min("until").alias("until"))
+        visible = data.join(batches, "batch").filter(F.col("until").isNull() | (F.col("t") < F.col("until")))
+        return visible.drop("batch", "until", "time_bucket")
 
     # -- changing it ------------------------------------------------------
 
@@ -99,26 +109,33 @@ class PeriodStore:
         row = self.spark.range(1).select(F.lit(batch).alias("batch"), F.lit(generation).alias("generation"))
         row.write.mode("append").json(f"{self.path}/intents")
 
-    def write_values(self, rows: DataFrame, generation: int) -> None:
-        """Write or rewrite whole period partitions; the rebalance splits a period too big for one task."""
-        laid_out = rows.withColumn("period_id", period_id("t", self.period_type)).hint("rebalance", "period_id")
+    def batch_path(self, batch: str, generation: int) -> str:
+        return f"{self.data_path(generation)}/batch={batch}"
+
+    def write_values(self, rows: DataFrame, batch: str, generation: int) -> bool:
+        """Write one batch, and say whether it has any row. The rebalance splits what is too big for one task."""
+        seconds = bucket_seconds(self.spark, ISO_STEPS[self.period_type])
+        laid_out = time_bucket(rows, seconds).hint("rebalance", "time_bucket")
         (
-            laid_out.sortWithinPartitions("period_id", "y", "x")
+            laid_out.sortWithinPartitions("time_bucket", "y", "x", "t")
             .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("period_id")
-            .parquet(self.data_path(generation))
+            .option("partitionOverwriteMode", "static")
+            .partitionBy("time_bucket")
+            .parquet(self.batch_path(batch, generation))
         )
-
-    def written_shapes(self, periods: DataFrame, generation: int) -> DataFrame:
-        """Shape of the given periods as they lie on disk, from the two axis columns alone."""
-        data = self.spark.read.parquet(self.data_path(generation))
-        data = data.withColumn("period_id", F.col("period_id").cast("string"))
-        return period_shapes(data.join(periods.select("period_id"), "period_id", "left_semi"))
-
-    def commit(self, shapes: DataFrame, batch: str, generation: int, mode: str = "append") -> None:
-        entries = shapes.select("period_id", "ny", "nx", "cells", "cell_hash", F.lit(batch).alias("batch"))
-        entries.coalesce(1).write.mode(mode).parquet(self.ledger_path(generation))
+        return bool(files.child_names(self.spark, self.batch_path(batch, generation)))
+
+    def written_shapes(self, batch: str, generation: int) -> DataFrame:
+        """Shapes of a batch as it lies on disk, from its axis columns alone."""
+        data = self.spark.read.parquet(self.batch_path(batch, generation))
+        return period_shapes(data.select(period_id("t", self.period_type).alias("period_id"), "y", "x"))
+
+    def commit(self, shapes: DataFrame, batch: str, generation: int, until: str | None = None) -> int:
+        """Add the periods of a batch to the ledger, up to but not including ``until``. Returns their number."""
+        end = period_start(F.lit(until).cast("string"))
+        entries = shapes.select(*shapes.columns, F.lit(batch).alias("batch"), end.alias("until"))
+        entries.coalesce(1).write.mode("append").parquet(self.ledger_path(generation))
+        return self.ledger(generation).filter(F.col("batch") == batch).count()
 
 
 def period_shapes(rows: DataFrame) -> DataFrame:
