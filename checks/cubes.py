@@ -389,7 +389,7 @@ def nearest_cells_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key * 37 % 1300 / 100.0 - 1.5).alias("px"),
         (key * 53 % 1300 / 100.0 - 1.5).alias("py"),
     )
-    series = select.nearest_points(precip_cube(spark, sf_dir), places)
+    series = select.nearest_points(precip_cube(spark, sf_dir), places, cells=daily_rows(spark, sf_dir))
     totals = series.groupBy("point_id").agg(F.count("*").alias("steps"), F.sum("precip").alias("precip"))
     return rounded(totals, "precip")
 
@@ -606,8 +606,7 @@ def bin_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def complete_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weeks of the hourly cube, built first and then freed of incomplete edges; the last week lacks days."""
     weeks = aggregate_temporal_period(hourly_cube(spark, sf_dir), "week", "min")
-    span = hourly_times(spark, sf_dir).agg(F.struct(F.min("t").alias("a"), F.max("t").alias("b"))).scalar()
-    return rounded(drop_incomplete_edges(weeks, span["a"], span["b"], "hourly", "W-MON"), "t2m")
+    return rounded(drop_incomplete_edges(weeks, hourly_times(spark, sf_dir), "hourly", "W-MON"), "t2m")
 
 
 @query(
@@ -757,7 +756,8 @@ def merged_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def other_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cube on a finer axis in x and a coarser, downward one in y."""
     target = GridSpec(0.21, 0.7, 13, 8.33, -1.87, 5)
-    return rounded(resample_cube_spatial(precip_cube(spark, sf_dir), target), "y", "x", "precip")
+    moved = resample_cube_spatial(precip_cube(spark, sf_dir), target, cells=daily_rows(spark, sf_dir))
+    return rounded(moved, "y", "x", "precip")
 
 
 @query(

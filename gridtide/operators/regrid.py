@@ -15,20 +15,26 @@ from gridtide.sources.grid import GridSpec, infer_grid
 
 
 def resample_cube_spatial(
-    cube: DataFrame, target: GridSpec, method: str = "near", extra_dims: Sequence[str] = ()
+    cube: DataFrame,
+    target: GridSpec,
+    method: str = "near",
+    extra_dims: Sequence[str] = (),
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """Put a cube on another grid in the same coordinate system.
 
     Columns and rows of the target are matched to the source axis by axis. Both maps are as short
     as an axis, so the cube is joined with them where it lies and no cell-by-cell table arises.
+    ``cells`` may name a cheaper table with the same axis values, such as the cells of the grid.
     """
     if method != "near":
         raise GridError(f"Unsupported method '{method}'. Supported: near")
     spark = cube.sparkSession
+    cells = cube if cells is None else cells
     columns = spark.range(target.nx).select(target.x_at(F.col("id")).alias("tx"))
     rows = spark.range(target.ny).select(target.y_at(F.col("id")).alias("ty"))
-    x_map = nearest_on_axis(columns, "tx", cube.select("x"), "x", "x").select("x", "tx")
-    y_map = nearest_on_axis(rows, "ty", cube.select("y"), "y", "y").select("y", "ty")
+    x_map = nearest_on_axis(columns, "tx", cells.select("x"), "x", "x").select("x", "tx")
+    y_map = nearest_on_axis(rows, "ty", cells.select("y"), "y", "y").select("y", "ty")
     keys = key_columns(cube, extra_dims, drop=("x", "y"))
     source = cube.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
     moved = source.join(x_map, "x").join(y_map, "y")

@@ -50,19 +50,28 @@ def complete_range(first: Column, last: Column, freq: Frequency, source_period_t
     ends_early = truncate_to_period(last, source_period_type) < needed
     low = F.when(starts_late, freq.next_label(first_label)).otherwise(first_label)
     high = F.when(ends_early, last_label).otherwise(freq.next_label(last_label))
-    return F.struct(low.alias("low"), high.alias("high"), origin.alias("origin") if freq.needs_origin else F.lit(None).cast("date").alias("origin"))
+    start = origin if freq.needs_origin else F.lit(None).cast("date")
+    return F.struct(low.alias("low"), high.alias("high"), start.alias("origin"))
 
 
 def drop_incomplete_edges(
-    result: DataFrame, first: Column, last: Column, source_period_type: str, frequency: str | Frequency
+    result: DataFrame, times: DataFrame, source_period_type: str, frequency: str | Frequency
 ) -> DataFrame:
-    """Drop the incomplete first and last bin of an already resampled cube."""
+    """Drop the incomplete first and last bin of an already resampled cube.
+
+    ``times`` holds the source times ``t``; only their first and last are used.
+    """
     freq = parse_frequency(frequency) if isinstance(frequency, str) else frequency
-    spark = result.sparkSession
-    edges = spark.range(1).select(complete_range(first, last, freq, source_period_type).alias("e")).scalar()
+    edges = _edges(times, freq, source_period_type)
     return result.filter((F.col("t") >= edges["low"]) & (F.col("t") < edges["high"]))
 
 
+def _edges(times: DataFrame, freq: Frequency, source_period_type: str) -> Column:
+    """Range of complete bins as a scalar subquery over a one-row aggregate."""
+    bounds = times.agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    return bounds.select(complete_range(F.col("first"), F.col("last"), freq, source_period_type)).scalar()
+
+
 def target_range(start: str, end: str, freq: Frequency) -> tuple[dt.datetime, dt.datetime]:
     """Requested source range: from ``start`` up to one whole offset after ``end``."""
     return parse_partial(start)[0], freq.roll_forward(parse_partial(end)[0])
@@ -94,8 +103,7 @@ def resample(
         return df.filter((F.col("t") >= naive(low)) & (F.col("t") < naive(high)))
 
     source_times = in_range((times if times is not None else cube).select("t"))
-    bounds = source_times.agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    edges = bounds.select(complete_range(F.col("first"), F.col("last"), freq, source_period_type)).scalar()
+    edges = _edges(source_times, freq, source_period_type)
 
     values = value_columns(cube, extra_dims)
     keys = key_columns(cube, extra_dims, drop=("t",))
@@ -106,7 +114,8 @@ def resample(
     )
     folded = binned.groupBy("__bin", *keys).agg(*[fold(F.col(name)).alias(name) for name in values])
     any_value = F.coalesce(*[F.col(name) for name in values]).isNotNull()
-    out_keys = [freq.label(F.col("__bin")).alias("t") if k == "t" else F.col(k) for k in key_columns(cube, extra_dims)]
+    label = freq.label(F.col("__bin")).alias("t")
+    out_keys = [label if k == "t" else F.col(k) for k in key_columns(cube, extra_dims)]
     kept = folded.filter(any_value).select(*out_keys, *values)
     for name in values:
         kept = kept.withMetadata(name, cube.schema[name].metadata)
@@ -142,5 +151,5 @@ def aggregate_temporal_period(
     keys = key_columns(cube, extra_dims, drop=("t",))
     grouped = cube.groupBy(calendar_start(F.col("t"), period).alias("__start"), *keys)
     folded = grouped.agg(*[fold(F.col(name)).alias(name) for name in values])
-    out_keys = [F.col("__start").cast("timestamp_ntz").alias("t") if k == "t" else F.col(k) for k in key_columns(cube, extra_dims)]
-    return folded.select(*out_keys, *values)
+    start = F.col("__start").cast("timestamp_ntz").alias("t")
+    return folded.select(*[start if k == "t" else F.col(k) for k in key_columns(cube, extra_dims)], *values)

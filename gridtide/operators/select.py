@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridtide.errors import GridError, NotFoundError
 from gridtide.functions.periods import PERIOD_STEPS, WEEK_TEXT
@@ -77,6 +79,13 @@ def filter_temporal(cube: DataFrame, start: str | None, end: str | None) -> Data
     return cube
 
 
+def between(cube: DataFrame, axis: str, low: float, high: float) -> Column:
+    """Inclusive range of an axis. An integer axis gets integer ends, so that no cast hides it from the scan."""
+    if isinstance(cube.schema[axis].dataType, T.IntegralType):
+        return F.col(axis).between(math.ceil(low), math.floor(high))
+    return F.col(axis).between(float(low), float(high))
+
+
 def filter_bbox(
     cube: DataFrame,
     extent: Mapping[str, float | None] | None = None,
@@ -92,9 +101,9 @@ def filter_bbox(
         if key.lower() in sides and value is not None:
             sides[key.lower()] = float(value)
     if sides["west"] is not None and sides["east"] is not None:
-        cube = cube.filter(F.col("x").between(float(sides["west"]), float(sides["east"])))
+        cube = cube.filter(between(cube, "x", sides["west"], sides["east"]))
     if sides["south"] is not None and sides["north"] is not None:
-        cube = cube.filter(F.col("y").between(float(sides["south"]), float(sides["north"])))
+        cube = cube.filter(between(cube, "y", sides["south"], sides["north"]))
     return cube
 
 
@@ -104,7 +113,7 @@ def clip_to_extent(cube: DataFrame, bbox: Sequence[float], dx: float, dy: float)
     half_x, half_y = abs(dx) / 2, abs(dy) / 2
     # the half cell is moved to the literal side, so the comparison stays on the raw column
     return cube.filter(
-        F.col("x").between(xmin - half_x, xmax + half_x) & F.col("y").between(ymin - half_y, ymax + half_y)
+        between(cube, "x", xmin - half_x, xmax + half_x) & between(cube, "y", ymin - half_y, ymax + half_y)
     )
 
 
@@ -232,12 +241,18 @@ def nearest_on_axis(places: DataFrame, place: str, axis: DataFrame, name: str, o
     return joined.select("p.*", out).drop("__span", "__slot")
 
 
-def nearest_points(cube: DataFrame, points: DataFrame, point_id: str = "point_id") -> DataFrame:
-    """Time series for many places at once. ``points`` has the id and columns ``px``, ``py``."""
-    located = nearest_on_axis(points, "px", cube.select("x"), "x", "x")
-    located = nearest_on_axis(located, "py", cube.select("y"), "y", "y")
-    cells = located.select(point_id, "x", "y")
-    return cube.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")}).join(cells, ["x", "y"])
+def nearest_points(
+    cube: DataFrame, points: DataFrame, point_id: str = "point_id", cells: DataFrame | None = None
+) -> DataFrame:
+    """Time series for many places at once. ``points`` has the id and columns ``px``, ``py``.
+
+    ``cells`` may name a cheaper table with the same axis values, such as the cells of the grid.
+    """
+    cells = cube if cells is None else cells
+    located = nearest_on_axis(points, "px", cells.select("x"), "x", "x")
+    located = nearest_on_axis(located, "py", cells.select("y"), "y", "y")
+    hits = located.select(point_id, "x", "y")
+    return cube.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")}).join(hits, ["x", "y"])
 
 
 def covers_extent(templates: DataFrame, requests: DataFrame) -> DataFrame:
