@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtide.errors import GridError
 from gridtide.functions.periods import period_id
-from gridtide.functions.reducers import REDUCERS, Reducer, reducer
+from gridtide.functions.reducers import Reducer, reducer
 from gridtide.schema import key_columns, value_columns
 
 # Statistics that may be asked for, and the default.
@@ -189,8 +189,6 @@ def exact_median(rows: DataFrame, keys: Sequence[str], value: str, out: str = "m
     distinct values with counts. Should the sketch ever miss, the group keeps all of its values,
     so the result is exact either way.
     """
-    from pyspark.sql import Window
-
     keys = list(keys)
     known = rows.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
     counted = known.groupBy(*keys, "v").agg(F.count("*").alias("n"))
@@ -276,7 +274,7 @@ def zonal_statistics(
     same = [F.col(f"b.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
     joined = base.alias("b").join(median, same, "left")
     return joined.select(
-        *[F.col(f"b.{k}").alias(k) for k in keys], *[F.col(f"m.median" if s == "median" else f"b.{s}").alias(s) for s in stats]
+        *[F.col(f"b.{k}").alias(k) for k in keys], *[F.col("m.median" if s == "median" else f"b.{s}").alias(s) for s in stats]
     )
 
 
@@ -296,7 +294,8 @@ def pivot_zones(
     Naming the months spares the job that would look them up.
     """
     month = F.date_format("t", "yyyy-MM")
-    labelled = zonal.select("zone_id", month.alias("month"), F.format_string("%.1f", F.col(value)).alias("text"))
+    text = F.when(F.col(value).isNotNull(), F.format_string("%.1f", F.col(value)))
+    labelled = zonal.select("zone_id", month.alias("month"), text.alias("text"))
     table = labelled.groupBy("zone_id").pivot("month", list(months) if months is not None else None).agg(
         F.first("text", ignorenulls=True)
     )

@@ -21,6 +21,7 @@ from gridtide.operators.catalog import (
 )
 from gridtide.operators.reduce import coverage
 from gridtide.operators.resample import resample
+from gridtide.sources import files
 from gridtide.sources.cube import read_cube, write_cube
 
 
@@ -135,11 +136,11 @@ def materialize_resampled(
     derived = resample(source, frequency, method, start, end, source_period_type)
     step = {"hourly": "PT1H", "daily": "P1D", "weekly": "P1W", "monthly": "P1M", "yearly": "P1Y"}[freq.period_type]
     write_cube(derived, path, dataset_id=dataset_id, iso_step=step)
+    if not files.child_names(spark, path):
+        raise NoDataError("The source does not contain any complete target period")
     written = read_cube(spark, path)
     covered = coverage(written, freq.period_type, crs)
-    reached = covered.select("has_data", "end").first()
-    if not reached["has_data"]:
-        raise NoDataError("The source does not contain any complete target period")
+    reached = covered.select("end").first()
     found = stored(reached["end"])
     if not overwrite and not found.isEmpty():
         return in_force(found)
