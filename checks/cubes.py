@@ -557,12 +557,13 @@ def yearly_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_views("hourly")
-    + """SELECT DATE_TRUNC('day', t) AS t, y, x, ROUND(AVG(t2m), 6) AS t2m FROM hourly GROUP BY 1, 2, 3"""
+    + """SELECT DATE_TRUNC('day', t) AS t, y, x, ROUND(AVG(t2m), 9) AS t2m FROM hourly GROUP BY 1, 2, 3"""
 )
 def hourly_to_daily_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     cube = hourly_cube(spark, sf_dir)
     times = hourly_times(spark, sf_dir)
-    return rounded(resample(cube, "1D", "mean", "2024-01-01", "2024-01-31", "hourly", times), "t2m")
+    # rounded late enough that means of up to 64 two-decimal values are never halves
+    return rounded(resample(cube, "1D", "mean", "2024-01-01", "2024-01-31", "hourly", times), "t2m", digits=9)
 
 
 @query(
@@ -646,11 +647,11 @@ def scaled_time_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_views("daily")
-    + "SELECT t, ROUND(AVG(precip), 6) AS precip, ROUND(AVG(price), 7) AS price, ROUND(AVG(tax), 6) AS tax FROM daily GROUP BY 1"
+    + "SELECT t, ROUND(AVG(precip), 9) AS precip, ROUND(AVG(tax), 9) AS tax FROM daily GROUP BY 1"
 )
 def spatial_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = reduce_spatial(daily_cube(spark, sf_dir), "mean")
-    return rounded(rounded(out, "precip", "tax"), "price", digits=7)
+    means = reduce_spatial(select.filter_bands(daily_cube(spark, sf_dir), ["precip", "tax"]), "mean")
+    return rounded(means, "precip", "tax", digits=9)
 
 
 @query(with_views("bands") + "SELECT t, y, x, ROUND(MAX(value), 6) AS value FROM bands GROUP BY 1, 2, 3")

@@ -104,8 +104,8 @@ def _frames(spark, sf_dir, step: float, left: float, bottom: float, width: float
 
 @query(
     with_views("hourly", "zones", "assigned")
-    + """SELECT zone_id, t, CAST(COUNT(v) AS DOUBLE) AS "count", ROUND(SUM(v), 6) AS "sum", ROUND(AVG(v), 6) AS mean,
-                ROUND(MIN(v), 6) AS "min", ROUND(MAX(v), 6) AS "max", ROUND(MEDIAN(v), 6) AS median,
+    + """SELECT zone_id, t, CAST(COUNT(v) AS DOUBLE) AS "count", ROUND(SUM(v), 9) AS "sum", ROUND(AVG(v), 9) AS mean,
+                ROUND(MIN(v), 9) AS "min", ROUND(MAX(v), 9) AS "max", ROUND(MEDIAN(v), 9) AS median,
                 ROUND(STDDEV_POP(v), 6) AS std
          FROM (SELECT zone_id, t, CASE WHEN t2m <> 10.5 THEN t2m END AS v FROM hourly JOIN assigned USING (x, y)) GROUP BY 1, 2"""
 )
@@ -114,7 +114,7 @@ def zone_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("count", "sum", "mean", "min", "max", "median", "std")
     held = cells_in_zones(GRID.cells(spark), zones(spark, sf_dir))
     stats = zonal_statistics(hourly_cube(spark, sf_dir), held, "t2m", names, nodata=10.5)
-    return stats.withColumns({name: F.round(name, 6) for name in names})
+    return stats.withColumns({name: F.round(name, 6 if name == "std" else 9) for name in names})
 
 
 @query(
