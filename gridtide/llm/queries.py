@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from gridtide.llm.decontaminate import OP7_SQL, op7_decontaminate
+from gridtide.llm.parsing import op3_prefix_free_parsing
+from gridtide.llm.quality import op1_quality_fourier
 from gridtide.llm.simhash import op2_simhash_golay
 
 QUERIES = {
+    "op1_quality_fourier": op1_quality_fourier,
     "op2_simhash_golay": op2_simhash_golay,
+    "op3_prefix_free_parsing": op3_prefix_free_parsing,
+    "op7_decontaminate": op7_decontaminate,
+}
+ORACLES: dict[str, str] = {
+    "op7_decontaminate": OP7_SQL,
 }
-ORACLES: dict[str, str] = {}
