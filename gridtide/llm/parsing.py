@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridtide.llm.common import read_table
+from gridtide.llm.common import read_table, settle
 
 DEPTH = 100
 TRIGGER_BYTES = 32
@@ -263,10 +263,12 @@ def repeated_spans(docs: DataFrame, want_text: bool = False) -> DataFrame:
         _parse, f"trigger long, content long, id long, tag long, at int, n int, more {PLACES}"
     )
     by_trigger = Window.partitionBy("trigger")
-    ordered = _later(parsed.repartition("trigger"), "trigger", "content").withColumn(
+    dictionary = parsed.repartition("trigger").sortWithinPartitions("trigger", "content")  # the order of both windows
+    ordered = _later(dictionary, "trigger", "content").withColumn(
         "shared", F.min("content").over(by_trigger) < F.max("content").over(by_trigger)
     )
     found = ordered.where("repeat OR shared OR more IS NOT NULL").drop("trigger", "content")
+    found = settle(found, "shared_phrases")
     of_text = found.where("NOT repeat AND shared").groupBy("id", "tag")
     of_text = of_text.agg(F.collect_set(F.struct("at", "n")).alias("open"))
     windows = texts.join(of_text, ["id", "tag"]).mapInArrow(
