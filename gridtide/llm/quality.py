@@ -246,12 +246,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that the classifier accepts; rows are joined by id and a hash of the text."""
-    tagged = docs.withColumn("__text_hash", F.xxhash64("text"))
-    scored = quality_scores(tagged.select("doc_id", "text", "__text_hash"), labels).where("score < 0.5")
-    bad = scored.select(F.col("row.doc_id").alias("bad_id"), F.col("row.__text_hash").alias("bad_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("__text_hash") == F.col("bad_hash"))
-    return tagged.join(bad, same, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Documents that the classifier accepts; texts are scored where they are read, so none is moved."""
+    model = fit(document_statistics(docs.select("doc_id", "text")), labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t.as_py()) for t in batch.column(1)], dtype=float).reshape(-1, len(STATISTICS))
+            yield batch.select(["row"]).filter(pa.array(model.score(x) >= 0.5))
+
+    source = docs.select(F.struct("*").alias("row"), "text")
+    return source.mapInArrow(run, T.StructType([source.schema["row"]])).select("row.*")
 
 
 def op1_quality_fourier(spark, sf_dir: str) -> DataFrame:

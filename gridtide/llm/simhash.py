@@ -182,9 +182,13 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without those whose component holds a smaller id; of repeated rows one stays."""
-    groups = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Rows of ``docs`` without those whose component holds a smaller id.
+
+    Of rows with the same id and text one stays. Rows without an id cannot be told apart and stay.
+    """
+    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def op2_simhash_golay(spark, sf_dir: str) -> DataFrame:
