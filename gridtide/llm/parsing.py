@@ -11,7 +11,9 @@ overlap a suffix of a phrase decides a match by itself, and the parse only has t
 2. *Dictionary*: phrases are ordered by trigger, content and place. All places of a phrase but the first are
    repeats as a whole. A phrase whose trigger no other phrase has cannot share a window and is left out.
 3. *Suffixes*: the first places of the phrases that are left, which are the edges of repeated passages, give
-   their dictionary suffixes to a depth of 100 bytes; these are ordered, and all but the first are repeats.
+   their dictionary suffixes to a depth of 100 bytes, one row of names for each phrase. Phrases with the same
+   trigger meet in one task, which orders their suffixes; all but the first of equal ones are repeats. A trigger
+   with more than ``HOT_PHRASES`` phrases sends its suffixes one by one, reduced before the shuffle, instead.
 
 Suffixes and phrases are ordered by 64-bit names (two of them, trigger and content) instead of by letters: the
 question is equality to a fixed depth, and names keep the ordered rows at a few bytes where a full suffix
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ DEPTH = 100
 TRIGGER_BYTES = 32
 PIECE = 1 << 18
 PLACE_BITS = np.uint64(20)
+HOT_PHRASES = 20_000
+GROUP_PHRASES = 20_000
 NULL_ID = -(1 << 63)
 M1 = np.uint64(0x9E3779B97F4A7C15)
 M2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -174,34 +179,77 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names of the windows of the phrases listed for each text."""
+    """Names of the windows of the phrases listed for each text, one row for each phrase."""
     for batch in batches:
-        ids, tags, name, second, at = [], [], [], [], []
         columns = (batch.column(c).to_pylist() for c in ("id", "tag", "open"))
+        rows, found = [], []
         for doc, tag, places, text in zip(*columns, _texts(batch)):
             for place in places:
                 a, n = place["at"], place["n"]
-                _, h100, again = names(np.frombuffer(text[a : a + n + DEPTH - 1], dtype=np.uint8))
-                ids.append(np.full(n, doc))
-                tags.append(np.full(n, tag))
-                name.append(h100)
-                second.append(again)
-                at.append(np.arange(a, a + n))
-        if not ids:
-            continue
-        name, second, ids, tags, at = (np.concatenate(c) for c in (name, second, ids, tags, at))
-        rows, more = _sent_once(name, ids, tags, at)
-        yield pa.RecordBatch.from_arrays(
-            [
-                _signed(name[rows]),
-                _signed(second[rows]),
-                pa.array(ids[rows]),
-                pa.array(tags[rows]),
-                pa.array(at[rows], pa.int32()),
-                pa.array(more, MORE),
-            ],
-            ["name", "second", "id", "tag", "at", "more"],
-        )
+                rows.append((place["trigger"], doc, tag, a))
+                found.append(names(np.frombuffer(text[a : a + n + DEPTH - 1], dtype=np.uint8))[1])
+        if rows:
+            offsets = np.concatenate(([0], np.cumsum([len(f) for f in found])))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(np.concatenate(found)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), lists], ["trigger", "id", "tag", "at", "names"]
+            )
+
+
+def repeated_runs(table: pa.Table) -> pa.RecordBatch:
+    """Runs of windows, of phrases given with all others of their triggers, that an earlier place has too."""
+    names_ = table.column("names").combine_chunks()
+    count = names_.value_lengths().to_numpy()
+    name = names_.flatten().to_numpy()
+    row = np.repeat(np.arange(len(count)), count)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    ids, at = table.column("id").to_numpy()[row], table.column("at").to_numpy()[row] + within
+    trigger = table.column("trigger").to_numpy()[row]
+    order = np.lexsort((at, ids, name, trigger))
+    head = np.ones(len(order), dtype=bool)
+    head[1:] = (name[order][1:] != name[order][:-1]) | (trigger[order][1:] != trigger[order][:-1])
+    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    later = np.zeros(len(order), dtype=bool)
+    later[order] = (ids[order] > ids[first]) | (at[order] > at[first])
+    begins = later & ~(np.concatenate(([False], later[:-1])) & (within > 0))
+    starts = np.flatnonzero(begins)
+    run = np.cumsum(begins)[later] - 1
+    n = np.bincount(run, minlength=len(starts))
+    tags = table.column("tag").to_numpy()[row]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[starts]), pa.array(tags[starts]), pa.array(at[starts], pa.int32()), pa.array(n, pa.int32())],
+        ["id", "tag", "at", "n"],
+    )
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of repeated windows from phrases sorted by trigger, some triggers at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, GROUP_PHRASES):
+            part = batch.slice(at, GROUP_PHRASES)
+            held.append(part)
+            size += part.num_rows
+            if size >= GROUP_PHRASES:
+                table = pa.Table.from_batches(held).combine_chunks()
+                trigger = table.column("trigger").to_numpy()
+                ready = int(np.searchsorted(trigger, trigger[-1]))  # the last trigger may go on
+                if ready:
+                    yield repeated_runs(table.slice(0, ready))
+                held, size = table.slice(ready).to_batches(), len(table) - ready
+    if size:
+        yield repeated_runs(pa.Table.from_batches(held).combine_chunks())
+
+
+def _runs_of_hot(windows: DataFrame) -> DataFrame:
+    """The same of phrases whose trigger has very many, with the first place of a window found by partial minima."""
+    each = windows.select("trigger", "id", "tag", "at", F.posexplode("names").alias("k", "name"))
+    each = each.select("trigger", "name", "id", "tag", (F.col("at") + F.col("k")).alias("at"))
+    first = each.groupBy("trigger", "name").agg(F.min(F.struct("id", "at")).alias("first"))
+    later = each.join(first, ["trigger", "name"]).where(F.struct("id", "at") > F.col("first"))
+    return later.select("id", "tag", "at", F.lit(1).alias("n"))
 
 
 def _kept(text: bytes, places: list[dict] | None) -> tuple[list[bytes], int, int]:
@@ -267,21 +315,25 @@ def repeated_spans(docs: DataFrame, want_text: bool = False) -> DataFrame:
     ordered = _later(dictionary, "trigger", "content").withColumn(
         "shared", F.min("content").over(by_trigger) < F.max("content").over(by_trigger)
     )
-    found = ordered.where("repeat OR shared OR more IS NOT NULL").drop("trigger", "content")
-    found = settle(found, "shared_phrases")
-    of_text = found.where("NOT repeat AND shared").groupBy("id", "tag")
-    of_text = of_text.agg(F.collect_set(F.struct("at", "n")).alias("open"))
+    found = settle(ordered.where("repeat OR shared OR more IS NOT NULL").drop("content"), "shared_phrases")
+    edges = found.where("NOT repeat AND shared").select("id", "tag", "at", "n", "trigger")
+    hot = edges.groupBy("trigger").count().where(F.col("count") > HOT_PHRASES).select("trigger")
+    of_text = edges.groupBy("id", "tag").agg(F.collect_set(F.struct("at", "n", "trigger")).alias("open"))
     windows = texts.join(of_text, ["id", "tag"]).mapInArrow(
-        _suffixes, f"name long, second long, id long, tag long, at int, more {PLACES}"
+        _suffixes, "trigger long, id long, tag long, at int, names array<bigint>"
     )
-    single = _later(windows, "name", "second").where("repeat OR more IS NOT NULL").withColumn("n", F.lit(1))
-
-    def places(of: DataFrame) -> DataFrame:
-        own = F.when(F.col("repeat"), F.array(F.struct("id", "tag", "at"))).otherwise(F.array().cast(PLACES))
-        every = F.concat(own, F.coalesce("more", F.array().cast(PLACES)))
-        return of.select(F.explode(every).alias("p"), "n").select("p.id", "p.tag", "p.at", "n")
-
-    spans = places(found).union(places(single)).groupBy("id", "tag")
+    rest_of = windows
+    parts = []
+    if hot.limit(1).count():
+        windows = settle(windows, "windows")
+        rest_of = windows.join(hot, "trigger", "left_anti")
+        parts.append(_runs_of_hot(windows.join(hot, "trigger", "left_semi")))
+    alike = rest_of.repartition("trigger").sortWithinPartitions("trigger")
+    parts.append(alike.mapInArrow(_grouped, "id long, tag long, at int, n int"))
+    own = F.when(F.col("repeat"), F.array(F.struct("id", "tag", "at"))).otherwise(F.array().cast(PLACES))
+    every = F.concat(own, F.coalesce("more", F.array().cast(PLACES)))
+    parts.append(found.select(F.explode(every).alias("p"), "n").select("p.id", "p.tag", "p.at", "n"))
+    spans = reduce(DataFrame.union, parts).groupBy("id", "tag")
     spans = spans.agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     schema = T.StructType(
         [texts.schema["row"], *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string").fields]

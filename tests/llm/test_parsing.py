@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from gridtide.llm import parsing
 
@@ -37,7 +39,9 @@ def sentences(rng, n):
     return " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(n))
 
 
-def test_repeats_are_those_of_brute_force(spark):
+@pytest.mark.parametrize("hot", [parsing.HOT_PHRASES, 3, 0])
+def test_repeats_are_those_of_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(parsing, "HOT_PHRASES", hot)
     rng = random.Random(11)
     shared = [sentences(rng, n) for n in (18, 25, 40, 60, 120)]
     rows = [(None, shared[3] + " x"), (1, None), (2, ""), (3, "short"), (4, "a" * 400), (5, "a" * 99), (6, "a" * 100)]
@@ -63,6 +67,24 @@ def test_long_texts_are_cut_between_windows(spark, monkeypatch):
     assert one[4].sum() == sum(len(t.encode()) - 99 for _, t in rows)
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 100])
+def test_groups_of_triggers_are_never_cut(monkeypatch, size):
+    monkeypatch.setattr(parsing, "GROUP_PHRASES", size)
+    rows = [(t, i, 0, 5 * i, [i % 3, 9, i]) for t, k in ((-4, 3), (2, 1), (5, 6), (8, 2)) for i in range(k)]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["trigger", "id", "tag", "at", "names"]
+    )
+    got = [r for out in parsing._grouped([batch.slice(0, 4), batch.slice(4)]) for r in out.to_pylist()]
+    want = set()
+    for t, i, _, at, found in rows:
+        for k, name in enumerate(found):
+            places = [(j, a + m) for u, j, _, a, f in rows if u == t for m, other in enumerate(f) if other == name]
+            if min(places) < (i, at + k):
+                want.add((t, i, at + k))
+    assert sorted((r["id"], r["at"] + k) for r in got for k in range(r["n"])) == sorted((i, a) for _, i, a in want)
+
+
 def test_cut_texts_and_lengths(spark):
     rng = random.Random(4)
     text = sentences(rng, 50)
