@@ -5,9 +5,12 @@ from __future__ import annotations
 import corpus_pipeline
 
 from gridtide.llm.decontaminate import OP7_SQL, op7_decontaminate
+from gridtide.llm.extract import op9_text_regions
 from gridtide.llm.packing import OP6_SQL, op6_length_buckets
 from gridtide.llm.parsing import op3_prefix_free_parsing
+from gridtide.llm.permutation import op10_permutation_index
 from gridtide.llm.quality import op1_quality_fourier
+from gridtide.llm.quotations import OP4_SQL, op4_quotation_links
 from gridtide.llm.simhash import op2_simhash_golay
 from gridtide.llm.warc import OP5_SQL, op5_warc_chain
 
@@ -15,12 +18,16 @@ QUERIES = {
     "op1_quality_fourier": op1_quality_fourier,
     "op2_simhash_golay": op2_simhash_golay,
     "op3_prefix_free_parsing": op3_prefix_free_parsing,
+    "op4_quotation_links": op4_quotation_links,
     "op5_warc_chain": op5_warc_chain,
     "op6_length_buckets": op6_length_buckets,
     "op7_decontaminate": op7_decontaminate,
+    "op9_text_regions": op9_text_regions,
+    "op10_permutation_index": op10_permutation_index,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
+    "op4_quotation_links": OP4_SQL,
     "op5_warc_chain": OP5_SQL,
     "op6_length_buckets": OP6_SQL,
     "op7_decontaminate": OP7_SQL,
