@@ -12,6 +12,7 @@ from gridtide.llm.permutation import op10_permutation_index
 from gridtide.llm.quality import op1_quality_fourier
 from gridtide.llm.quotations import OP4_SQL, op4_quotation_links
 from gridtide.llm.simhash import op2_simhash_golay
+from gridtide.llm.token_rows import op8_token_rows
 from gridtide.llm.warc import OP5_SQL, op5_warc_chain
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op5_warc_chain": op5_warc_chain,
     "op6_length_buckets": op6_length_buckets,
     "op7_decontaminate": op7_decontaminate,
+    "op8_token_rows": op8_token_rows,
     "op9_text_regions": op9_text_regions,
     "op10_permutation_index": op10_permutation_index,
     "pipeline": corpus_pipeline.run,
