@@ -21,10 +21,10 @@ from checks.views import (
     with_views,
 )
 from gridtide.operators import catalog as c
-from gridtide.operators.reduce import axis_summary
+from gridtide.operators.reduce import axis_summary, variable_summary
 from gridtide.plans.sync import plan_sync
 from gridtide.session import scratch_path
-from gridtide.sources.cube import write_cube
+from gridtide.sources.cube import mask_nodata, read_cube, write_cube
 
 ARTIFACTS = with_views("artifacts")
 LATEST = with_views("artifacts", "latest")
@@ -107,9 +107,9 @@ def reusable_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(MATCH_SQL + "SELECT request_id, COUNT(*) AS candidates, MAX(seq) AS last_seq FROM hits GROUP BY 1")
 def last_matching_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many records fit a request, and the last one added."""
-    matches = c.matching_records(artifacts(spark, sf_dir), requests(spark, sf_dir), stored_paths(spark, sf_dir))
-    last = c.last_match(matches).select("request_id", F.col("seq").alias("last_seq"))
-    return matches.groupBy("request_id").agg(F.count("*").alias("candidates")).join(last, "request_id")
+    usable = c.last_usable(artifacts(spark, sf_dir), stored_paths(spark, sf_dir))
+    found = c.requested(usable, requests(spark, sf_dir))
+    return found.select("request_id", "candidates", F.col("record.seq").alias("last_seq"))
 
 
 NEW_SQL = """, new AS (
@@ -398,3 +398,61 @@ def loaded_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, located, "rain", {"south": 2, "north": 7}, ["1996", "1997-06"], ["tax", "precip", "none"]
     )
     return cube.select("t", "y", "x", "band", F.round("value", 2).alias("value"))
+
+
+@query(
+    """SELECT variable, dimensions, long_name, units, CAST(n AS BIGINT) AS n FROM (VALUES
+         ('precip', 't,y,x', 'rain', 'mm'), ('price', 't,y,x', NULL, NULL), ('tax', 't,y,x', NULL, 'share')) v(variable, dimensions, long_name, units)
+       CROSS JOIN (SELECT COUNT(*) AS n FROM (SELECT DISTINCT l_shipdate, CAST(FLOOR(l_suppkey / 10.0) AS BIGINT) % 10, l_suppkey % 10 FROM lineitem))"""
+)
+def described_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables of a stored cube after masking: dimensions, names and units survive the way through the files."""
+    cube = daily_cube(spark, sf_dir)
+    cube = cube.withMetadata("precip", {"long_name": "rain", "units": "mm"}).withMetadata("tax", {"units": "share"})
+    path = scratch_path(spark, "described")
+    write_cube(mask_nodata(cube, nodata=-99999.0), path, dataset_id="rain")
+    stored = read_cube(spark, path)
+    rows = variable_summary(stored).withColumn("dimensions", F.array_join("dimensions", ","))
+    return rows.join(stored.agg(F.count("*").alias("n")))
+
+
+@query(
+    with_views("artifacts")
+    + """SELECT dataset_id, STRING_AGG(created_at || '|' || cov_end, ';' ORDER BY created_at DESC, seq) AS versions, COUNT(*) AS n
+         FROM artifacts GROUP BY 1"""
+)
+def nested_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions of every dataset as one list, newest first."""
+    lists = c.dataset_versions(artifacts(spark, sf_dir))
+    text = F.transform(
+        "versions", lambda v: F.concat_ws("|", v["created_at"].cast("string"), v["coverage"]["temporal"]["end"])
+    )
+    return lists.select("dataset_id", F.array_join(text, ";").alias("versions"), F.size("versions").cast("bigint").alias("n"))
+
+
+@query(
+    with_views("artifacts")
+    + """, kept AS (SELECT * FROM artifacts WHERE seq % 3 <> 0),
+         usable AS (SELECT dataset_id, scope_start, scope_end, scope_xmin, MAX(seq) AS seq FROM kept
+                    WHERE cov_start = scope_start AND (scope_end IS NULL OR cov_end = scope_end) GROUP BY ALL)
+         SELECT COUNT(*) AS added, (SELECT COUNT(*) FROM artifacts) AS before,
+                (SELECT COUNT(*) FROM artifacts) + COUNT(*) AS ids
+         FROM (SELECT DISTINCT dataset_id, scope_start, scope_end, scope_xmin FROM artifacts) n
+         WHERE NOT EXISTS (SELECT 1 FROM usable u WHERE u.dataset_id = n.dataset_id AND u.scope_start IS NOT DISTINCT FROM n.scope_start
+           AND u.scope_end IS NOT DISTINCT FROM n.scope_end AND u.scope_xmin IS NOT DISTINCT FROM n.scope_xmin)"""
+)
+def catalog_with_deleted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records are handed in again twice, while a third of the stores is gone: those are not reused, and none is added twice."""
+    records = artifacts(spark, sf_dir)
+    standing = records.filter("seq % 3 <> 0")
+    # every record gets a store of its own, named after it
+    own = records.withColumns({"path": F.concat(F.lit("store/"), "artifact_id"), "asset_paths": F.array().cast("array<string>")})
+    existing = standing.select(F.concat(F.lit("store/"), "artifact_id").alias("path"))
+    again = own.withColumn("artifact_id", F.concat(F.lit("again-"), "artifact_id"))
+    twice = again.union(again.withColumn("artifact_id", F.concat(F.lit("more-"), "artifact_id")))
+    after = c.upsert_artifact(own, twice, existing_paths=existing)
+    return after.agg(
+        F.sum(F.col("artifact_id").rlike("again-").cast("bigint")).alias("added"),
+        F.sum((~F.col("artifact_id").rlike("again-")).cast("bigint")).alias("before"),
+        F.count_distinct("artifact_id").alias("ids"),
+    )

@@ -555,6 +555,29 @@ def yearly_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(resample(cube, "YS", "min", "1995-01-01", "2001-12-31", "daily", times), "precip")
 
 
+@query(
+    with_views("daily")
+    + """SELECT TIME_BUCKET(INTERVAL '2 months', t, TIMESTAMP '1995-01-01') AS t, y, x, ROUND(SUM(precip), 6) AS precip FROM daily
+         WHERE t >= TIMESTAMP '1995-03-01'
+           AND t < (SELECT TIME_BUCKET(INTERVAL '2 months', MAX(t) + INTERVAL 1 DAY, TIMESTAMP '1995-01-01') FROM daily) GROUP BY 1, 2, 3"""
+)
+def two_month_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of two months, counted from the month of the first day."""
+    cube, times = precip_cube(spark, sf_dir), daily_times(spark, sf_dir)
+    return rounded(resample(cube, "2MS", "sum", "1995-01-01", "2001-12-31", "daily", times), "precip")
+
+
+@query(
+    with_views("daily")
+    + """SELECT TIME_BUCKET(INTERVAL '14 days', t, TIMESTAMP '1995-01-02') AS t, y, x, ROUND(MAX(precip), 6) AS precip FROM daily
+         WHERE t < (SELECT TIME_BUCKET(INTERVAL '14 days', MAX(t) + INTERVAL 1 DAY, TIMESTAMP '1995-01-02') FROM daily) GROUP BY 1, 2, 3"""
+)
+def fortnight_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of two weeks from the first Monday of the data."""
+    cube, times = precip_cube(spark, sf_dir), daily_times(spark, sf_dir)
+    return rounded(resample(cube, "2W-MON", "max", "1995-01-01", "2001-12-31", "daily", times), "precip")
+
+
 @query(
     with_views("hourly")
     + """SELECT DATE_TRUNC('day', t) AS t, y, x, ROUND(AVG(t2m), 9) AS t2m FROM hourly GROUP BY 1, 2, 3"""

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.registry import query
-from checks.views import daily_times, hourly_cube, now, on_grid, precip_cube, table, with_views
+from checks.views import GRID, daily_times, hourly_cube, now, on_grid, precip_cube, table, with_views
+from gridtide.errors import UnsafeStoreError
 from gridtide.functions.periods import period_id
 from gridtide.operators import catalog as c
 from gridtide.operators.combine import find_gaps, pending_periods
 from gridtide.operators.reduce import coverage
 from gridtide.plans.derived import artifact_row, materialize_resampled
-from gridtide.plans.sync import APPEND, REMATERIALIZE, TEMPLATE_SCHEMA, plan_sync, run_sync
+from gridtide.plans.ingest import ingest
+from gridtide.plans.sync import APPEND, REMATERIALIZE, TEMPLATE_SCHEMA, plan_sync, record_coverage, run_sync
 from gridtide.session import scratch_path
-from gridtide.streaming.append import append_missing, rematerialize, stream_append
+from gridtide.streaming.append import append_from, append_missing, rematerialize, stream_append
 from gridtide.streaming.resample import stream_resample
 from gridtide.streaming.store import PeriodStore
 
@@ -87,17 +91,13 @@ def period_shapes_of_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT STRFTIME(l_shipdate, '%G-W%V') AS period_id FROM lineitem")
 def stored_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periods a store knows of, after a rebuild by week."""
+    weeks = precip_cube(spark, sf_dir).groupBy(F.date_trunc("week", "t").cast("timestamp_ntz").alias("t"), "y", "x")
     store = PeriodStore(spark, scratch_path(spark, "weeks"), "weekly")
-    rematerialize(_one_cell(precip_cube(spark, sf_dir)), store, {"variable": "precip"}, "1990-W01", "2010-W52")
+    dense = _any_shape(weeks.agg(F.sum("precip").alias("precip")))
+    rematerialize(dense, store, {"variable": "precip"}, "1990-W01", "2010-W52")
     return store.committed_periods()
 
 
-def _one_cell(cube: DataFrame) -> DataFrame:
-    """Totals per time as a cube of a single cell."""
-    one = cube.groupBy("t").agg(F.sum("precip").alias("precip"))
-    return one.select("t", F.lit(0).cast("bigint").alias("y"), F.lit(0).cast("bigint").alias("x"), "precip")
-
-
 @query(CELSIUS_SQL)
 def streamed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One landed folder per day streamed into a store that already holds two days; run twice."""
@@ -123,7 +123,7 @@ def streamed_two_day_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-day sums of a stream of hours; the bin the watermark has not passed stays out."""
     landing, out = scratch_path(spark, "hours"), scratch_path(spark, "sums")
     cube = hourly_cube(spark, sf_dir)
-    cube.repartition(1).write.parquet(landing)
+    cube.write.parquet(landing)
     rows = spark.readStream.schema(cube.schema).parquet(landing)
     sums = stream_resample(rows, "2D", "sum", "2024-01-01", watermark="0 seconds")
     stream = (
@@ -139,62 +139,185 @@ def streamed_two_day_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_views("daily")
-    + """SELECT DATE_TRUNC('day', t) AS t, CAST(0 AS BIGINT) AS y, CAST(0 AS BIGINT) AS x, ROUND(SUM(precip), 6) AS precip
-         FROM daily WHERE t >= TIMESTAMP '1996-01-01' AND t < TIMESTAMP '2001-01-01' GROUP BY 1"""
+    + """SELECT t, y, x, ROUND(precip, 6) AS precip FROM daily WHERE t >= TIMESTAMP '1996-01-01' AND t < TIMESTAMP '2001-01-01'"""
 )
 def rebuilt_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store with wrong values for two years is rebuilt over five; the rebuild takes over as a whole."""
-    cube = _one_cell(precip_cube(spark, sf_dir))
+    cube = _any_shape(precip_cube(spark, sf_dir))
     store = PeriodStore(spark, scratch_path(spark, "rebuilt"), "daily")
     wrong = cube.withColumn("precip", F.lit(-1.0))
     rematerialize(wrong, store, {"variable": "precip"}, "1996-01-01", "1997-12-31")
     rematerialize(cube, store, {"variable": "precip"}, "1996-01-01", "2000-12-31")
-    return rounded(store.read(), "precip").select("t", "y", "x", "precip")
+    return rounded(store.read().filter("precip IS NOT NULL"), "precip").select("t", "y", "x", "precip")
+
+
+def _template_row(name: str, kind: str, execution: str, policy: str | None) -> tuple:
+    availability = None if policy is None else (policy, None, None, None, None, None, None)
+    return (name, kind, execution, "daily", availability, *(None,) * 5, "P1D", None, None)
+
+
+SYNCED_SQL = ", ".join(
+    f"('{name}', {action}, '{status}', DATE '{start}', DATE '{stop}')"
+    for name, action, status, start, stop in (
+        ("append", "'append'", "completed", "1995-01-02", "2001-08-01"),
+        ("broken", "NULL", "failed", "1995-01-02", "1999-01-01"),
+        ("failing", "'append'", "failed", "1995-01-02", "1999-01-01"),
+        ("fixed", "'not_syncable'", "not_syncable", "1995-01-02", "1999-01-01"),
+        ("ready", "'no_op'", "up_to_date", "1995-01-02", "2001-08-01"),
+        ("rebuild", "'rematerialize'", "completed", "1995-01-02", "2001-08-01"),
+    )
+)
 
 
 @query(
     with_views("daily")
-    + """SELECT t, CAST(0 AS BIGINT) AS y, CAST(0 AS BIGINT) AS x, ROUND(SUM(precip), 6) AS precip, 'completed' AS status, 'append' AS action
-         FROM daily WHERE t >= TIMESTAMP '1995-01-02' AND t < TIMESTAMP '2001-08-01' GROUP BY 1"""
+    + f"""SELECT dataset_id, t, y, x, ROUND(precip, 6) AS precip, status, action,
+                 STRFTIME(stop - INTERVAL 1 DAY, '%Y-%m-%d') AS recorded_end
+          FROM daily JOIN (VALUES {SYNCED_SQL}) v(dataset_id, action, status, start, stop) ON t >= start AND t < stop"""
 )
 def synced_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A recorded store is planned and brought up to the last complete month."""
-    cube = _one_cell(precip_cube(spark, sf_dir))
-    store = PeriodStore(spark, scratch_path(spark, "synced"), "daily")
-    template = {"id": "rain", "variable": "precip"}
-    append_missing(cube, store, template, "1995-01-02", "1998-12-31")
-    record = artifact_row(
-        spark,
-        coverage(store.read(), "daily"),
-        dataset_id="rain",
-        source_dataset_id=None,
-        name="Rain",
-        variable="precip",
-        period_type="daily",
-        fmt=c.LEDGER_FORMAT,
-        path=store.path,
-        start="1995-01-02",
-        end="1998-12-31",
-        bbox=None,
-        now=now(),
-    )
+    """Six recorded stores are planned and brought up to the last complete month.
+
+    One is appended to, one rebuilt, one is current and one static; one has an unreadable end and one fails, and both
+    leave the others to go on. The catalog then names the new ends.
+    """
+    cube = _any_shape(precip_cube(spark, sf_dir))
+    path = scratch_path(spark, "dense")
+    cube.write.parquet(path)
+    cube = spark.read.parquet(path)
+    catalog = c.CatalogTable(spark, scratch_path(spark, "catalog"))
+    rows = {
+        "append": ("temporal", APPEND),
+        "broken": ("temporal", REMATERIALIZE),
+        "failing": ("temporal", APPEND),
+        "fixed": ("static", APPEND),
+        "ready": ("temporal", APPEND),
+        "rebuild": ("temporal", REMATERIALIZE),
+    }
+    stores, records = {}, []
+    for name in rows:
+        stores[name] = PeriodStore(spark, scratch_path(spark, name), "daily")
+        end = "2001-07-31" if name == "ready" else "1998-12-31"
+        append_missing(cube, stores[name], {"id": name, "variable": "precip"}, "1995-01-02", end)
+        record = artifact_row(
+            spark,
+            coverage(stores[name].read(), "daily"),
+            dataset_id=name,
+            source_dataset_id=None,
+            name=name,
+            variable="precip",
+            period_type="daily",
+            fmt=c.LEDGER_FORMAT if name != "broken" else c.CUBE_FORMAT,
+            path=stores[name].path,
+            start="1995-01-02",
+            end=end,
+            bbox=None,
+            now=now(),
+        )
+        if name == "broken":
+            temporal = F.col("coverage.temporal").withField("end", F.lit("oops"))
+            record = record.withColumn("coverage", F.col("coverage").withField("temporal", temporal))
+        records.append(record.withColumn("seq", F.lit(len(records)).cast("bigint")))
+    catalog.replace(reduce(DataFrame.unionByName, records))
     templates = spark.createDataFrame(
-        [("rain", "temporal", "append", "daily", ("complete_month", None, None, None, None, None, None)) + (None,) * 5
-         + ("P1D", None, None)],
-        TEMPLATE_SCHEMA,
+        [_template_row(n, k, e, None if k == "static" else "complete_month") for n, (k, e) in rows.items()], TEMPLATE_SCHEMA
     )
-    periods = store.committed_periods().withColumn("dataset_id", F.lit("rain"))
-    asked = spark.createDataFrame([("rain", None)], "dataset_id string, requested_end string")
-    plan = plan_sync(record, templates, periods, asked, now())
-    outcome = run_sync(
-        plan,
-        {
-            APPEND: lambda row: append_missing(cube, store, template, row["delta_start"], row["delta_end"]),
-            REMATERIALIZE: lambda row: rematerialize(cube, store, template, row["current_start"], row["target_end"]),
-        },
-    )[0]
-    done = rounded(store.read(), "precip").select("t", "y", "x", "precip")
-    return done.withColumns({"status": F.lit(outcome["status"]), "action": F.lit(outcome["action"])})
+    periods = [s.committed_periods().withColumn("dataset_id", F.lit(n)) for n, s in stores.items() if n != "broken"]
+    asked = spark.createDataFrame([(n, None) for n in rows], "dataset_id string, requested_end string")
+    plan = plan_sync(catalog.read(), templates, reduce(DataFrame.unionByName, periods), asked, now())
+
+    def template(row) -> dict:
+        fails = ["no_such_transform"] if row["dataset_id"] == "failing" else []
+        return {"id": row["dataset_id"], "variable": "precip", "transforms": fails}
+
+    def append(row):
+        return append_missing(cube, stores[row["dataset_id"]], template(row), row["delta_start"], row["delta_end"])
+
+    def rebuild(row):
+        return rematerialize(cube, stores[row["dataset_id"]], template(row), row["current_start"], row["target_end"])
+
+    def note(row, _result) -> None:
+        name = row["dataset_id"]
+        record_coverage(catalog, name, coverage(stores[name].read(), "daily"), now())
+
+    outcomes = run_sync(plan, {APPEND: append, REMATERIALIZE: rebuild}, note)
+    ends = {r["dataset_id"]: r["end"] for r in catalog.read().select("dataset_id", "coverage.temporal.end").collect()}
+    ends["broken"] = "1998-12-31" if ends["broken"] == "oops" else None  # left as it was
+    done = []
+    for outcome in outcomes:
+        name = outcome["dataset_id"]
+        notes = {"dataset_id": name, "status": outcome["status"], "action": outcome["action"], "recorded_end": ends[name]}
+        rows_of = rounded(stores[name].read().filter("precip IS NOT NULL"), "precip").select("t", "y", "x", "precip")
+        done.append(rows_of.withColumns({k: F.lit(v).cast("string") for k, v in notes.items()}))
+    return reduce(DataFrame.unionByName, done)
+
+
+@query(
+    with_views("hourly")
+    + "SELECT COUNT(*) AS n, 'refused' AS outcome FROM hourly"
+)
+def refused_first_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that no ledger and no announced write explains: an append refuses to touch them."""
+    cube = hourly_cube(spark, sf_dir)
+    store = PeriodStore(spark, scratch_path(spark, "unsafe"), "hourly")
+    data = f"{store.data_path(0)}/batch=unknown"
+    cube.write.parquet(data)
+    try:
+        append_missing(_any_shape(cube), store, TEMPLATE, "2024-01-01T00", "2024-01-31T23")
+        outcome = "written"
+    except UnsafeStoreError:
+        outcome = "refused"
+    return spark.read.parquet(data).agg(F.count("*").alias("n")).withColumn("outcome", F.lit(outcome))
+
+
+class ShipmentDays:
+    """A source adapter over the shipments: daily rain on the grid of the keys."""
+
+    def __init__(self, cube: DataFrame) -> None:
+        self.cube = cube
+
+    def grid(self, bbox):
+        return GRID
+
+    def periods(self, start: str, end: str) -> DataFrame:
+        days = self.cube.select(period_id("t", "daily").alias("period_id")).distinct()
+        return days.filter(F.col("period_id").between(start, end))
+
+    def fetch(self, periods: DataFrame, bbox) -> DataFrame:
+        keyed = self.cube.withColumn("period_id", period_id("t", "daily"))
+        return keyed.join(periods.select("period_id"), "period_id", "left_semi").drop("period_id")
+
+
+@query(
+    with_views("daily")
+    + "SELECT t, y, x, ROUND(precip, 6) AS precip FROM daily WHERE t < TIMESTAMP '2001-01-01'"
+)
+def adapter_appended_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that a source adapter offers, appended in two overlapping runs up to the end of 2000."""
+    adapter = ShipmentDays(_any_shape(precip_cube(spark, sf_dir)))
+    store = PeriodStore(spark, scratch_path(spark, "adapter"), "daily")
+    append_from(adapter, store, {"variable": "precip"}, "1990-01-01", "1997-06-30")
+    append_from(adapter, store, {"variable": "precip"}, "1996-01-01", "2000-12-31")
+    return rounded(store.read().filter("precip IS NOT NULL"), "precip").select("t", "y", "x", "precip")
+
+
+@query(
+    with_views("daily")
+    + """SELECT t, y, x, ROUND(precip, 6) AS precip, 'published' AS status, '2000-12-31' AS recorded_end, CAST(1 AS BIGINT) AS records
+         FROM daily WHERE t < TIMESTAMP '2001-01-01'"""
+)
+def ingested_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset ingested twice, first to 1997 and then to 2000: one record, brought up to date and published."""
+    cube = _any_shape(precip_cube(spark, sf_dir))
+    store = PeriodStore(spark, scratch_path(spark, "ingested"), "daily")
+    catalog = c.CatalogTable(spark, scratch_path(spark, "catalog"))
+    template = {"id": "rain", "variable": "precip"}
+    ingest(cube, store, catalog, template, "1995-01-02", "1997-12-31", now())
+    record = ingest(cube, store, catalog, template, "1995-01-02", "2000-12-31", now(), publish=True)
+    row = record.select("publication.status", F.col("coverage.temporal.end").alias("recorded_end")).first()
+    done = rounded(store.read().filter("precip IS NOT NULL"), "precip").select("t", "y", "x", "precip")
+    notes = {"status": row["status"], "recorded_end": row["recorded_end"]}
+    return done.withColumns({**{k: F.lit(v) for k, v in notes.items()}, "records": F.lit(catalog.read().count())})
 
 
 @query(

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from checks.registry import query
 from checks.views import GRID, hourly_cube, precip_cube, table, with_views, zones
+from gridtide.operators.combine import densify
+from gridtide.operators.reduce import reduce_dimension
 from gridtide.operators.resample import aggregate_temporal_period
 from gridtide.operators.zones import (
     aggregate_spatial,
@@ -18,16 +20,13 @@ from gridtide.operators.zones import (
     zonal_statistics,
 )
 from gridtide.plans.zonal_report import zonal_period_totals
+from gridtide.sources.grid import GridSpec
 
 ZONAL = with_views("daily", "zones", "assigned")
 
 MONTHLY_SQL = """, monthly AS (SELECT DATE_TRUNC('month', t) AS t, y, x, SUM(precip) AS precip FROM daily GROUP BY 1, 2, 3),
          zonal AS (SELECT zone_id, t, AVG(precip) AS precip FROM monthly JOIN assigned USING (x, y) GROUP BY 1, 2)"""
 
-# all months of the given shipments
-MONTHS = [f"{year}-{month:02d}" for year in range(1995, 2002) for month in range(1, 13)][:83]
-
-
 def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zonal_period_totals(precip_cube(spark, sf_dir), zones(spark, sf_dir), GRID.cells(spark))
 
@@ -169,18 +168,20 @@ def zones_with_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     ZONAL
     + MONTHLY_SQL
-    + "SELECT (SELECT name FROM zones z WHERE z.zone_id = zonal.zone_id) AS name, zone_id, "
-    + ", ".join(
-        f"COALESCE(MAX(CASE WHEN STRFTIME(t, '%Y-%m') = '{m}' THEN PRINTF('%.1f', ROUND(precip, 6) + 1e-9) END), 'n/a') AS \"{m}\"" for m in MONTHS
-    )
-    + " FROM zonal GROUP BY zone_id"
+    + """, months AS (SELECT DISTINCT STRFTIME(t, '%Y-%m') AS month FROM monthly), named AS (SELECT DISTINCT zone_id FROM zonal)
+         SELECT (SELECT name FROM zones z WHERE z.zone_id = n.zone_id) AS name, zone_id, month,
+                COALESCE((SELECT PRINTF('%.1f', ROUND(precip, 6) + 1e-9) FROM zonal l
+                          WHERE l.zone_id = n.zone_id AND STRFTIME(l.t, '%Y-%m') = month), 'n/a') AS text
+         FROM named n CROSS JOIN months"""
 )
 def zone_month_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zone by month table of texts with one decimal."""
+    """Zone by month table of texts with one decimal; its months are those of the data. Unpivoted to compare it."""
     features = zones(spark, sf_dir)
     # a hair above the rounded value, so that both engines print halves alike
     totals = _totals(spark, sf_dir).withColumn("precip", F.round("precip", 6) + F.lit(1e-9))
-    return pivot_zones(totals, "precip", MONTHS, features)
+    wide = pivot_zones(totals, "precip", names=features)
+    months = [name for name in wide.columns if name not in ("name", "zone_id")]
+    return wide.unpivot(["name", "zone_id"], months, "month", "text")
 
 
 @query(
@@ -195,3 +196,89 @@ def weekly_import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = cells_in_zones(GRID.cells(spark), zones(spark, sf_dir))
     rows = data_values(aggregate_spatial(weeks, held, "sum"), "precip", "rain", "weekly", category_option_combo="default")
     return rows.withColumn("value", F.round("value", 6))
+
+
+# -- grids whose steps are no binary fractions ------------------------------
+
+TENTH = GridSpec(0.1, 0.1, 10, -0.5, 0.1, 10)
+TWENTIETH = GridSpec(30.05, 0.05, 10, 9.95, -0.05, 10)
+
+
+def _tenth_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rain cube with coordinates as a file has them: decimal texts read as numbers."""
+    return precip_cube(spark, sf_dir).select(
+        "t",
+        F.format_string("%.1f", F.col("y") / 10.0 - 0.5).cast("double").alias("y"),
+        F.format_string("%.1f", (F.col("x") + 1) / 10.0).cast("double").alias("x"),
+        "precip",
+    )
+
+
+def _tenth_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The squares of the nations, shrunk to the grid of tenths."""
+    ring = F.transform(
+        F.col("rings")[0],
+        lambda p: F.struct((p["x"] / 10 + 0.1).alias("x"), (p["y"] / 10 - 0.5).alias("y")),
+    )
+    return zones(spark, sf_dir).withColumn("rings", F.array(ring))
+
+
+@query(
+    with_views("daily", "zones", "assigned")
+    + """SELECT zone_id, DATE_TRUNC('month', t) AS t, ROUND(SUM(precip), 6) AS precip
+         FROM daily JOIN assigned USING (x, y) GROUP BY 1, 2"""
+)
+def tenth_degree_zone_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums by zone first and then by month, on cells a tenth wide: zones stay apart and no cell is lost."""
+    held = cells_in_zones(TENTH.cells(spark), _tenth_zones(spark, sf_dir), 0.1, 0.1)
+    daily = aggregate_spatial(_tenth_cube(spark, sf_dir), held, "sum")
+    monthly = aggregate_temporal_period(daily, "month", "sum")
+    return monthly.withColumn("precip", F.round("precip", 6))
+
+
+@query(
+    with_views("daily", "zones", "assigned")
+    + """SELECT zone_id, DATE_TRUNC('month', t) AS t, CAST(COUNT(v) AS DOUBLE) AS "count", ROUND(SUM(v), 6) AS "sum", ROUND(AVG(v), 6) AS mean,
+                ROUND(MIN(v), 6) AS "min", ROUND(MAX(v), 6) AS "max", ROUND(MEDIAN(v), 6) AS median, ROUND(STDDEV_POP(v), 5) AS std
+         FROM (SELECT zone_id, t, precip AS v FROM daily JOIN assigned USING (x, y)) GROUP BY 1, 2"""
+)
+def tenth_degree_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven statistics per zone and month on cells a tenth wide."""
+    names = ("count", "sum", "mean", "min", "max", "median", "std")
+    held = cells_in_zones(TENTH.cells(spark), _tenth_zones(spark, sf_dir), 0.1, 0.1)
+    cube = _tenth_cube(spark, sf_dir).withColumn("t", F.date_trunc("month", "t").cast("timestamp_ntz"))
+    stats = zonal_statistics(cube, held, "precip", names)
+    return stats.withColumns({name: F.round(name, 5 if name == "std" else 6) for name in names})
+
+
+@query(
+    with_views("daily", "zones", "assigned")
+    + "SELECT zone_id, ROUND(MAX(p), 6) AS precip FROM (SELECT zone_id, t, SUM(precip) AS p FROM daily JOIN assigned USING (x, y) GROUP BY 1, 2) GROUP BY 1"
+)
+def zone_maxima_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wettest day of every zone: time is reduced and zones are kept."""
+    held = cells_in_zones(GRID.cells(spark), zones(spark, sf_dir))
+    daily = aggregate_spatial(precip_cube(spark, sf_dir), held, "sum")
+    return reduce_dimension(daily, "t", "max").withColumn("precip", F.round("precip", 6))
+
+
+@query(
+    with_views("hourly")
+    + """, days AS (SELECT DATE_TRUNC('day', t) AS t, y, x, SUM(t2m) AS t2m FROM hourly GROUP BY 1, 2, 3),
+         spine AS (SELECT UNNEST(GENERATE_SERIES((SELECT MIN(t) FROM days), (SELECT MAX(t) FROM days), INTERVAL 1 DAY)) AS t)
+         SELECT s.t, c.iy, c.ix, ROUND(t2m, 6) AS t2m
+         FROM spine s CROSS JOIN (SELECT a.r AS ix, b.r AS iy FROM RANGE(10) a(r), RANGE(10) b(r)) c
+         LEFT JOIN days d ON d.t = s.t AND d.y = c.iy AND d.x = c.ix"""
+)
+def twentieth_degree_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days made dense on cells a twentieth wide, rows from north to south; stored coordinates are decimal texts."""
+    cube = hourly_cube(spark, sf_dir).groupBy(F.date_trunc("day", "t").cast("timestamp_ntz").alias("t"), "y", "x")
+    cube = cube.agg(F.sum("t2m").alias("t2m")).select(
+        "t",
+        F.format_string("%.2f", F.lit(9.95) - F.col("y") * 0.05).cast("double").alias("y"),
+        F.format_string("%.2f", F.lit(30.05) + F.col("x") * 0.05).cast("double").alias("x"),
+        "t2m",
+    )
+    dense = densify(cube, "daily", TWENTIETH.cells(spark))
+    iy, ix = TWENTIETH.iy(F.col("y")).alias("iy"), TWENTIETH.ix(F.col("x")).alias("ix")
+    return dense.select("t", iy, ix, F.round("t2m", 6).alias("t2m"))

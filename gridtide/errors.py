@@ -19,3 +19,7 @@ class UnsafeStoreError(RuntimeError):
 
 class ShapeError(RuntimeError):
     """A period does not have the cells the store expects."""
+
+
+class SplitPeriodError(GridError):
+    """A period that is stored already comes again from another file."""

@@ -16,6 +16,7 @@ WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
 
 # Unit -> period type of the resampled dataset.
 RESULT_PERIOD_TYPES = {
+    "minute": "hourly",
     "hour": "hourly",
     "day": "daily",
     "week": "weekly",
@@ -25,9 +26,13 @@ RESULT_PERIOD_TYPES = {
 }
 
 
+# Months of each calendar unit.
+UNIT_MONTHS = {"month": 1, "quarter": 3, "year": 12}
+
+
 @dataclass(frozen=True)
 class Frequency:
-    """A parsed frequency alias: ``n`` hours or days, a week with its first weekday, or a calendar unit."""
+    """A parsed frequency alias: ``n`` minutes, hours, days, weeks with their first weekday, or calendar units."""
 
     alias: str
     unit: str
@@ -41,7 +46,7 @@ class Frequency:
     @property
     def needs_origin(self) -> bool:
         """Whether the bins depend on the first day of the data."""
-        return self.unit in ("hour", "day") and self.n > 1
+        return self.n > 1
 
     def bin_date(self, day: Column, origin_day: Column | None = None) -> Column:
         """Bin label of a day, as a date. Only for frequencies of whole days."""
@@ -50,12 +55,27 @@ class Frequency:
                 return day
             return F.date_sub(day, F.pmod(F.datediff(day, origin_day), F.lit(self.n)))
         if self.unit == "week":
-            return F.date_sub(day, F.pmod(F.weekday(day) - self.weekday, F.lit(7)))
-        return F.trunc(day, self.unit)
+            start = self._week_start(day)
+            if self.n == 1:
+                return start
+            return F.date_sub(start, F.pmod(F.datediff(start, self._week_start(origin_day)), F.lit(7 * self.n)))
+        start = F.trunc(day, self.unit)
+        if self.n == 1:
+            return start
+        since = F.round(F.months_between(start, F.trunc(origin_day, self.unit))).cast("int")
+        return F.add_months(start, -F.pmod(since, F.lit(self.n * UNIT_MONTHS[self.unit])))
+
+    def _week_start(self, day: Column) -> Column:
+        return F.date_sub(day, F.pmod(F.weekday(day) - self.weekday, F.lit(7)))
 
     def bin_key(self, t: Column, origin_day: Column | None = None) -> Column:
-        """Grouping key of the bin: a date, or hours since the epoch for hourly bins."""
+        """Grouping key of the bin: a date, or minutes or hours since the epoch for shorter bins."""
         day = F.to_date(t)
+        if self.unit == "minute":
+            minutes = (_epoch_hours(day) + F.hour(t)) * 60 + F.minute(t)
+            if self.n == 1:
+                return minutes
+            return minutes - F.pmod(minutes - _epoch_hours(origin_day) * 60, F.lit(self.n))
         if self.unit != "hour":
             return self.bin_date(day, origin_day)
         hours = _epoch_hours(day) + F.hour(t)
@@ -65,6 +85,9 @@ class Frequency:
 
     def label(self, key: Column) -> Column:
         """Bin key to its naive start time."""
+        if self.unit == "minute":
+            day = F.date_from_unix_date((key / 1440).cast("int")).cast("timestamp_ntz")
+            return day + F.make_dt_interval(F.lit(0), F.lit(0), F.pmod(key, F.lit(1440)))
         if self.unit != "hour":
             return key.cast("timestamp_ntz")
         return F.date_from_unix_date((key / 24).cast("int")).cast("timestamp_ntz") + F.make_dt_interval(
@@ -78,27 +101,31 @@ class Frequency:
     @property
     def step_text(self) -> str:
         size, unit = {
-            "hour": (self.n, "HOUR"),
-            "day": (self.n, "DAY"),
+            "minute": (1, "MINUTE"),
+            "hour": (1, "HOUR"),
+            "day": (1, "DAY"),
             "week": (7, "DAY"),
             "month": (1, "MONTH"),
             "quarter": (3, "MONTH"),
             "year": (1, "YEAR"),
         }[self.unit]
+        size *= self.n
         return f"INTERVAL {size} {unit}"
 
     def roll_forward(self, moment: dt.datetime) -> dt.datetime:
         """First calendar anchor strictly after ``moment``, keeping its time of day."""
+        if self.unit == "minute":
+            return moment + dt.timedelta(minutes=self.n)
         if self.unit == "hour":
             return moment + dt.timedelta(hours=self.n)
         if self.unit == "day":
             return moment + dt.timedelta(days=self.n)
         if self.unit == "week":
             ahead = (self.weekday - moment.weekday()) % 7 or 7
-            return moment + dt.timedelta(days=ahead)
-        months = {"month": 1, "quarter": 3, "year": 12}[self.unit]
+            return moment + dt.timedelta(days=ahead + 7 * (self.n - 1))
+        months = UNIT_MONTHS[self.unit]
         index = moment.year * 12 + moment.month - 1
-        index += months - index % months
+        index += months - index % months + months * (self.n - 1)
         return moment.replace(year=index // 12, month=index % 12 + 1, day=1)
 
 
@@ -107,17 +134,22 @@ def _epoch_hours(day: Column) -> Column:
 
 
 def parse_frequency(alias: str) -> Frequency:
-    """Read ``nh``, ``nD``, ``W`` / ``W-XXX``, ``MS``, ``QS`` or ``YS``; anything else is refused by name."""
+    """Read ``nmin``, ``nh``, ``nD``, ``nW`` / ``nW-XXX``, ``nMS``, ``nQS`` or ``nYS``; anything else is refused by name.
+
+    Bins of several units count from the first bin of the data.
+    """
     text = (alias or "").strip()
-    fixed = re.fullmatch(r"(\d*)(h|H|D|d)", text)
+    fixed = re.fullmatch(r"(\d*)(min|h|H|D|d)", text)
+    units = {"min": "minute", "h": "hour", "H": "hour", "D": "day", "d": "day"}
     if fixed and int(fixed[1] or 1) > 0:
-        return Frequency(text, "hour" if fixed[2] in "hH" else "day", int(fixed[1] or 1))
-    week = re.fullmatch(r"1?W(?:-([A-Z]{3}))?", text.upper())
-    if week and (week[1] or "SUN") in WEEKDAYS:
-        return Frequency(text, "week", weekday=WEEKDAYS.index(week[1] or "SUN"))
+        return Frequency(text, units[fixed[2]], int(fixed[1] or 1))
+    week = re.fullmatch(r"(\d*)W(?:-([A-Z]{3}))?", text.upper())
+    if week and (week[2] or "SUN") in WEEKDAYS and int(week[1] or 1) > 0:
+        return Frequency(text, "week", int(week[1] or 1), WEEKDAYS.index(week[2] or "SUN"))
     calendar = {"MS": "month", "QS": "quarter", "QS-JAN": "quarter", "YS": "year", "YS-JAN": "year"}
-    if text.upper() in calendar:
-        return Frequency(text, calendar[text.upper()])
+    several = re.fullmatch(r"(\d*)([MQY]S(?:-JAN)?)", text.upper())
+    if several and several[2] in calendar and int(several[1] or 1) > 0:
+        return Frequency(text, calendar[several[2]], int(several[1] or 1))
     raise GridError(f"Invalid frequency '{alias}'")
 
 

@@ -22,7 +22,7 @@ from gridtide.errors import GridError, NotFoundError
 from gridtide.functions.periods import period_start
 from gridtide.operators.select import filter_bands, filter_bbox, slice_time, stack_bands
 from gridtide.sources import files
-from gridtide.sources.cube import read_cube
+from gridtide.sources.cube import cut_by_bucket, read_cube
 
 BOX_TYPE = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
 SPAN_TYPE = "struct<start:string,end:string>"
@@ -99,9 +99,13 @@ def version_history(artifacts: DataFrame) -> DataFrame:
     )
 
 
-def dataset_versions(artifacts: DataFrame, dataset_ids: Sequence[str]) -> DataFrame:
-    """The versions of the named datasets as one nested list per dataset, newest first."""
-    picked = artifacts.filter(F.col("dataset_id").isin(list(dataset_ids)))
+def dataset_versions(artifacts: DataFrame, dataset_ids: Sequence[str] | None = None) -> DataFrame:
+    """The versions of the named datasets, or of all, as one nested list per dataset, newest first.
+
+    A list is one row, so this is for catalogs with a moderate number of versions; ``version_history`` has
+    a row per version instead.
+    """
+    picked = artifacts if dataset_ids is None else artifacts.filter(F.col("dataset_id").isin(list(dataset_ids)))
     entry = F.struct("created_at", (-F.col("seq")).alias("order"), "format", "coverage", "request_scope")
     lists = picked.groupBy("dataset_id").agg(F.sort_array(F.collect_list(entry), asc=False).alias("versions"))
     return lists.withColumn("versions", F.transform("versions", lambda v: v.dropFields("order")))
@@ -140,7 +144,9 @@ def realise_scope(artifacts: DataFrame) -> DataFrame:
 def matching_records(
     artifacts: DataFrame, requests: DataFrame, existing_paths: DataFrame | None = None
 ) -> DataFrame:
-    """Every record that could serve a request: same dataset, identical scope, exact coverage, stored.
+    """Every record that could serve a request, pair by pair: same dataset, identical scope, exact coverage, stored.
+
+    This lists all pairs of a scope; where only the last record counts, ``find_existing`` reduces first.
 
     ``requests`` has request_id, dataset_id and request_scope; NULL equals NULL in a scope.
     """
@@ -158,21 +164,55 @@ def last_match(matches: DataFrame) -> DataFrame:
     return ranked.filter(F.col("__rank") == 1).drop("__rank")
 
 
+def last_usable(artifacts: DataFrame, existing_paths: DataFrame | None = None) -> DataFrame:
+    """One row per dataset and scope: how many stored records cover the scope, and the last one added.
+
+    Whether a record serves a request depends on dataset and scope alone, so the records of a scope are reduced
+    before any request is looked at, however many there are.
+    """
+    candidates = materialized(artifacts, existing_paths) if existing_paths is not None else artifacts
+    usable = candidates.filter(coverage_matches(F.col("coverage"), F.col("request_scope")))
+    return usable.groupBy("dataset_id", "request_scope").agg(
+        F.count("*").alias("candidates"),
+        F.max_by(F.struct(*[F.col(name) for name in artifacts.columns]), "seq").alias("record"),
+    )
+
+
+def requested(usable: DataFrame, requests: DataFrame) -> DataFrame:
+    """``request_id, candidates, record`` of every request that has a usable record; NULL equals NULL in a scope."""
+    asked = requests.select("request_id", F.col("dataset_id").alias("__dataset"), F.col("request_scope").alias("__scope"))
+    same = (F.col("dataset_id") == F.col("__dataset")) & F.col("request_scope").eqNullSafe(F.col("__scope"))
+    return usable.join(asked, same).select("request_id", "candidates", "record")
+
+
 def find_existing(
     artifacts: DataFrame, requests: DataFrame, existing_paths: DataFrame | None = None
 ) -> DataFrame:
     """The stored result each request can reuse; requests without one are left out."""
-    return last_match(matching_records(artifacts, requests, existing_paths))
+    return requested(last_usable(artifacts, existing_paths), requests).select("record.*", "request_id")
+
 
+def one_per_scope(new: DataFrame, last: bool) -> DataFrame:
+    """Of new records with the same dataset and scope the last, or the first."""
+    pick = F.max_by if last else F.min_by
+    whole = F.struct(*[F.col(name) for name in new.columns])
+    order = F.struct("seq", "artifact_id")
+    return new.groupBy("dataset_id", "request_scope").agg(pick(whole, order).alias("r")).select("r.*")
 
-def upsert_artifact(artifacts: DataFrame, new: DataFrame, overwrite: bool = False) -> DataFrame:
+
+def upsert_artifact(
+    artifacts: DataFrame, new: DataFrame, overwrite: bool = False, existing_paths: DataFrame | None = None
+) -> DataFrame:
     """The catalog after adding ``new`` records.
 
     Without ``overwrite`` an existing match is kept and the new record dropped. With it the new
     record takes the place of the match but keeps its id and publication. No match: it is appended.
+    Of new records with the same dataset and scope the first is added, or with ``overwrite`` the last.
+    With ``existing_paths`` a record whose files are gone is no match.
     """
+    new = one_per_scope(new, overwrite)
     requests = new.select(F.col("artifact_id").alias("request_id"), "dataset_id", "request_scope")
-    found = find_existing(artifacts, requests).select(
+    found = find_existing(artifacts, requests, existing_paths).select(
         F.col("request_id").alias("__new"),
         F.col("artifact_id").alias("__old"),
         F.col("seq").alias("__old_seq"),
@@ -352,12 +392,13 @@ def load_collection(
         raise NotFoundError(f"Collection '{dataset_id}' not found")
     if record["path"] is None:
         raise GridError(f"The newest record of '{dataset_id}' has no readable path")
+    start, end = (list(temporal_extent or []) + [None, None])[:2]
     if record["format"] == LEDGER_FORMAT:
         from gridtide.streaming.store import PeriodStore
 
-        cube = PeriodStore(spark, record["path"]).read()
+        cube = PeriodStore(spark, record["path"]).read(start, end)
     else:
-        cube = read_cube(spark, record["path"])
+        cube = cut_by_bucket(read_cube(spark, record["path"]), start, end)
     return cut_collection(cube, spatial_extent, temporal_extent, bands)
 
 
@@ -404,8 +445,8 @@ class CatalogTable:
         artifacts.write.mode("overwrite").parquet(f"{self.path}/version={version:08d}")
         return self.read()
 
-    def upsert(self, new: DataFrame, overwrite: bool = False) -> DataFrame:
-        return self.replace(upsert_artifact(self.read(), new, overwrite))
+    def upsert(self, new: DataFrame, overwrite: bool = False, existing_paths: DataFrame | None = None) -> DataFrame:
+        return self.replace(upsert_artifact(self.read(), new, overwrite, existing_paths))
 
     def publish(self, artifact_ids: Sequence[str], now: Column) -> DataFrame:
         return self.replace(publish(self.read(), artifact_ids, now))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridtide.errors import GridError
 from gridtide.functions.periods import PERIOD_STEPS, period_id, periods_between, truncate_to_period
 from gridtide.schema import key_columns, value_columns
+from gridtide.sources.grid import GridSpec, numbered_cells
 
 
 def merge_cubes(
@@ -73,20 +74,26 @@ def densify(
     start: Column | None = None,
     end: Column | None = None,
     extra_dims: Sequence[str] = (),
+    grid: GridSpec | None = None,
 ) -> DataFrame:
     """Give every cell a row in every period; what was not there becomes NULL.
 
     Each cell generates its own periods, so nothing is paired up across tasks. Times are taken to
-    be period starts.
+    be period starts. Cells are matched by their numbers on ``grid``, see ``numbered_cells``.
     """
     if period_type not in PERIOD_STEPS:
         raise GridError(f"Unsupported period_type '{period_type}'")
     spots = key_columns(cube, extra_dims, drop=("t",))
-    cells = cells.select(*spots) if cells is not None else cube.select(*spots).distinct()
+    others = [k for k in spots if k not in ("x", "y")]
+    if cells is None:
+        numbered, _ = numbered_cells(cube, cube, grid)
+        one = numbered.groupBy(*others, "__iy", "__ix").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+        cells = one.select(*spots)
     if start is None or end is None:
         span = cube.agg(F.struct(F.min("t").alias("a"), F.max("t").alias("b"))).scalar()
         start = span["a"] if start is None else start
         end = span["b"] if end is None else end
-    spine = cells.select(*spots, F.explode(periods_between(start, end, period_type)).alias("t"))
-    keys = key_columns(cube, extra_dims)
-    return spine.join(cube, keys, "left").select(*keys, *value_columns(cube, extra_dims))
+    values, spots_of = numbered_cells(cube, cells.select(*spots), grid)
+    spine = spots_of.select(*spots, "__iy", "__ix", F.explode(periods_between(start, end, period_type)).alias("t"))
+    joined = spine.join(values.drop("x", "y"), [*others, "t", "__iy", "__ix"], "left")
+    return joined.select(*key_columns(cube, extra_dims), *value_columns(cube, extra_dims))

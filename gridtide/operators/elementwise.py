@@ -64,7 +64,10 @@ def run_transforms(cube: DataFrame, template: Mapping[str, Any]) -> DataFrame:
 def apply(cube: DataFrame, fn: Callable[[Column], Column], columns: Sequence[str] | None = None) -> DataFrame:
     """Apply a callback to every value of the cube."""
     columns = list(columns) if columns is not None else value_columns(cube)
-    return cube.withColumns({name: fn(F.col(name)) for name in columns})
+    out = cube.withColumns({name: fn(F.col(name)) for name in columns})
+    for name in columns:
+        out = out.withMetadata(name, cube.schema[name].metadata)
+    return out
 
 
 def rename_labels(
@@ -73,14 +76,22 @@ def rename_labels(
     """Replace the labels of a dimension by ``target``, position by position.
 
     ``source`` names the present labels in order; without it they are taken in ascending order.
-    The map is as long as the list handed in, so it travels inside the plan.
+    The map is as long as the list handed in, so it travels inside the plan. A label without a
+    target, and a target without a label, fail the query.
     """
     if source is not None:
         if len(source) != len(target):
             raise GridError(f"{len(source)} labels cannot be replaced by {len(target)}")
         pairs = [part for old, new in zip(source, target) for part in (F.lit(old), F.lit(new))]
-        return cube.withColumn(dimension, F.create_map(*pairs)[F.col(dimension)])
+        renamed = F.create_map(*pairs)[F.col(dimension)]
+        unknown = F.raise_error(F.concat(F.lit(f"No new label for {dimension} "), F.col(dimension).cast("string")))
+        kept = F.when(F.col(dimension).isNotNull(), F.coalesce(renamed, unknown))
+        return cube.withColumn(dimension, kept)
     ordered = cube.agg(F.array_sort(F.collect_set(dimension)).alias("labels")).scalar()
     new_labels = F.array(*[F.lit(label) for label in target])
     position = F.array_position(ordered, F.col(dimension)).cast("int")
-    return cube.withColumn(dimension, F.try_element_at(new_labels, position))
+    differ = F.raise_error(
+        F.concat(F.size(ordered).cast("string"), F.lit(f" labels of {dimension} cannot be replaced by {len(target)}"))
+    )
+    fits = F.size(ordered) == len(target)
+    return cube.withColumn(dimension, F.when(fits, F.try_element_at(new_labels, position)).otherwise(differ))

@@ -13,7 +13,7 @@ from gridtide.errors import GridError
 from gridtide.functions.crs import WGS84, bounds_wgs84
 from gridtide.functions.periods import period_id
 from gridtide.functions.reducers import Reducer, reducer
-from gridtide.schema import key_columns, value_columns
+from gridtide.schema import folded_columns, key_columns, value_columns
 from gridtide.sources.grid import GridSpec
 
 # When overviews are needed, and how many.
@@ -35,7 +35,7 @@ def reduce_dimension(
     if column not in keys:
         raise GridError(f"Dimension '{dimension}' not found. Available: {keys}")
     fold = reducer(reducer_name)
-    values = value_columns(cube, extra_dims)
+    keys, values = folded_columns(cube, extra_dims)
     return cube.groupBy(*[k for k in keys if k != column]).agg(*[fold(F.col(v)).alias(v) for v in values])
 
 
@@ -47,8 +47,7 @@ def reduce_bands(stacked: DataFrame, reducer_name: str | Reducer, extra_dims: Se
 def reduce_spatial(cube: DataFrame, reducer_name: str | Reducer, extra_dims: Sequence[str] = ()) -> DataFrame:
     """One value per time step over all cells."""
     fold = reducer(reducer_name)
-    values = value_columns(cube, extra_dims)
-    keys = key_columns(cube, extra_dims, drop=("x", "y"))
+    keys, values = folded_columns(cube, extra_dims, drop=("x", "y"))
     return cube.groupBy(*keys).agg(*[fold(F.col(v)).alias(v) for v in values])
 
 

@@ -11,7 +11,7 @@ from gridtide.errors import GridError
 from gridtide.functions.crs import normalise_crs, transform_bounds, transform_point
 from gridtide.operators.select import nearest_on_axis
 from gridtide.schema import key_columns, value_columns
-from gridtide.sources.grid import GridSpec, infer_grid
+from gridtide.sources.grid import GridSpec, axis_number, infer_grid
 
 
 def resample_cube_spatial(
@@ -36,8 +36,12 @@ def resample_cube_spatial(
     x_map = nearest_on_axis(columns, "tx", cells.select("x"), "x", "x").select("x", "tx")
     y_map = nearest_on_axis(rows, "ty", cells.select("y"), "y", "y").select("y", "ty")
     keys = key_columns(cube, extra_dims, drop=("x", "y"))
-    source = cube.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
-    moved = source.join(x_map, "x").join(y_map, "y")
+    moved = cube
+    for axis, axis_map in (("x", x_map), ("y", y_map)):
+        here, there = axis_number([cells, axis_map], axis)
+        moved = moved.withColumn(f"__i{axis}", here).join(
+            axis_map.select(there.alias(f"__i{axis}"), f"t{axis}"), f"__i{axis}"
+        )
     return moved.select(*keys, F.col("ty").alias("y"), F.col("tx").alias("x"), *value_columns(cube, extra_dims))
 
 

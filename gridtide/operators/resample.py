@@ -13,7 +13,7 @@ from gridtide.functions.frequency import Frequency, parse_frequency
 from gridtide.functions.periods import by_period_type, truncate_to_period
 from gridtide.functions.reducers import RESAMPLE_METHODS, Reducer, reducer
 from gridtide.operators.select import naive, parse_partial
-from gridtide.schema import key_columns, value_columns
+from gridtide.schema import folded_columns, key_columns
 
 # Calendar groups of aggregate_temporal_period.
 CALENDAR_PERIODS = ("day", "week", "month", "season", "year")
@@ -105,8 +105,7 @@ def resample(
     source_times = in_range((times if times is not None else cube).select("t"))
     edges = _edges(source_times, freq, source_period_type)
 
-    values = value_columns(cube, extra_dims)
-    keys = key_columns(cube, extra_dims, drop=("t",))
+    keys, values = folded_columns(cube, extra_dims, drop=("t",))
     fold = reducer(method)
     complete = in_range(cube).filter((F.col("t") >= edges["low"]) & (F.col("t") < edges["high"]))
     binned = complete.select(
@@ -147,9 +146,9 @@ def aggregate_temporal_period(
 ) -> DataFrame:
     """Reduce every calendar group per cell. Incomplete groups at the edges are kept."""
     fold = reducer(reducer_name)
-    values = value_columns(cube, extra_dims)
-    keys = key_columns(cube, extra_dims, drop=("t",))
+    keys, values = folded_columns(cube, extra_dims, drop=("t",))
     grouped = cube.groupBy(calendar_start(F.col("t"), period).alias("__start"), *keys)
     folded = grouped.agg(*[fold(F.col(name)).alias(name) for name in values])
     start = F.col("__start").cast("timestamp_ntz").alias("t")
-    return folded.select(*[start if k == "t" else F.col(k) for k in key_columns(cube, extra_dims)], *values)
+    kept = [F.col(v).alias(v, metadata=cube.schema[v].metadata) for v in values]
+    return folded.select(*[start if k == "t" else F.col(k) for k in key_columns(cube, extra_dims)], *kept)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from gridtide.errors import GridError
 from gridtide.functions.periods import period_id
 from gridtide.functions.reducers import Reducer, reducer
-from gridtide.schema import key_columns, value_columns
+from gridtide.schema import folded_columns, key_columns
+from gridtide.sources.grid import GridSpec, numbered_cells
 
 # Statistics that may be asked for, and the default.
 ZONAL_STATS = ("count", "sum", "mean", "min", "max", "median", "std")
@@ -171,58 +172,59 @@ def grid_cells(cube: DataFrame) -> DataFrame:
 
 
 def aggregate_spatial(
-    cube: DataFrame, assignment: DataFrame, reducer_name: str | Reducer = "mean", extra_dims: Sequence[str] = ()
+    cube: DataFrame,
+    assignment: DataFrame,
+    reducer_name: str | Reducer = "mean",
+    extra_dims: Sequence[str] = (),
+    grid: GridSpec | None = None,
 ) -> DataFrame:
-    """Reduce the cells of every zone per time step. ``assignment`` comes from ``cells_in_zones``."""
+    """Reduce the cells of every zone per time step. ``assignment`` comes from ``cells_in_zones``.
+
+    Cells are matched by their numbers on ``grid``, see ``numbered_cells``.
+    """
     fold = reducer(reducer_name)
-    values = value_columns(cube, extra_dims)
-    keys = ["zone_id", *key_columns(cube, extra_dims, drop=("x", "y"))]
-    joined = cube.join(assignment.select("zone_id", "x", "y"), ["x", "y"])
+    dims, values = folded_columns(cube, extra_dims, drop=("x", "y"))
+    keys = ["zone_id", *[k for k in dims if k != "zone_id"]]
+    placed, cells = numbered_cells(cube.drop("zone_id"), assignment.select("zone_id", "x", "y"), grid)
+    joined = placed.join(cells.drop("x", "y"), ["__iy", "__ix"])
     return joined.groupBy(*keys).agg(*[fold(F.col(v)).alias(v) for v in values])
 
 
-def exact_median(rows: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
+def bracket(value: str) -> Column:
+    """Two values around the median of a group, from a mergeable sketch whose rank error is bounded."""
+    slack = 2.0 / SKETCH_ACCURACY
+    return F.percentile_approx(value, F.array(F.lit(0.5 - slack), F.lit(0.5 + slack)), SKETCH_ACCURACY)
+
+
+def exact_median(
+    rows: DataFrame, keys: Sequence[str], value: str, around: DataFrame | None = None, out: str = "median"
+) -> DataFrame:
     """Exact median per group, without bringing a group together in one task.
 
-    A mergeable sketch gives each group two values around its median. Counting what lies below the
-    lower one leaves only the rows in between to be ranked, and these are first collapsed to
-    distinct values with counts. Should the sketch ever miss, the group keeps all of its values,
-    so the result is exact either way.
+    ``around`` has the ``bracket`` of each group and ``total``, its number of values. Values are collapsed to
+    distinct ones with counts where they lie. Those below the bracket are then summed up and those above it
+    left out, so that only the few in between, two in ``SKETCH_ACCURACY`` of the group, are ranked. The error bound of the
+    sketch guarantees that the median is among them; should it ever not be, the query fails.
     """
     keys = list(keys)
+    if around is None:
+        around = rows.groupBy(*keys).agg(F.count(value).alias("total"), bracket(value).alias("around"))
     known = rows.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
     counted = known.groupBy(*keys, "v").agg(F.count("*").alias("n"))
-    slack = 2.0 / SKETCH_ACCURACY
-    around = F.percentile_approx("v", F.array(F.lit(0.5 - slack), F.lit(0.5 + slack)), SKETCH_ACCURACY)
-    sketch = known.groupBy(*keys).agg(around.alias("around"), F.count("*").alias("total"))
-    low, high = F.col("around")[0], F.col("around")[1]
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    placed = counted.alias("c").join(sketch.alias("s"), same)
-    placed = placed.select(*[F.col(f"c.{k}").alias(k) for k in keys], "v", "n", "total", "around")
-    below = F.sum(F.when(F.col("v") < low, F.col("n")).otherwise(0)).alias("below")
-    upto = F.sum(F.when(F.col("v") <= high, F.col("n")).otherwise(0)).alias("upto")
-    lower_rank, upper_rank = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
-    check = placed.groupBy(*keys).agg(below, upto, F.first("total").alias("total"), F.first("around").alias("around"))
-    holds = (F.col("below") < lower_rank) & (F.col("upto") >= upper_rank)
-    check = check.select(
-        *keys,
-        "total",
-        F.when(holds, low).otherwise(F.lit(float("-inf"))).alias("low"),
-        F.when(holds, high).otherwise(F.lit(float("inf"))).alias("high"),
-        F.when(holds, F.col("below")).otherwise(0).alias("below"),
-    )
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]
-    near = counted.alias("c").join(
-        check.alias("g"), [*same, F.col("c.v") >= F.col("g.low"), F.col("c.v") <= F.col("g.high")]
-    )
-    near = near.select(*[F.col(f"c.{k}").alias(k) for k in keys], "v", "n", "total", "below")
-    upto_here = F.sum("n").over(Window.partitionBy(*keys).orderBy("v")) + F.col("below")
-    ranked = near.withColumn("last", upto_here).withColumn("first", F.col("last") - F.col("n") + 1)
+    placed = counted.alias("c").join(around.alias("s"), same).filter(F.col("v") <= F.col("around")[1])
+    inside = F.when(F.col("v") >= F.col("around")[0], F.col("v")).alias("v")
+    near = placed.select(*[F.col(f"c.{k}").alias(k) for k in keys], inside, "n", "total")
+    near = near.groupBy(*keys, "v").agg(F.sum("n").alias("n"), F.first("total").alias("total"))
+    last = F.sum("n").over(Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first()))
+    ranked = near.withColumn("last", last).withColumn("first", F.col("last") - F.col("n") + 1)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("v")))
 
-    return ranked.groupBy(*keys).agg(((at(lower_rank) + at(upper_rank)) / 2).alias(out))
+    found = (at(F.floor((F.col("total") + 1) / 2)) + at(F.floor(F.col("total") / 2) + 1)) / 2
+    missed = F.raise_error(F.lit("The sketch of a median missed it"))
+    return ranked.groupBy(*keys).agg(F.coalesce(found, missed).alias(out))
 
 
 def zonal_statistics(
@@ -233,8 +235,9 @@ def zonal_statistics(
     include_nodata: bool = False,
     nodata: float | None = None,
     extra_dims: Sequence[str] = (),
+    grid: GridSpec | None = None,
 ) -> DataFrame:
-    """Statistics of one variable per zone and time step.
+    """Statistics of one variable per zone and time step; cells are matched by their numbers on ``grid``.
 
     Nodata is left out unless ``include_nodata``. If ``assignment`` has a ``weight`` (from
     ``cell_weights``), count, sum, mean and std are weighted by the covered share of each cell.
@@ -245,12 +248,13 @@ def zonal_statistics(
     weighted = "weight" in assignment.columns
     if weighted and "median" in stats:
         raise GridError("The median is not defined for partly covered cells")
-    keys = ["zone_id", *key_columns(cube, extra_dims, drop=("x", "y"))]
+    keys = ["zone_id", *key_columns(cube, extra_dims, drop=("x", "y", "zone_id"))]
     v = F.col(value).cast("double")
     if nodata is not None and not include_nodata:
         v = F.when(v != F.lit(float(nodata)), v)
     columns = ["zone_id", "x", "y", *(["weight"] if weighted else [])]
-    rows = cube.join(assignment.select(*columns), ["x", "y"]).select(
+    placed, cells = numbered_cells(cube.drop("zone_id"), assignment.select(*columns), grid)
+    rows = placed.join(cells.drop("x", "y"), ["__iy", "__ix"]).select(
         *keys, v.alias("v"), (F.col("weight") if weighted else F.lit(1.0)).alias("w")
     )
     v, w = F.col("v"), F.when(F.col("v").isNotNull(), F.col("w"))
@@ -269,8 +273,12 @@ def zonal_statistics(
     if "median" not in stats:
         return rows.groupBy(*keys).agg(*[folds[name].alias(name) for name in plain])
     # every group needs a row, also one with only missing values
-    base = rows.groupBy(*keys).agg(*[folds[name].alias(name) for name in plain or ["count"]])
-    median = exact_median(rows, keys, "v").alias("m")
+    base = rows.groupBy(*keys).agg(
+        *[folds[name].alias(name) for name in plain],
+        F.count("v").alias("total"),
+        bracket("v").alias("around"),
+    )
+    median = exact_median(rows, keys, "v", base.select(*keys, "total", "around")).alias("m")
     same = [F.col(f"b.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
     joined = base.alias("b").join(median, same, "left")
     return joined.select(

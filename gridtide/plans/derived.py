@@ -97,7 +97,7 @@ def materialize_resampled(
     frequency: str,
     method: str,
     start: str,
-    end: str,
+    end: str | None = None,
     now: Column,
     overwrite: bool = False,
     publish: bool = True,
@@ -105,11 +105,15 @@ def materialize_resampled(
 ) -> DataFrame:
     """Resample a stored cube, write the result and record it. Returns the record in force.
 
+    Without ``end`` the range runs to the day of ``now``. A recorded result whose files are gone is not reused.
+
     A stored result of the same scope is reused. Start and end are brought to the period format of
     the result first, so weekly and monthly results are found again.
     """
     freq = parse_frequency(frequency)
     dataset_id = _scalar(spark, derived_id(F.lit(source_dataset_id), F.lit(frequency), F.lit(method)))
+    if end is None:
+        end = _scalar(spark, F.date_format(now, "yyyy-MM-dd"))
     scope_start = _scalar(spark, normalize_period(F.lit(start), freq.period_type))
     scope_end = _scalar(spark, normalize_period(F.lit(end), freq.period_type))
 
@@ -119,7 +123,14 @@ def materialize_resampled(
             "request_id string, dataset_id string, "
             "request_scope struct<start:string,end:string,bbox:struct<xmin:double,ymin:double,xmax:double,ymax:double>>",
         )
-        return find_existing(catalog.read(), request).drop("request_id")
+        return find_existing(catalog.read(), request, existing()).drop("request_id")
+
+    def existing() -> DataFrame:
+        # only the records of this one dataset are looked up
+        own = catalog.read().filter(F.col("dataset_id") == dataset_id)
+        paths = own.select(F.explode(F.concat(F.array("path"), F.coalesce("asset_paths", F.array().cast("array<string>")))).alias("path"))
+        kept = [(r["path"],) for r in paths.filter("path IS NOT NULL").distinct().toLocalIterator() if files.exists(spark, r["path"])]
+        return spark.createDataFrame(kept, "path string")
 
     def in_force(records: DataFrame) -> DataFrame:
         row = records.select("artifact_id", "publication.status").first()
@@ -159,5 +170,5 @@ def materialize_resampled(
         bbox=None,
         now=now,
     )
-    catalog.upsert(record, overwrite)
+    catalog.upsert(record, overwrite, existing().union(spark.createDataFrame([(path,)], "path string")))
     return in_force(catalog.read().filter(F.col("path") == path))

@@ -18,7 +18,8 @@ from gridtide.functions.availability import (
     release_available,
 )
 from gridtide.functions.periods import default_end, next_period, normalize_period, period_rejection
-from gridtide.operators.catalog import LEDGER_FORMAT, committed_end, latest_per_dataset
+from gridtide.operators.catalog import LEDGER_FORMAT, CatalogTable, committed_end, latest_per_dataset
+from gridtide.session import scratch_path
 
 AVAILABILITY_TYPE = (
     "struct<policy:string,complete_after_day:int,lag_hours:int,lag_days:int,"
@@ -34,7 +35,7 @@ TEMPLATE_SCHEMA = (
 # Sync kinds, actions and outcomes.
 TEMPORAL, RELEASE_KIND, STATIC = "temporal", "release", "static"
 NO_OP, NOT_SYNCABLE, APPEND, REMATERIALIZE = "no_op", "not_syncable", "append", "rematerialize"
-UP_TO_DATE, COMPLETED = "up_to_date", "completed"
+UP_TO_DATE, COMPLETED, FAILED = "up_to_date", "completed", "failed"
 
 # Messages of a plan.
 STATIC_MESSAGE = "This dataset is static and is not syncable."
@@ -84,15 +85,23 @@ def available_end(now: Column, period_type: Column, requested_end: Column, avail
 
 
 def plan_sync(
-    artifacts: DataFrame, templates: DataFrame, periods: DataFrame, requests: DataFrame, now: Column
+    artifacts: DataFrame,
+    templates: DataFrame,
+    periods: DataFrame,
+    requests: DataFrame,
+    now: Column,
+    append_only: Column | None = None,
 ) -> DataFrame:
     """One plan row per dataset that has a record and a template.
 
+    ``append_only`` says which records take their end from the store (see ``committed_end``); an end is brought to
+    the native text of its period type.
+
     ``requests`` has dataset_id and requested_end; a dataset it does not name is planned up to the
     current period. All comparisons are between texts of the dataset's own period format.
     A plan that cannot be made carries its reason in ``error`` and no action.
     """
-    latest = committed_end(latest_per_dataset(artifacts), periods)
+    latest = committed_end(latest_per_dataset(artifacts), periods, append_only)
     base = (
         latest.select(
             "dataset_id", "format", F.col("request_scope.start").alias("current_start"), "current_end"
@@ -100,6 +109,8 @@ def plan_sync(
         .join(templates.select("dataset_id", "kind", "execution", "period_type", "availability"), "dataset_id")
         .join(requests.select("dataset_id", "requested_end"), "dataset_id", "left")
     )
+    native = F.coalesce(normalize_period("current_end", F.col("period_type")), F.col("current_end"))
+    base = base.withColumn("current_end", F.when(F.col("kind") == STATIC, F.col("current_end")).otherwise(native))
     kind, period_type = F.col("kind"), F.col("period_type")
     asked = F.nullif(F.trim("requested_end"), F.lit(""))
     resolved = base.withColumns(
@@ -112,13 +123,26 @@ def plan_sync(
             ),
         }
     )
-    offered = available_end(now, period_type, F.col("resolved"), F.col("availability"))
+    resolved = resolved.withColumn(
+        "offered", available_end(now, period_type, F.col("resolved"), F.col("availability"))
+    ).withColumn("upcoming", F.when(kind == TEMPORAL, next_period("current_end", period_type)))
+    offered = F.col("offered")
+    unreadable = F.when(kind == TEMPORAL, F.col("upcoming").isNull()).otherwise(
+        normalize_period("current_end", period_type).isNull()
+    )
     clamped = F.when(F.col("availability").isNull(), F.col("resolved")).otherwise(F.least("resolved", offered))
     targeted = resolved.withColumns(
         {
             "error": F.when(
+                ~F.coalesce(kind.isin(TEMPORAL, RELEASE_KIND, STATIC), F.lit(False)),
+                F.concat(F.lit("Unknown sync kind "), F.coalesce(kind, F.lit("none"))),
+            ).when(
                 kind != STATIC,
                 F.coalesce(
+                    F.when(
+                        F.coalesce(unreadable, F.lit(True)),
+                        F.concat(F.lit("The stored end is no period: "), F.coalesce("current_end", F.lit("none"))),
+                    ),
                     period_rejection("asked", period_type),
                     F.when(
                         F.col("availability").isNotNull() & offered.isNull(),
@@ -127,7 +151,6 @@ def plan_sync(
                 ),
             ),
             "target": F.when(kind == STATIC, F.col("current_end")).otherwise(clamped),
-            "upcoming": F.when(kind == TEMPORAL, next_period("current_end", period_type)),
         }
     )
     target, current, upcoming = F.col("target"), F.col("current_end"), F.col("upcoming")
@@ -178,23 +201,74 @@ def plan_sync(
     )
 
 
-def run_sync(plan: DataFrame, executors: Mapping[str, Callable[[Row], Any]]) -> list[dict[str, Any]]:
+def run_sync(
+    plan: DataFrame,
+    executors: Mapping[str, Callable[[Row], Any]],
+    record: Callable[[Row, Any], None] | None = None,
+) -> list[dict[str, Any]]:
     """Carry out planned rows one after the other; each execution is its own Spark job.
 
-    ``executors`` gives a function for ``append`` and one for ``rematerialize``. The plan has one
-    row per dataset, and rows are fetched as they are needed.
+    ``executors`` gives a function for ``append`` and one for ``rematerialize``; ``record`` is called with the plan row
+    and the result of each finished one, to note the new coverage (see ``record_coverage``). The plan is written down
+    before the first execution, since executions change the stores it was made from. A dataset that cannot be planned
+    or whose execution fails is reported as failed with its reason, and the others go on.
     """
+    spark = plan.sparkSession
+    path = scratch_path(spark, "sync-plan")
+    plan.write.parquet(path)
+    fixed = spark.read.schema(plan.schema).parquet(path).orderBy("dataset_id")
     outcomes = []
-    for row in plan.orderBy("dataset_id").toLocalIterator():
-        if row["error"] is not None:
-            raise GridError(f"Dataset '{row['dataset_id']}': {row['error']}")
-        if row["action"] == NO_OP:
-            status, result = UP_TO_DATE, None
+    for row in fixed.toLocalIterator():
+        status, result, reason = COMPLETED, None, row["error"]
+        if reason is not None:
+            status = FAILED
+        elif row["action"] == NO_OP:
+            status = UP_TO_DATE
         elif row["action"] == NOT_SYNCABLE:
-            status, result = NOT_SYNCABLE, None
+            status = NOT_SYNCABLE
+        elif row["current_start"] is None or row["target_end"] is None:
+            status, reason = FAILED, "There is no start or no target to sync to"
         else:
-            if row["current_start"] is None or row["target_end"] is None:
-                raise GridError(f"Dataset '{row['dataset_id']}' has no start or no target to sync to")
-            status, result = COMPLETED, executors[row["action"]](row)
-        outcomes.append({"dataset_id": row["dataset_id"], "action": row["action"], "status": status, "result": result})
+            try:
+                result = executors[row["action"]](row)
+                if record is not None:
+                    record(row, result)
+            except Exception as problem:  # noqa: BLE001  one dataset's failure is its outcome
+                status, reason = FAILED, f"{type(problem).__name__}: {problem}"
+        outcomes.append(
+            {
+                "dataset_id": row["dataset_id"],
+                "action": row["action"],
+                "status": status,
+                "result": result,
+                "reason": reason,
+            }
+        )
     return outcomes
+
+
+def record_coverage(catalog: CatalogTable, dataset_id: str, covered: DataFrame, now: Column) -> None:
+    """Note what a dataset covers now (one row of ``coverage``) on its newest record."""
+    spark = covered.sparkSession
+    row = covered.select(
+        F.struct(F.struct("start", "end").alias("temporal"), F.struct("xmin", "ymin", "xmax", "ymax").alias("spatial"), "spatial_wgs84").alias("c")
+    )
+    found = spark.createDataFrame(row.collect(), row.schema)  # one row
+    records = catalog.read()
+    newest = latest_per_dataset(records.filter(F.col("dataset_id") == dataset_id)).select("artifact_id").first()
+    if newest is None:
+        raise GridError(f"Dataset '{dataset_id}' has no record")
+    kind = records.schema["coverage"].dataType
+    fresh = found.select(F.col("c").cast(kind)).scalar()
+    chosen = F.col("artifact_id") == newest["artifact_id"]
+    reached = fresh["temporal"]["end"]
+    scope = F.when(F.col("request_scope").isNotNull(), F.col("request_scope").withField("end", reached))
+    catalog.replace(
+        records.withColumns(
+            {
+                "coverage": F.when(chosen, fresh).otherwise(F.col("coverage")),
+                "request_scope": F.when(chosen, scope).otherwise(F.col("request_scope")),
+                "created_at": F.when(chosen, now.cast("timestamp_ntz")).otherwise(F.col("created_at")),
+            }
+        )
+    )

@@ -7,8 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gridtide.errors import GridError
+
 AXES = ("t", "y", "x")
-HELPER_COLUMNS = ("dataset_id", "time_bucket", "period_id", "band")
+HELPER_COLUMNS = ("dataset_id", "time_bucket", "period_id", "band", "zone_id")
 
 
 def value_columns(cube: DataFrame, extra_dims: Iterable[str] = ()) -> list[str]:
@@ -18,6 +20,18 @@ def value_columns(cube: DataFrame, extra_dims: Iterable[str] = ()) -> list[str]:
 
 
 def key_columns(cube: DataFrame, extra_dims: Iterable[str] = (), drop: Iterable[str] = ()) -> list[str]:
-    """Columns that name one value of the cube: dataset, axes, band and further dimensions."""
-    known = ("dataset_id", *AXES, "band", *extra_dims)
+    """Columns that name one value of the cube: dataset, zone, axes, band and further dimensions."""
+    known = ("dataset_id", "zone_id", *AXES, "band", *extra_dims)
     return [name for name in known if name in cube.columns and name not in set(drop)]
+
+
+def folded_columns(
+    cube: DataFrame, extra_dims: Iterable[str] = (), drop: Iterable[str] = ()
+) -> tuple[list[str], list[str]]:
+    """Keys and values of an aggregation. A column that is neither is refused, as folding it away would mix its groups."""
+    keys, values = key_columns(cube, extra_dims, drop), value_columns(cube, extra_dims)
+    allowed = {*keys, *values, *drop, *HELPER_COLUMNS}
+    unknown = [name for name in cube.columns if name not in allowed]
+    if unknown:
+        raise GridError(f"Columns {unknown} are neither values nor known dimensions; name them as extra_dims or drop them")
+    return keys, values

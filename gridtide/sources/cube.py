@@ -49,7 +49,10 @@ def missing_if(value: Column, nodata: float | None) -> Column:
 def mask_nodata(cube: DataFrame, columns: Sequence[str] | None = None, nodata: float | None = None) -> DataFrame:
     """NaN and the sentinel become NULL, so that sums and means skip them."""
     columns = list(columns) if columns is not None else value_columns(cube)
-    return cube.withColumns({name: missing_if(F.col(name).cast("double"), nodata) for name in columns})
+    masked = cube.withColumns({name: missing_if(F.col(name).cast("double"), nodata) for name in columns})
+    for name in columns:
+        masked = masked.withMetadata(name, cube.schema[name].metadata)
+    return masked
 
 
 def read_many(spark: SparkSession, paths: Sequence[str], dataset_id: str | None = None) -> DataFrame:
@@ -59,10 +62,7 @@ def read_many(spark: SparkSession, paths: Sequence[str], dataset_id: str | None
     """
     if not paths:
         raise GridError("No files given")
-    parts = [spark.read.parquet(path) for path in paths]
-    cube = parts[0]
-    for part in parts[1:]:
-        cube = cube.unionByName(part, allowMissingColumns=True)
+    cube = spark.read.option("mergeSchema", "true").parquet(*paths)  # one scan, however many files
     if dataset_id is not None:
         cube = cube.filter(F.col("dataset_id") == dataset_id)
     return normalise_axes(cube)
@@ -82,20 +82,30 @@ def read_cube(
         cube = cube.filter(F.col("dataset_id") == dataset_id)
     cube = normalise_axes(cube)
     if start and end:
-        low, high = time_bounds(start, end)
-        cube = cube.filter(_bucket_filter(cube, low, high)).filter((F.col("t") >= low) & (F.col("t") < high))
+        cube = cut_by_bucket(cube, start, end)
     if bbox is not None:
         xmin, ymin, xmax, ymax = map(float, bbox)
         cube = filter_bbox(cube, west=xmin, south=ymin, east=xmax, north=ymax)
     return cube
 
 
-def _bucket_filter(cube: DataFrame, low: Column, high: Column) -> Column:
-    """Partition filter implied by a time range, if the store carries the bucket width."""
+def cut_by_bucket(cube: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Time range with both ends included, an open end where none is given.
+
+    If the store carries the bucket width, the range also prunes its folders.
+    """
     seconds = cube.schema["t"].metadata.get(BUCKET_KEY) if "time_bucket" in cube.columns else None
-    if not seconds:
-        return F.lit(True)
-    return F.col("time_bucket").between(bucket_of(low, seconds), bucket_of(high, seconds))
+    if start:
+        low = time_bounds(start, start)[0]
+        if seconds:
+            cube = cube.filter(F.col("time_bucket") >= bucket_of(low, seconds))
+        cube = cube.filter(F.col("t") >= low)
+    if end:
+        high = time_bounds(end, end)[1]
+        if seconds:
+            cube = cube.filter(F.col("time_bucket") <= bucket_of(high, seconds))
+        cube = cube.filter(F.col("t") < high)
+    return cube
 
 
 def bucket_of(t: Column, seconds: int | Column) -> Column:

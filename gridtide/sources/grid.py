@@ -14,6 +14,12 @@ from gridtide.functions.crs import WGS84
 # Fixed value: default cell size in degrees of a grid derived from a box.
 DEFAULT_RESOLUTION = 0.05
 
+# Metadata of the coordinates of a table of cells: where the axis starts and its step.
+AXIS_ORIGIN, AXIS_STEP = "axis_origin", "axis_step"
+
+# Decimals by which coordinates are told apart where no grid is known.
+CELL_DECIMALS = 8
+
 
 @dataclass(frozen=True)
 class GridSpec:
@@ -61,12 +67,52 @@ class GridSpec:
         ix = F.col("id") % F.lit(self.nx)
         iy = F.floor(F.col("id") / F.lit(self.nx)).cast("bigint")
         cell = cell.select(iy.alias("iy"), ix.alias("ix"))
-        return cell.select("iy", "ix", self.y_at(F.col("iy")).alias("y"), self.x_at(F.col("ix")).alias("x"))
+        y, x = self.y_at(F.col("iy")), self.x_at(F.col("ix"))
+        return cell.select(
+            "iy",
+            "ix",
+            y.alias("y", metadata={AXIS_ORIGIN: self.y0, AXIS_STEP: self.dy}),
+            x.alias("x", metadata={AXIS_ORIGIN: self.x0, AXIS_STEP: self.dx}),
+        )
 
     def with_crs(self, crs: str) -> GridSpec:
         return replace(self, crs=crs)
 
 
+def cell_number(value: Column, origin: float | None = None, step: float | None = None) -> Column:
+    """Number of a coordinate on its axis; without an axis the coordinate in units of the last decimal kept."""
+    if origin is None or not step:
+        return F.round(value.cast("double") * F.lit(float(10**CELL_DECIMALS))).cast("bigint")
+    return F.round((value.cast("double") - F.lit(float(origin))) / F.lit(float(step))).cast("bigint")
+
+
+def axis_number(frames: list[DataFrame], axis: str, grid: GridSpec | None = None, columns: list[str] | None = None):
+    """Cell numbers of one axis, a column for each frame, counted the same way for all of them.
+
+    The axis comes from ``grid``, or from the grid that one of the frames was made from.
+    """
+    columns = columns or [axis] * len(frames)
+    known = [f.schema[c].metadata for f, c in zip(frames, columns)]
+    origin = next((m[AXIS_ORIGIN] for m in known if AXIS_ORIGIN in m), None)
+    step = next((m[AXIS_STEP] for m in known if AXIS_STEP in m), None)
+    if grid is not None:
+        origin, step = (grid.x0, grid.dx) if axis == "x" else (grid.y0, grid.dy)
+    return [cell_number(F.col(c), origin, step) for c in columns]
+
+
+def numbered_cells(left: DataFrame, right: DataFrame, grid: GridSpec | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both frames with ``__iy, __ix`` to join them on.
+
+    Coordinates of the same cell may differ in their last bits, as ``0.1 * 3`` and ``0.3`` do, so they are
+    never compared as they are.
+    """
+    (left_y, right_y), (left_x, right_x) = (axis_number([left, right], a, grid) for a in ("y", "x"))
+    return (
+        left.withColumns({"__iy": left_y, "__ix": left_x}),
+        right.withColumns({"__iy": right_y, "__ix": right_x}),
+    )
+
+
 def grid_for_bbox(bbox: tuple[float, float, float, float], resolution: float = DEFAULT_RESOLUTION) -> GridSpec:
     """Grid that covers a box: at least one cell per axis, partial cells rounded up."""
     xmin, ymin, xmax, ymax = map(float, bbox)

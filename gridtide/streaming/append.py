@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from gridtide.errors import GridError, NoDataError, ShapeError
+from gridtide.errors import GridError, NoDataError, ShapeError, SplitPeriodError
 from gridtide.functions.periods import PERIOD_STEPS, period_id, period_start, periods_between
 from gridtide.operators.combine import pending_periods
 from gridtide.operators.elementwise import run_transforms
+from gridtide.registry import SourceAdapter
 from gridtide.streaming.store import PeriodStore, first_misfit
 
 Fetch = Callable[[DataFrame], DataFrame]
 
+# Column that carries the landed file of a row through a batch.
+FILE = "__landed_file"
+
 
 def enumerate_periods(
     spark: SparkSession, start: str, end: str, period_type: str, cutoff: Column | None = None
@@ -67,10 +71,36 @@ def append_missing(
     return _store_rows(store, run_transforms(rows, template), uuid.uuid4().hex, same_cells)
 
 
-def _store_rows(store: PeriodStore, rows: DataFrame, batch: str, same_cells: bool) -> int:
+def append_from(
+    adapter: SourceAdapter,
+    store: PeriodStore,
+    template: Mapping[str, Any],
+    start: str,
+    end: str,
+    bbox: tuple[float, float, float, float] | None = None,
+    same_cells: bool = False,
+) -> int:
+    """Store the periods a source has to offer in a range and the store lacks; returns how many were written.
+
+    The adapter names its periods and fetches only those that are missing.
+    """
+    offered = adapter.periods(start, end).select("period_id").distinct()
+    pending = pending_periods(offered, store.committed_periods())
+    if pending.isEmpty():
+        return 0
+    store.refuse_unsafe_first_write()
+    rows = run_transforms(adapter.fetch(pending, bbox), template)
+    return _store_rows(store, rows, uuid.uuid4().hex, same_cells)
+
+
+def _store_rows(
+    store: PeriodStore, rows: DataFrame, batch: str, same_cells: bool, landed: DataFrame | None = None
+) -> int:
     generation = store.generation()
     generation = store.next_generation() if generation is None else generation
     store.announce(batch, generation)
+    if landed is not None:  # before the ledger names the periods, so that no stored one lacks its files
+        landed.write.mode("append").parquet(store.landed_path(generation))
     if not store.write_values(rows, batch, generation):
         return 0
     shapes = store.written_shapes(batch, generation)
@@ -108,6 +138,15 @@ def rematerialize(
     return store.commit(shapes, batch, generation)
 
 
+def refuse_split_periods(brought: DataFrame, committed: DataFrame, known: DataFrame) -> None:
+    """Raise if a stored period comes again in a file that did not bring it."""
+    stored = known.join(committed, "period_id", "left_semi")
+    again = brought.join(stored.select("period_id").distinct(), "period_id", "left_semi")
+    odd = again.join(stored, ["period_id", "file"], "left_anti").orderBy("period_id", "file").first()
+    if odd is not None:
+        raise SplitPeriodError(f"Period {odd['period_id']} is stored already, but {odd['file']} brings more rows of it")
+
+
 class AppendProgress:
     """What a running append has done so far."""
 
@@ -128,10 +167,12 @@ def stream_append(
     same_cells: bool = False,
     available_now: bool = True,
 ) -> tuple[StreamingQuery, AppendProgress]:
-    """Append as files land: one file is one complete period.
+    """Append as files land: the files of one trigger hold complete periods.
 
-    A replayed batch finds its periods in the ledger and writes nothing, so the store ends up the
-    same. Periods stored earlier are skipped and counted.
+    The store keeps which file brought a period. A replayed batch finds its periods there and writes nothing, so the
+    store ends up the same. A stored period that comes again in another file stops the query before anything of
+    the batch is written, since it would be stored in part. Periods that were appended by other means
+    are skipped and counted.
     """
     if max_files_per_trigger < 1:
         raise GridError("max_files_per_trigger must be positive")
@@ -139,24 +180,32 @@ def stream_append(
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .parquet(landing_dir)
+        .withColumn(FILE, F.col("_metadata.file_path"))
     )
     progress = AppendProgress()
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
         session_store = PeriodStore(batch.sparkSession, store.path, store.period_type)
-        present = batch.select(period_id("t", store.period_type).alias("period_id")).distinct()
-        committed = session_store.committed_periods()
-        pending = pending_periods(present, committed)
-        skipped = present.join(committed, "period_id", "left_semi").count()
-        progress.batches += 1
-        progress.periods_skipped += skipped
-        if pending.isEmpty():
-            return
-        session_store.refuse_unsafe_first_write()
         keyed = batch.withColumn("period_id", period_id("t", store.period_type))
-        rows = keyed.join(pending, "period_id", "left_semi").drop("period_id")
-        name = f"stream-{batch_id}-{uuid.uuid4().hex}"
-        progress.periods_written += _store_rows(session_store, run_transforms(rows, template), name, same_cells)
+        brought = keyed.select("period_id", F.col(FILE).alias("file")).distinct().persist()
+        try:
+            present = brought.select("period_id").distinct()
+            committed = session_store.committed_periods()
+            known = session_store.landed()
+            refuse_split_periods(brought, committed, known)
+            pending = pending_periods(present, committed)
+            progress.batches += 1
+            progress.periods_skipped += present.join(committed, "period_id", "left_semi").count()
+            if pending.isEmpty():
+                return
+            session_store.refuse_unsafe_first_write()
+            rows = keyed.join(pending, "period_id", "left_semi").drop("period_id", FILE)
+            new = brought.join(pending, "period_id", "left_semi")
+            name = f"stream-{batch_id}-{uuid.uuid4().hex}"
+            written = _store_rows(session_store, run_transforms(rows, template), name, same_cells, new)
+            progress.periods_written += written
+        finally:
+            brought.unpersist()
 
     writer = landed.writeStream.foreachBatch(store_batch).option("checkpointLocation", checkpoint)
     query = (writer.trigger(availableNow=True) if available_now else writer).start()

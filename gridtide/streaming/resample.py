@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from gridtide.errors import GridError
 from gridtide.functions.frequency import parse_frequency
@@ -16,7 +17,6 @@ from gridtide.operators.select import naive, parse_partial
 from gridtide.schema import key_columns, value_columns
 
 EPOCH = dt.datetime(1970, 1, 1)
-EPOCH_WEEKDAY = EPOCH.weekday()
 
 
 def stream_resample(
@@ -31,7 +31,7 @@ def stream_resample(
     so the last, incomplete one is never emitted.
 
     ``start`` is the first source time: its midnight is the origin of multi-day bins, and a bin that
-    began before it is left out. Rows behind the watermark are dropped by Spark; see ``late_rows``.
+    began before it is left out. Rows behind the watermark are dropped by Spark; see ``LateRows``.
     """
     freq = parse_frequency(frequency)
     if freq.unit not in ("hour", "day", "week"):
@@ -39,9 +39,10 @@ def stream_resample(
     if method not in RESAMPLE_METHODS:
         raise GridError(f"Unsupported method '{method}'. Supported: {', '.join(RESAMPLE_METHODS)}")
     first = parse_partial(start)[0]
-    hours = {"hour": freq.n, "day": 24 * freq.n, "week": 24 * 7}[freq.unit]
+    hours = {"hour": 1, "day": 24, "week": 24 * 7}[freq.unit] * freq.n
     if freq.unit == "week":
-        offset = ((freq.weekday - EPOCH_WEEKDAY) % 7) * 24
+        days = (first - EPOCH).days - (first.weekday() - freq.weekday) % 7
+        offset = days * 24 % hours
     else:
         midnight = first.replace(hour=0, minute=0, second=0, microsecond=0)
         offset = int((midnight - EPOCH).total_seconds() // 3600) % hours
@@ -61,10 +62,37 @@ def stream_resample(
     return complete.select(start_of_bin.alias("t"), *keys, *values)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that came behind the watermark and were left out, as far as progress is kept."""
-    return sum(
-        int(operator["numRowsDroppedByWatermark"])
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts rows that came behind the watermark and were left out, over the whole life of every query.
+
+    Progress that Spark keeps for a query is cut to the last hundred triggers; events are not.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._counts: dict[str, int] = {}
+        self._ended: dict[str, threading.Event] = {}
+        self._spark = spark
+        spark.streams.addListener(self)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self._ended.setdefault(str(event.id), threading.Event()).clear()
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        name = str(event.progress.id)
+        late = sum(int(o.numRowsDroppedByWatermark) for o in event.progress.stateOperators)
+        self._counts[name] = self._counts.get(name, 0) + late
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self._ended.setdefault(str(event.id), threading.Event()).set()
+
+    def of(self, query: StreamingQuery, wait: float = 30.0) -> int:
+        """Rows left out so far; of an ended query all of them, once its last event has come."""
+        if not query.isActive:
+            self._ended.setdefault(str(query.id), threading.Event()).wait(wait)
+        return self._counts.get(str(query.id), 0)
+
+    def close(self) -> None:
+        self._spark.streams.removeListener(self)

@@ -4,6 +4,8 @@ Layout below the store path::
 
     generation=<n>/data/batch=<b>/time_bucket=<k>/...   the values, one folder per write
     generation=<n>/ledger/...                           one row per stored period, with its batch
+    generation=<n>/shapes/batch=<b>/...                 shapes of what a write holds, before it counts
+    generation=<n>/landed/...                           which landed file brought a period
     intents/...                                         what a writer was about to store
 
 A period counts as stored only once the ledger names it. Every write goes to a folder of its own
@@ -21,13 +23,14 @@ from pyspark.sql import functions as F
 from gridtide.errors import ShapeError, UnsafeStoreError
 from gridtide.functions.periods import period_id, period_start
 from gridtide.sources import files
-from gridtide.sources.cube import bucket_seconds, time_bucket
+from gridtide.sources.cube import bucket_seconds, cut_by_bucket, time_bucket
 
 LEDGER_SCHEMA = "period_id string, ny bigint, nx bigint, cells bigint, cell_hash decimal(38,0), batch string, until timestamp_ntz"
 # ISO step of each period type, which sets the width of a time bucket.
 ISO_STEPS = {"hourly": "PT1H", "daily": "P1D", "weekly": "P1W", "monthly": "P1M", "yearly": "P1Y"}
 
 INTENT_SCHEMA = "batch string, generation int"
+LANDED_SCHEMA = "period_id string, file string"
 
 
 class PeriodStore:
@@ -70,9 +73,21 @@ class PeriodStore:
         """Distinct stored periods; none for a store that does not exist."""
         return self.ledger().select("period_id").distinct()
 
-    def read(self) -> DataFrame:
+    def landed(self) -> DataFrame:
+        """Which landed files brought which periods; a period that was appended otherwise has none."""
+        generation = self.generation()
+        if generation is None or not files.is_complete(self.spark, self.landed_path(generation)):
+            return self.spark.createDataFrame([], LANDED_SCHEMA)
+        return self.spark.read.schema(LANDED_SCHEMA).parquet(self.landed_path(generation)).distinct()
+
+    def landed_path(self, generation: int) -> str:
+        return f"{self.path}/generation={generation:06d}/landed"
+
+    def read(self, start: str | None = None, end: str | None = None) -> DataFrame:
         """The stored values. A batch that the ledger does not name stays out of sight.
 
+        A range, both ends included, is cut by bucket folders first and by time then.
+
         Batches are partitions and their list is one row per write, so whole folders are pruned;
         ``until`` cuts a batch whose later periods were refused.
         """
@@ -80,6 +95,7 @@ class PeriodStore:
         if generation is None:
             raise FileNotFoundError(f"No stored periods at {self.path}")
         data = self.spark.read.parquet(self.data_path(generation)).withColumn("batch", F.col("batch").cast("string"))
+        data = cut_by_bucket(data, start, end)
         batches = self.ledger(generation).groupBy("batch").agg(F.min("until").alias("until"))
         visible = data.join(batches, "batch").filter(F.col("until").isNull() | (F.col("t") < F.col("until")))
         return visible.drop("batch", "until", "time_bucket")
@@ -96,7 +112,7 @@ class PeriodStore:
         ]
         if (holds_data and not self._has_intents()) or strangers:
             raise UnsafeStoreError(
-                f"Store at {self.path} is not empty, but its stored periods could not be determined safely"
+                f"{self.path} holds files that no finished or announced write explains; nothing was written"
             )
 
     def _has_intents(self) -> bool:
@@ -126,23 +142,31 @@ class PeriodStore:
         return bool(files.child_names(self.spark, self.batch_path(batch, generation)))
 
     def written_shapes(self, batch: str, generation: int) -> DataFrame:
-        """Shapes of a batch as it lies on disk, from its axis columns alone."""
+        """Shapes of a batch as it lies on disk, from its axis columns alone; counted once and kept beside it."""
         data = self.spark.read.parquet(self.batch_path(batch, generation))
-        return period_shapes(data.select(period_id("t", self.period_type).alias("period_id"), "y", "x"))
+        shapes = period_shapes(data.select(period_id("t", self.period_type).alias("period_id"), "y", "x"))
+        path = f"{self.path}/generation={generation:06d}/shapes/batch={batch}"
+        shapes.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(shapes.schema).parquet(path)
 
     def commit(self, shapes: DataFrame, batch: str, generation: int, until: str | None = None) -> int:
         """Add the periods of a batch to the ledger, up to but not including ``until``. Returns their number."""
         end = period_start(F.lit(until).cast("string"))
         entries = shapes.select(*shapes.columns, F.lit(batch).alias("batch"), end.alias("until"))
+        # one small file; the shapes were written down before, so this task only copies a row for each period
         entries.coalesce(1).write.mode("append").parquet(self.ledger_path(generation))
         return self.ledger(generation).filter(F.col("batch") == batch).count()
 
 
 def period_shapes(rows: DataFrame) -> DataFrame:
-    """Cells per axis, cell count and a hash of the cell set per period."""
+    """Cells per axis, cell count and a hash of the cell set per period.
+
+    The distinct coordinates are kept as sets, which are as long as an axis, so a row is counted once
+    and not once for each axis.
+    """
     return rows.groupBy("period_id").agg(
-        F.count_distinct("y").alias("ny"),
-        F.count_distinct("x").alias("nx"),
+        F.size(F.collect_set("y")).cast("bigint").alias("ny"),
+        F.size(F.collect_set("x")).cast("bigint").alias("nx"),
         F.count("*").alias("cells"),
         F.sum(F.xxhash64("y", "x").cast("decimal(38,0)")).cast("decimal(38,0)").alias("cell_hash"),
     )
@@ -174,6 +198,7 @@ def first_misfit(shapes: DataFrame, stored: DataFrame, same_cells: bool = False)
     text = f"({got['ny']}, {got['nx']}), expected ({want['ny']}, {want['nx']})"
     if same_cells and (got["ny"], got["nx"]) == (want["ny"], want["nx"]):
         text += " with another set of cells"
+    # fixed value: the words "has spatial shape" are part of the contract
     return row["period_id"], f"Period {row['period_id']} has spatial shape {text}"
 
 

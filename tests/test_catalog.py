@@ -79,6 +79,34 @@ def test_scope_rules(table):
     assert [(r["artifact_id"], r["request_scope"]["end"]) for r in fits] == [("a1", "2026-01-31")]
 
 
+def test_a_hot_scope_is_reduced_before_the_join(spark, table):
+    records = table(*(record(n, "2026-01-31", "2026-02-01") for n in range(1000)))
+    scope = ("2026-01-01", "2026-01-31", BOX)
+    asked = spark.createDataFrame(
+        [(f"q{n}", "rain", scope) for n in range(1000)], f"request_id string, dataset_id string, request_scope {c.SCOPE_TYPE}"
+    )
+    assert c.last_usable(records).count() == 1
+    found = c.find_existing(records, asked).collect()
+    assert len(found) == 1000 and {r["artifact_id"] for r in found} == {"a999"}
+
+
+def test_equal_scopes_of_one_call_are_one_record(table):
+    old = record(0, "2026-01-31", "2026-02-01")
+    twice = table(record(7, "2026-01-31", "2026-03-01"), record(8, "2026-01-31", "2026-04-01"))
+    fresh = table(record(7, "2026-02-28", "2026-03-01"), record(8, "2026-02-28", "2026-04-01"))
+    replaced = c.upsert_artifact(table(old), twice, overwrite=True).collect()
+    assert [(r["artifact_id"], r["seq"], r["created_at"].month) for r in replaced] == [("a0", 0, 4)]
+    added = c.upsert_artifact(table(old), fresh).collect()
+    assert sorted((r["artifact_id"], r["created_at"].month) for r in added) == [("a0", 2), ("a7", 3)]
+
+
+def test_a_record_without_files_is_not_reused(spark, table):
+    old, new = record(0, "2026-01-31", "2026-02-01", path="gone"), record(5, "2026-01-31", "2026-03-01", path="here")
+    there = spark.createDataFrame([("here",)], "path string")
+    ids = [r["artifact_id"] for r in c.upsert_artifact(table(old), table(new), existing_paths=there).collect()]
+    assert sorted(ids) == ["a0", "a5"]
+
+
 def test_upsert_keeps_identity(spark, table):
     catalog = c.CatalogTable(spark, scratch_path(spark, "catalog"))
     assert catalog.read().isEmpty()
@@ -175,8 +203,34 @@ def test_static_and_broken_plans(plan):
     assert short(plan(row, template("static"), "nonsense")) == ("not_syncable", "static_dataset", "2026-01-31", "current_coverage")
     bad = plan(row, template(), "nonsense")
     assert bad.first()["action"] is None and "Invalid daily period" in bad.first()["error"]
-    with pytest.raises(GridError, match="Invalid daily period"):
-        run_sync(bad, {})
+    failed = run_sync(bad, {})[0]
+    assert failed["status"] == "failed" and "Invalid daily period" in failed["reason"]
+    for end, kind in (("oops", "temporal"), (None, "temporal"), ("oops", "release")):
+        odd = plan(record(1, end, "2026-02-01"), template(kind), "2026-02-10").first()
+        assert odd["action"] is None and "no period" in odd["error"]
+    unknown = plan(row, template("weekly"), "2026-02-10").first()
+    assert unknown["action"] is None and "Unknown sync kind weekly" in unknown["error"]
+
+
+def test_the_stored_end_is_brought_to_native_text(plan):
+    hourly = record(1, "2026-04-21T13:27:45", "2026-04-22", period="hourly")
+    made = plan(hourly, template(period="hourly"), "2026-04-21T13").first()
+    assert made["current_end"] == "2026-04-21T13" and made["action"] == "no_op"
+
+
+def test_failures_leave_the_others_to_go_on(plan):
+    row = record(1, "2026-01-31", "2026-02-01")
+    first, second = (plan(row, template(execution="append"), "2026-02-10").withColumn("dataset_id", F.lit(n)) for n in "ab")
+
+    def fetch(planned):
+        if planned["dataset_id"] == "a":
+            raise RuntimeError("no network")
+        return 1
+
+    noted = []
+    done = run_sync(first.union(second), {APPEND: fetch}, lambda planned, result: noted.append((planned["dataset_id"], result)))
+    assert [(d["status"], d["reason"]) for d in done] == [("failed", "RuntimeError: no network"), ("completed", None)]
+    assert noted == [("b", 1)]
 
 
 def test_run_sync(plan):

@@ -116,7 +116,7 @@ def test_derived_id(spark):
     assert value(spark, p.derived_id(F.lit("rain"), F.lit("W-MON"), F.lit("sum"))) == "rain_w_mon_sum"
 
 
-@pytest.mark.parametrize("alias", ["ME", "2MS", "W-XYZ", "0D", "", "B", "15min"])
+@pytest.mark.parametrize("alias", ["ME", "2ME", "W-XYZ", "0D", "", "B", "0min", "15T"])
 def test_other_frequencies_are_refused_by_name(alias):
     with pytest.raises(GridError, match="Invalid frequency"):
         parse_frequency(alias)
@@ -133,7 +133,30 @@ def test_other_frequencies_are_refused_by_name(alias):
         ("YS", "2026-01-01", "2027-01-01"),
         ("10D", "2026-01-01", "2026-01-11"),
         ("6h", "2026-01-01", "2026-01-01T06:00"),
+        ("2W-MON", "2026-01-14", "2026-01-26"),
+        ("3MS", "2026-01-15", "2026-04-01"),
+        ("2QS", "2026-02-01", "2026-07-01"),
+        ("30min", "2026-01-01", "2026-01-01T00:30"),
     ],
 )
 def test_offset_after_a_date(alias, moment, expected):
     assert parse_frequency(alias).roll_forward(dt.datetime.fromisoformat(moment)) == dt.datetime.fromisoformat(expected)
+
+
+@pytest.mark.parametrize(
+    "alias, moment, expected",
+    [
+        ("30min", "2026-01-05T10:44", "2026-01-05T10:30"),
+        ("45min", "2026-01-05T10:44", "2026-01-05T10:30"),
+        ("2W-MON", "2026-01-14T00:00", "2026-01-05T00:00"),
+        ("2W-MON", "2026-01-20T00:00", "2026-01-19T00:00"),
+        ("3MS", "2026-05-31T00:00", "2026-04-01T00:00"),
+        ("2QS", "2026-06-30T00:00", "2026-01-01T00:00"),
+        ("2YS", "2027-06-30T00:00", "2026-01-01T00:00"),
+    ],
+)
+def test_bins_of_several_units_count_from_the_data(spark, alias, moment, expected):
+    from gridtide.functions.frequency import bin_start
+
+    at, origin = (F.lit(dt.datetime.fromisoformat(m)).cast("timestamp_ntz") for m in (moment, "2026-01-05T08:00"))
+    assert value(spark, bin_start(at, alias, origin)) == dt.datetime.fromisoformat(expected)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gridtide.errors import NoDataError, ShapeError, UnsafeStoreError
 from gridtide.session import scratch_path
 from gridtide.streaming.append import append_missing, rematerialize, stream_append
-from gridtide.streaming.resample import late_rows, stream_resample
+from gridtide.streaming.resample import LateRows, stream_resample
 from gridtide.streaming.store import PeriodStore
 
 TEMPLATE = {"id": "rain", "variable": "precip"}
@@ -138,6 +138,7 @@ def test_stream_bins_and_late_rows(spark):
         query.awaitTermination()
         return query
 
+    late = LateRows(spark)
     land("2026-01-04T00:00", "2026-01-05T00:00", "2026-01-11T23:00")
     run()
     land("2026-01-13T00:00")
@@ -146,4 +147,66 @@ def test_stream_bins_and_late_rows(spark):
     last = run()
     rows = spark.read.schema(SCHEMA).parquet(out).orderBy("t").collect()
     assert [(r["t"].day, r["precip"]) for r in rows] == [(5, 2.0), (12, 1.0)]
-    assert late_rows(last) >= 1
+    assert late.of(last) >= 1
+    late.close()
+
+
+def test_late_rows_are_counted_over_all_triggers(spark):
+    from types import SimpleNamespace as Event
+
+    late = LateRows(spark)
+    try:
+        for n in range(250):
+            operators = [Event(numRowsDroppedByWatermark=n % 2), Event(numRowsDroppedByWatermark=1)]
+            late.onQueryProgress(Event(progress=Event(id="q", stateOperators=operators)))
+        late.onQueryTerminated(Event(id="q"))
+        assert late.of(Event(id="q", isActive=False)) == 125 + 250
+    finally:
+        late.close()
+
+
+def test_a_stored_period_in_another_file_stops_the_stream(spark, days, store):
+    landing, state = scratch_path(spark, "landing"), scratch_path(spark, "state")
+    first = days.filter(F.dayofmonth("t") == 1)
+    first.coalesce(1).write.mode("append").parquet(landing)
+    query, progress = stream_append(spark, landing, SCHEMA, store, TEMPLATE, state)
+    query.awaitTermination()
+    assert progress.periods_written == 1
+    late = days.withColumn("x", F.col("x") + 1)
+    late.filter(F.dayofmonth("t") < 3).coalesce(1).write.mode("append").parquet(landing)
+    query, progress = stream_append(spark, landing, SCHEMA, store, TEMPLATE, state)
+    with pytest.raises(Exception, match="2026-01-01 is stored already"):
+        query.awaitTermination()
+    assert stored(store) == [(1, 1.0)] and progress.periods_written == 0
+
+
+def test_two_files_of_one_trigger_make_one_period(spark, days, store):
+    landing, state = scratch_path(spark, "landing"), scratch_path(spark, "state")
+    day = days.filter(F.dayofmonth("t") == 1)
+    for shift in (0, 1):
+        day.withColumn("x", F.col("x") + shift).coalesce(1).write.mode("append").parquet(landing)
+    query, progress = stream_append(spark, landing, SCHEMA, store, TEMPLATE, state)
+    query.awaitTermination()
+    assert progress.periods_written == 1 and store.read().count() == 2
+
+
+def test_shapes_are_counted_once_without_expanding_rows(days):
+    from gridtide.streaming.store import period_shapes
+
+    plan = period_shapes(days.select(F.lit("p").alias("period_id"), "y", "x"))._jdf.queryExecution().toString()
+    assert "Expand" not in plan
+
+
+def test_ranges_prune_buckets_in_both_stores(spark, store):
+    from gridtide.sources.cube import cut_by_bucket, read_cube, write_cube
+
+    rows = [(dt.datetime(2026, 1, 1) + dt.timedelta(days=n), 0.0, 0.0, float(n)) for n in range(200)]
+    cube = spark.createDataFrame(rows, SCHEMA)
+    append_missing(cube, store, TEMPLATE, "2026-01-01", "2026-07-19")
+    path = scratch_path(spark, "cube")
+    write_cube(cube, path, dataset_id="rain")
+    for opened in (store.read("2026-03-01", "2026-03-31"), cut_by_bucket(read_cube(spark, path), "2026-03", "2026-03")):
+        plan = opened._jdf.queryExecution().toString()
+        assert "PartitionFilters: [isnotnull(time_bucket" in plan
+        assert opened.count() == 31
+    assert store.read(end="2026-01-10").count() == 10 and store.read("2026-07-10").count() == 10

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from gridtide.errors import GridError
 from gridtide.functions.crs import normalise_crs, transform_xy
 from gridtide.operators import zones as z
-from gridtide.operators.reduce import build_overviews, coarsen
+from gridtide.operators.combine import densify
+from gridtide.operators.reduce import build_overviews, coarsen, reduce_dimension
 from gridtide.operators.regrid import reproject, resample_cube_spatial
+from gridtide.operators.resample import aggregate_temporal_period
 from gridtide.session import scratch_path
 from gridtide.sources.features import read_features, read_observations
 from gridtide.sources.grid import GridSpec, grid_for_bbox
@@ -209,3 +211,38 @@ def test_regrid(spark):
     assert sorted(r["v"] for r in near.collect()) == [510.0, 511.0, 512.0, 550.0, 551.0, 552.0] or near.count() == 6
     with pytest.raises(GridError):
         resample_cube_spatial(cube, GridSpec(0, 1, 1, 0, 1, 1), "bilinear")
+
+
+def test_cells_of_a_fractional_grid_are_not_lost(spark):
+    grid = GridSpec(0.1, 0.1, 10, 0.0, 1.0, 1)
+    day = dt.datetime(2026, 1, 1)
+    # coordinates as a file has them, from decimal texts
+    cube = spark.createDataFrame([(day, 0.0, float(f"{(n + 1) / 10:.1f}"), 1.0) for n in range(10)], "t timestamp_ntz, y double, x double, v double")
+    ring = [(0.0, -1.0), (2.0, -1.0), (2.0, 1.0), (0.0, 1.0)]
+    zone = spark.createDataFrame([("a", [ring])], "id string, rings array<array<struct<x:double,y:double>>>")
+    held = z.cells_in_zones(grid.cells(spark), zone, 0.1, 1.0)
+    assert z.aggregate_spatial(cube, held, "sum").first()["v"] == 10.0
+    assert z.zonal_statistics(cube, held, "v", ["count"]).first()["count"] == 10.0
+    assert z.zonal_statistics(cube, held.select("zone_id", F.col("x") + 0.0, "y").toDF("zone_id", "x", "y"), "v", ["sum"], grid=grid).first()["sum"] == 10.0
+    assert densify(cube, "daily", grid.cells(spark)).filter("v IS NULL").count() == 0
+    plain = spark.createDataFrame([(0.1 * (n + 1), 0.0) for n in range(10)], "x double, y double")
+    assert z.aggregate_spatial(cube, z.cells_in_zones(plain, zone, 0.1, 1.0), "sum").first()["v"] == 10.0
+
+
+def test_zones_stay_apart_in_later_steps(spark):
+    day = dt.datetime(2026, 1, 1)
+    rows = [(zone, day + dt.timedelta(days=n), float(v)) for zone, v in ((1, 1), (2, 10)) for n in range(31)]
+    cube = spark.createDataFrame(rows, "zone_id int, t timestamp_ntz, v double")
+    month = aggregate_temporal_period(cube, "month", "sum")
+    assert {r["zone_id"]: r["v"] for r in month.collect()} == {1: 31.0, 2: 310.0}
+    assert {r["zone_id"]: r["v"] for r in reduce_dimension(cube, "t", "max").collect()} == {1: 1.0, 2: 10.0}
+    with pytest.raises(GridError, match="station"):
+        aggregate_temporal_period(cube.withColumn("station", F.lit("s")), "month", "sum")
+
+
+def test_statistics_scan_the_cube_twice_at_most(spark, small, tmp_path):
+    cube, held = small
+    cube.write.parquet(f"{tmp_path}/cube")
+    stats = z.zonal_statistics(spark.read.parquet(f"{tmp_path}/cube"), held, "v", z.ZONAL_STATS)
+    plan = stats._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") <= 4  # base and counted values, base once more for the median
