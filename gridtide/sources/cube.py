@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,7 +64,12 @@ def read_many(spark: SparkSession, paths: Sequence[str], dataset_id: str | None
     """
     if not paths:
         raise GridError("No files given")
-    cube = spark.read.option("mergeSchema", "true").parquet(*paths)  # one scan, however many files
+    try:
+        cube = spark.read.option("mergeSchema", "true").parquet(*paths)  # one scan, however many files
+    except PySparkException:
+        # stores of different layouts, or types that only a union widens
+        parts = [spark.read.parquet(path) for path in paths]
+        cube = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if dataset_id is not None:
         cube = cube.filter(F.col("dataset_id") == dataset_id)
     return normalise_axes(cube)
