@@ -20,9 +20,12 @@ def resample_cube_spatial(
     method: str = "near",
     extra_dims: Sequence[str] = (),
     cells: DataFrame | None = None,
+    source: GridSpec | None = None,
 ) -> DataFrame:
     """Put a cube on another grid in the same coordinate system.
 
+    With ``source``, the grid of the cube, the maps are computed and the cube is read once.
+
     Columns and rows of the target are matched to the source axis by axis. Both maps are as short
     as an axis, so the cube is joined with them where it lies and no cell-by-cell table arises.
     ``cells`` may name a cheaper table with the same axis values, such as the cells of the grid.
@@ -30,12 +33,19 @@ def resample_cube_spatial(
     if method != "near":
         raise GridError(f"Unsupported method '{method}'. Supported: near")
     spark = cube.sparkSession
+    keys = key_columns(cube, extra_dims, drop=("x", "y"))
+    if source is not None:
+        columns = spark.range(target.nx).select(target.x_at(F.col("id")).alias("tx"))
+        rows = spark.range(target.ny).select(target.y_at(F.col("id")).alias("ty"))
+        numbered = cube.withColumns({"__ix": source.ix(F.col("x")), "__iy": source.iy(F.col("y"))})
+        moved = numbered.join(columns.withColumn("__ix", source.nearest_ix(F.col("tx"))), "__ix")
+        moved = moved.join(rows.withColumn("__iy", source.nearest_iy(F.col("ty"))), "__iy")
+        return moved.select(*keys, F.col("ty").alias("y"), F.col("tx").alias("x"), *value_columns(cube, extra_dims))
     cells = cube if cells is None else cells
     columns = spark.range(target.nx).select(target.x_at(F.col("id")).alias("tx"))
     rows = spark.range(target.ny).select(target.y_at(F.col("id")).alias("ty"))
     x_map = nearest_on_axis(columns, "tx", cells.select("x"), "x", "x").select("x", "tx")
     y_map = nearest_on_axis(rows, "ty", cells.select("y"), "y", "y").select("y", "ty")
-    keys = key_columns(cube, extra_dims, drop=("x", "y"))
     moved = cube
     for axis, axis_map in (("x", x_map), ("y", y_map)):
         here, there = axis_number([cells, axis_map], axis)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from gridtide.errors import GridError, NotFoundError
 from gridtide.functions.periods import PERIOD_STEPS, WEEK_TEXT
 from gridtide.schema import key_columns, value_columns
+from gridtide.sources.grid import GridSpec
 
 # Precision of a partial date text by its length.
 PARTIAL_FORMATS = {
@@ -171,11 +172,18 @@ def select_period(cube: DataFrame, period: str, period_type: str) -> DataFrame:
     return cube.filter((F.col("t") >= naive(low)) & (F.col("t") < naive(high)))
 
 
-def nearest_point(cube: DataFrame, x: float | None = None, y: float | None = None) -> DataFrame:
+def nearest_point(
+    cube: DataFrame, x: float | None = None, y: float | None = None, grid: GridSpec | None = None
+) -> DataFrame:
     """Time series of the cell nearest to a place, per axis; the smaller coordinate wins a tie.
 
-    A coordinate left out is the centre of the grid, which is the mean of the axis values.
+    A coordinate left out is the centre of the grid, which is the mean of the axis values. With
+    ``grid`` the cell is computed; without it the axes are looked up in the cube.
     """
+    if grid is not None:
+        px, py = (given if given is not None else middle for given, middle in zip((x, y), grid.centre))
+        here = (grid.ix(F.col("x")) == grid.nearest_ix(F.lit(px))) & (grid.iy(F.col("y")) == grid.nearest_iy(F.lit(py)))
+        return cube.filter(here)
 
     def target(axis: str, given: float | None) -> Column:
         if given is not None:
@@ -242,12 +250,23 @@ def nearest_on_axis(places: DataFrame, place: str, axis: DataFrame, name: str, o
 
 
 def nearest_points(
-    cube: DataFrame, points: DataFrame, point_id: str = "point_id", cells: DataFrame | None = None
+    cube: DataFrame,
+    points: DataFrame,
+    point_id: str = "point_id",
+    cells: DataFrame | None = None,
+    grid: GridSpec | None = None,
 ) -> DataFrame:
     """Time series for many places at once. ``points`` has the id and columns ``px``, ``py``.
 
-    ``cells`` may name a cheaper table with the same axis values, such as the cells of the grid.
+    With ``grid`` cells are computed, so the cube is read once. Without it, ``cells`` may name a cheaper
+    table with the same axis values than the cube.
     """
+    if grid is not None:
+        hits = points.select(
+            point_id, grid.nearest_iy(F.col("py")).alias("__iy"), grid.nearest_ix(F.col("px")).alias("__ix")
+        )
+        numbered = cube.withColumns({"__iy": grid.iy(F.col("y")), "__ix": grid.ix(F.col("x"))})
+        return numbered.join(hits, ["__iy", "__ix"]).drop("__iy", "__ix")
     cells = cube if cells is None else cells
     located = nearest_on_axis(points, "px", cells.select("x"), "x", "x")
     located = nearest_on_axis(located, "py", cells.select("y"), "y", "y")

@@ -11,6 +11,7 @@ from gridtide.errors import GridError
 from gridtide.functions.periods import period_id
 from gridtide.functions.reducers import Reducer, reducer
 from gridtide.schema import folded_columns, key_columns
+from gridtide.session import scratch_path
 from gridtide.sources.grid import GridSpec, numbered_cells
 
 # Statistics that may be asked for, and the default.
@@ -147,6 +148,17 @@ def cells_in_zones(
     return tiled.join(tiles, ["tx", "ty"]).filter(hit).drop("tx", "ty", "edges")
 
 
+def stored_assignment(assignment: DataFrame, path: str | None = None) -> DataFrame:
+    """An assignment written to ``path``, or to the scratch folder, and read back.
+
+    It is made once per grid and then has a known size; that of an equi-join with a filter is only guessed.
+    """
+    spark = assignment.sparkSession
+    path = path or scratch_path(spark, "assignment")
+    assignment.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def cell_weights(
     cells: DataFrame, zones: DataFrame, dx: float, dy: float, k: int = 4, zone: str = "id"
 ) -> DataFrame:

@@ -61,6 +61,18 @@ class GridSpec:
     def iy(self, y: Column) -> Column:
         return F.round((y - F.lit(self.y0)) / F.lit(self.dy)).cast("bigint")
 
+    def nearest_ix(self, x: Column) -> Column:
+        """Index of the nearest column of the grid; the smaller coordinate wins a tie, the ends take what lies beyond."""
+        return _nearest(x, self.x0, self.dx, self.nx)
+
+    def nearest_iy(self, y: Column) -> Column:
+        return _nearest(y, self.y0, self.dy, self.ny)
+
+    @property
+    def centre(self) -> tuple[float, float]:
+        """Centre of the grid, x first."""
+        return self.x0 + (self.nx - 1) * self.dx / 2, self.y0 + (self.ny - 1) * self.dy / 2
+
     def cells(self, spark: SparkSession) -> DataFrame:
         """All cells as ``iy, ix, y, x``, generated in parallel from one range."""
         cell = spark.range(self.ny * self.nx)
@@ -79,6 +91,12 @@ class GridSpec:
         return replace(self, crs=crs)
 
 
+def _nearest(value: Column, origin: float, step: float, count: int) -> Column:
+    place = (value.cast("double") - F.lit(float(origin))) / F.lit(float(step))
+    index = F.ceil(place - 0.5) if step > 0 else F.floor(place + 0.5)
+    return F.least(F.greatest(index.cast("bigint"), F.lit(0)), F.lit(count - 1)).cast("bigint")
+
+
 def cell_number(value: Column, origin: float | None = None, step: float | None = None) -> Column:
     """Number of a coordinate on its axis; without an axis the coordinate in units of the last decimal kept."""
     if origin is None or not step:
