@@ -27,6 +27,7 @@ from gridtide.session import scratch_path
 MAGIC = "WARC/1.1\r\n"
 RECORD_END = "\r\n\r\n"
 REVISIT_BYTES = 1000
+FILTER_BITS = 1 << 26
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PLACE = "file string, block long, seq long, at long"
@@ -36,24 +37,44 @@ CANDIDATE = (
 )
 
 
-def _roles(pages: DataFrame) -> DataFrame:
-    """``(page_id, digest, keeper)`` of the pages whose payload another page with a larger id has too."""
-    ids = pages.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("size"))
-    ids = ids.where(F.col("size") >= REVISIT_BYTES).select("page_id", "digest")
-    kept = ids.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
-    return ids.join(kept, "digest").where("page_id < keeper").select("page_id", "digest", "keeper").distinct()
+def _repeated(ids: DataFrame) -> DataFrame:
+    """``(digest, keeper)`` of the payloads that several pages have, with the largest page id."""
+    long_ones = ids.where(F.col("size") >= REVISIT_BYTES)
+    kept = long_ones.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
+    return settle(kept.where("n > 1").select("digest", "keeper"), "repeated")
+
+
+def _slot():
+    """Place of a digest in the filter, from 1 on."""
+    return F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS)) + 1
+
+
+def _filter(kept: DataFrame) -> DataFrame:
+    """A bit table of the digests as rows of 4 KB: at most ``FILTER_BITS`` bits, however many digests there are."""
+    bits = kept.select(_slot().alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
+    return bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write one record for each row of ``pages(page_id, url, html)``.
 
     Of equal payloads of at least 1000 bytes the one with the largest page id is written as a response; pages with
-    smaller ids become revisit records without it. A null html is an empty payload; a null page id always
+    smaller ids become revisit records without it. Pages whose digest misses a bit table of the repeated digests are
+    written where they are read; only the others are shuffled to learn their part. A null html is an empty payload; a null page id always
     is a response; repeated rows are written as often. Line breaks in an url are percent-encoded.
     """
     whole = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    roles = _roles(whole)
-    rows = whole.withColumn("digest", F.sha1("html")).join(roles, ["page_id", "digest"], "left")
+    ids = whole.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("size"))
+    kept = _repeated(ids)
+    roles = ids.join(kept, "digest").where("page_id < keeper").select("page_id", "digest", "keeper").distinct()
+    tagged = whole.withColumn("digest", F.sha1("html")).withColumn("bucket", F.bitmap_bucket_number(_slot()))
+    tagged = tagged.join(F.broadcast(_filter(kept)), "bucket", "left").withColumn("bit", F.bitmap_bit_position(_slot()))
+    # the table has a byte for eight bits, the lowest first
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.floor(F.coalesce(byte, F.lit(0)) / F.pow(F.lit(2), F.col("bit") % 8)) % 2 == 1
+    columns = ["page_id", "url", "html", "digest", "keeper"]
+    rows = tagged.where(~maybe).withColumn("keeper", F.lit(None).cast("long")).select(*columns)
+    rows = rows.union(tagged.where(maybe).join(roles, ["page_id", "digest"], "left").select(*columns))
     revisit = F.col("keeper").isNotNull()
     identity = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))
     url = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
