@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from gridtide.session import scratch_path
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
+SLICE_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +33,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def plain_lower(column):
     """Lower-case A-Z alone, whatever the locale."""
     return F.translate(column, ASCII_UPPER, ASCII_LOWER)
+
+
+def slices(texts: list, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes; a longer text stands alone."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        n = len(text or b"") + 1
+        if i > start and size + n > most:
+            yield start, i
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield start, len(texts)

@@ -17,11 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridtide.llm.common import ASCII_LOWER, ASCII_UPPER, read_table
+from gridtide.llm.common import ASCII_LOWER, ASCII_UPPER, read_table, slices
 
 WINDOW_WORDS = 10
 BROADCAST_WORDS = 200_000
-SLICE_BYTES = 1 << 20
 PREFIX_BITS = 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIXER = np.uint64(0xBF58476D1CE4E5B9)
@@ -143,19 +142,6 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join([*parts, text[at:]]).decode("utf-8", "replace")
 
 
-def slices(texts: list, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` bytes; a longer text stands alone."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        n = len(text or b"") + 1
-        if i > start and size + n > most:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _scan(items: list[tuple[str | None, bytes | None]], want_rest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(items)

@@ -6,8 +6,8 @@ the end of the last, so that phrases overlap by 99 bytes and each window lies wh
 trigger depends on the bytes of a window alone: equal windows lie in phrases with equal trigger bytes. With this
 overlap a suffix of a phrase decides a match by itself, and the parse only has to say which occurrence is first.
 
-1. *Parse*: each text gives its phrases as (trigger, content, place). Phrases repeated within a batch are
-   sent once, with the places of the others.
+1. *Parse*: each text gives its phrases as (trigger, content, place). Of phrases repeated in the texts of a batch only the
+   first is compared with others; the rest are known repeats, and a copied text is one row of them.
 2. *Dictionary*: phrases are ordered by trigger, content and place. All places of a phrase but the first are
    repeats as a whole. A phrase whose trigger no other phrase has cannot share a window and is left out.
 3. *Suffixes*: the first places of the phrases that are left, which are the edges of repeated passages, give
@@ -32,18 +32,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridtide.llm.common import read_table, settle
+from gridtide.llm.common import read_table, settle, slices
 
 DEPTH = 100
 TRIGGER_BYTES = 32
 PIECE = 1 << 18
+PARSE_BYTES = 8 << 20
 PLACE_BITS = np.uint64(20)
 HOT_PHRASES = 20_000
 GROUP_PHRASES = 20_000
 NULL_ID = -(1 << 63)
 M1 = np.uint64(0x9E3779B97F4A7C15)
 M2 = np.uint64(0xBF58476D1CE4E5B9)
-PLACES = "array<struct<id bigint, tag bigint, at int>>"
 
 
 def _letter_names() -> np.ndarray:
@@ -130,25 +130,23 @@ def phrases(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _sent_once(name: np.ndarray, ids: np.ndarray, tags: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list]:
-    """Rows to send, one for each name and each tie of the first place, and the later places of its name."""
+def _later_places(name: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which places come after another place of the same name."""
     order = np.lexsort((at, ids, name))
-    name, ids, tags, at = name[order], ids[order], tags[order], at[order]
-    head = np.concatenate(([True], name[1:] != name[:-1])) if len(name) else np.empty(0, dtype=bool)
-    first = np.maximum.accumulate(np.where(head, np.arange(len(name)), 0)) if len(name) else np.empty(0, dtype=int)
-    later = (ids > ids[first]) | (at > at[first])
-    sent = np.flatnonzero(~later)
-    more: list = [None] * len(sent)
-    if later.any():
-        slot = np.searchsorted(sent, first[later])
-        for s, i, t, a in zip(slot.tolist(), ids[later].tolist(), tags[later].tolist(), at[later].tolist()):
-            if more[s] is None:
-                more[s] = []
-            more[s].append({"id": i, "tag": t, "at": a})
-    return order[sent], more
+    head = np.ones(len(order), dtype=bool)
+    head[1:] = name[order][1:] != name[order][:-1]
+    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    later = np.zeros(len(order), dtype=bool)
+    later[order] = (ids[order] > ids[first]) | (at[order] > at[first])
+    return later
 
 
-MORE = pa.list_(pa.struct([("id", pa.int64()), ("tag", pa.int64()), ("at", pa.int32())]))
+def _runs(owner: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row where each run of phrases that follow each other in a text begins, and its number of windows."""
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + n[:-1])
+    starts = np.flatnonzero(new)
+    return starts, np.add.reduceat(n, starts) if len(starts) else n
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -160,22 +158,40 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Phrases of a few megabytes of text at a time, and runs of those that these show to be repeats (``known``).
+
+    Known runs need no comparison: they carry a spread name instead of a trigger, so that copies do not meet in a task.
+    """
     for batch in batches:
-        trigger, content, owner, at, n = phrases(_texts(batch))
-        ids, tags = (batch.column(c).to_numpy()[owner] for c in ("id", "tag"))
-        rows, more = _sent_once(content, ids, tags, at)
-        yield pa.RecordBatch.from_arrays(
-            [
-                _signed(trigger[rows]),
-                _signed(content[rows]),
-                pa.array(ids[rows], pa.int64()),
-                pa.array(tags[rows], pa.int64()),
-                pa.array(at[rows], pa.int32()),
-                pa.array(n[rows], pa.int32()),
-                pa.array(more, MORE),
-            ],
-            ["trigger", "content", "id", "tag", "at", "n", "more"],
-        )
+        texts = _texts(batch)
+        ids, tags = (batch.column(c).to_numpy() for c in ("id", "tag"))
+        for low, high in slices(texts, PARSE_BYTES):
+            yield _parsed(texts[low:high], ids[low:high], tags[low:high])
+
+
+def _parsed(texts: list[bytes | None], ids: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
+    trigger, content, owner, at, n = phrases(texts)
+    ids, tags = ids[owner], tags[owner]
+    known = _later_places(content, ids, at)
+    k_ids, k_tags, k_at, k_n, k_owner = (c[known] for c in (ids, tags, at, n, owner))
+    starts, lengths = _runs(k_owner, k_at, k_n)
+    spread = _pair(k_ids[starts].astype(np.uint64), k_at[starts].astype(np.uint64))
+    sent = np.flatnonzero(~known)
+    rows = [
+        (trigger[sent], spread),
+        (content[sent], np.zeros(len(starts), dtype=np.uint64)),
+        (ids[sent], k_ids[starts]),
+        (tags[sent], k_tags[starts]),
+        (at[sent], k_at[starts]),
+        (n[sent], lengths),
+        (np.zeros(len(sent), dtype=bool), np.ones(len(starts), dtype=bool)),
+    ]
+    columns = [np.concatenate(pair) for pair in rows]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+    return pa.RecordBatch.from_arrays(
+        [_signed(columns[0]), _signed(columns[1]), *(pa.array(c, k) for c, k in zip(columns[2:], kinds))],
+        ["trigger", "content", "id", "tag", "at", "n", "known"],
+    )
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,14 +324,15 @@ def repeated_spans(docs: DataFrame, want_text: bool = False) -> DataFrame:
     tag = F.coalesce(F.xxhash64("text"), F.lit(0)) if repeated_ids else F.lit(0).cast("long")
     texts = docs.select(key, tag.alias("tag"), "text", F.struct(*rest).alias("row"))
     parsed = texts.select("id", "tag", "text").mapInArrow(
-        _parse, f"trigger long, content long, id long, tag long, at int, n int, more {PLACES}"
+        _parse, "trigger long, content long, id long, tag long, at int, n int, known boolean"
     )
     by_trigger = Window.partitionBy("trigger")
     dictionary = parsed.repartition("trigger").sortWithinPartitions("trigger", "content")  # the order of both windows
     ordered = _later(dictionary, "trigger", "content").withColumn(
         "shared", F.min("content").over(by_trigger) < F.max("content").over(by_trigger)
     )
-    found = settle(ordered.where("repeat OR shared OR more IS NOT NULL").drop("content"), "shared_phrases")
+    found = ordered.withColumn("repeat", F.col("known") | F.col("repeat")).where("repeat OR shared")
+    found = settle(found.drop("content", "known"), "shared_phrases")
     edges = found.where("NOT repeat AND shared").select("id", "tag", "at", "n", "trigger")
     hot = edges.groupBy("trigger").count().where(F.col("count") > HOT_PHRASES).select("trigger")
     of_text = edges.groupBy("id", "tag").agg(F.collect_set(F.struct("at", "n", "trigger")).alias("open"))
@@ -330,9 +347,7 @@ def repeated_spans(docs: DataFrame, want_text: bool = False) -> DataFrame:
         parts.append(_runs_of_hot(windows.join(hot, "trigger", "left_semi")))
     alike = rest_of.repartition("trigger").sortWithinPartitions("trigger")
     parts.append(alike.mapInArrow(_grouped, "id long, tag long, at int, n int"))
-    own = F.when(F.col("repeat"), F.array(F.struct("id", "tag", "at"))).otherwise(F.array().cast(PLACES))
-    every = F.concat(own, F.coalesce("more", F.array().cast(PLACES)))
-    parts.append(found.select(F.explode(every).alias("p"), "n").select("p.id", "p.tag", "p.at", "n"))
+    parts.append(found.where("repeat").select("id", "tag", "at", "n"))
     spans = reduce(DataFrame.union, parts).groupBy("id", "tag")
     spans = spans.agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     schema = T.StructType(
@@ -352,3 +367,31 @@ def op3_prefix_free_parsing(spark, sf_dir: str) -> DataFrame:
     """What is removed from every document."""
     spans = repeated_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return spans.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP3_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, coalesce(doc_id, {NULL_ID}) AS id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+),
+w AS (
+  SELECT rn, CAST(id AS HUGEINT) * 4294967296 + i AS place, i, md5_number(substr(h, 2 * i + 1, {2 * DEPTH})) AS k
+  FROM (SELECT rn, id, h, unnest(range(0, len(h) // 2 - {DEPTH - 1})) AS i FROM d WHERE len(h) >= {2 * DEPTH})
+),
+m AS (SELECT k, min(place) AS first FROM w GROUP BY k HAVING count(*) > 1),
+r AS (SELECT rn, i, lag(i) OVER (PARTITION BY rn ORDER BY i) AS before FROM w JOIN m USING (k) WHERE place > first),
+g AS (
+  SELECT rn, i, sum(CASE WHEN before IS NULL OR i > before + {DEPTH} THEN 1 ELSE 0 END) OVER (PARTITION BY rn ORDER BY i) AS run
+  FROM r
+),
+s AS (SELECT rn, run, min(i) AS a, max(i) + {DEPTH} AS b FROM g GROUP BY ALL),
+p AS (SELECT rn, a, b, coalesce(lag(b) OVER (PARTITION BY rn ORDER BY a), 0) AS before FROM s),
+k AS (
+  SELECT rn, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM p JOIN d USING (rn) GROUP BY rn
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (rn)
+"""

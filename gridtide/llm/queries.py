@@ -7,7 +7,7 @@ import corpus_pipeline
 from gridtide.llm.decontaminate import OP7_SQL, op7_decontaminate
 from gridtide.llm.extract import op9_text_regions
 from gridtide.llm.packing import OP6_SQL, op6_length_buckets
-from gridtide.llm.parsing import op3_prefix_free_parsing
+from gridtide.llm.parsing import OP3_SQL, op3_prefix_free_parsing
 from gridtide.llm.permutation import op10_permutation_index
 from gridtide.llm.quality import op1_quality_fourier
 from gridtide.llm.quotations import OP4_SQL, op4_quotation_links
@@ -29,6 +29,7 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
+    "op3_prefix_free_parsing": OP3_SQL,
     "op4_quotation_links": OP4_SQL,
     "op5_warc_chain": OP5_SQL,
     "op6_length_buckets": OP6_SQL,
