@@ -109,8 +109,9 @@ def plan_sync(
         .join(templates.select("dataset_id", "kind", "execution", "period_type", "availability"), "dataset_id")
         .join(requests.select("dataset_id", "requested_end"), "dataset_id", "left")
     )
-    native = F.coalesce(normalize_period("current_end", F.col("period_type")), F.col("current_end"))
-    base = base.withColumn("current_end", F.when(F.col("kind") == STATIC, F.col("current_end")).otherwise(native))
+    moves = F.col("kind") != STATIC
+    base = base.withColumn("native_end", F.when(moves, normalize_period("current_end", F.col("period_type"))))
+    base = base.withColumn("current_end", F.coalesce("native_end", "current_end"))
     kind, period_type = F.col("kind"), F.col("period_type")
     asked = F.nullif(F.trim("requested_end"), F.lit(""))
     resolved = base.withColumns(
@@ -127,9 +128,7 @@ def plan_sync(
         "offered", available_end(now, period_type, F.col("resolved"), F.col("availability"))
     ).withColumn("upcoming", F.when(kind == TEMPORAL, next_period("current_end", period_type)))
     offered = F.col("offered")
-    unreadable = F.when(kind == TEMPORAL, F.col("upcoming").isNull()).otherwise(
-        normalize_period("current_end", period_type).isNull()
-    )
+    unreadable = F.col("native_end").isNull() | ((kind == TEMPORAL) & F.col("upcoming").isNull())
     clamped = F.when(F.col("availability").isNull(), F.col("resolved")).otherwise(F.least("resolved", offered))
     targeted = resolved.withColumns(
         {
