@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -181,12 +181,12 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return prints.join(classes, "print").select("doc_id", "print", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without those whose component holds a smaller id.
+def keep_one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = simhash_groups) -> DataFrame:
+    """Rows of ``docs`` without those whose component, as ``groups`` gives it, holds a smaller id.
 
     Of rows with the same id and text one stays. Rows without an id cannot be told apart and stay.
     """
-    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
