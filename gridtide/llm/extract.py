@@ -2,8 +2,9 @@
 
 The events of the standard library's parser cut a page into lines at block elements. Each line has a ratio of
 characters to tags; the ratios are smoothed by a Gaussian and split into two clusters by a threshold. Lines of
-the upper cluster show where the article is: the region (``article`` or ``main``, or else the innermost element)
-that holds them. All lines of that region return, short ones too, but for those inside elements that by
+the upper cluster show where the article is: every ``article`` or ``main`` if one of them holds such a line, or
+else the innermost element above single paragraphs and lists that holds them all, with headings and paragraphs
+beside it. All lines of that region return, short ones too, but for those inside elements that by
 tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments.
 """
 
@@ -23,7 +24,6 @@ from gridtide.llm.common import read_table
 SIGMA = 1.0
 RADIUS = 2
 ROUNDS = 20
-SHARE = 0.9
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike "
@@ -41,6 +41,8 @@ BOILER_NAMES = frozenset(
     "related recommended widget toolbar pagination pager skip login paywall".split()
 )
 REGIONS = ("article", "main")
+BESIDE_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+LEAF_TAGS = BESIDE_TAGS | frozenset("li dt dd ul ol dl pre blockquote figure figcaption address td th tr".split())
 KEEPS_PARAGRAPH_OPEN = INLINE | VOID - {"hr"}
 
 
@@ -171,21 +173,30 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
 
 def _regions(page: Lines, chosen: np.ndarray) -> set[int]:
     """Elements whose lines make up the article."""
-    weight: dict[int, int] = {}
+    text_lines = [(e, c) for (_, _, e, boilerplate), c in zip(page.lines, chosen) if not boilerplate]
+    held: dict[int, int] = {}
     total = 0
-    for (text, _, element, boilerplate), content in zip(page.lines, chosen):
-        if content and not boilerplate:
-            total += len(text)
-            while element >= 0:
-                weight[element] = weight.get(element, 0) + len(text)
-                element = page.parents[element]
+    for element, content in text_lines:
+        total += content
+        while content and element >= 0:
+            held[element] = held.get(element, 0) + 1
+            element = page.parents[element]
     for tag in REGIONS:
-        inside = {e: w for e, w in weight.items() if page.tags[e] == tag}
-        if inside:
-            most = max(inside.values())
-            return {e for e, w in inside.items() if 5 * w >= most}
-    holders = [e for e, w in weight.items() if w >= SHARE * total]
-    return {max(holders)} if holders else {0}
+        if any(page.tags[e] == tag for e in held):
+            return {e for e in range(len(page.tags)) if page.tags[e] == tag}
+    region = max((e for e, n in held.items() if n == total), default=0)
+    while page.tags[region] in LEAF_TAGS:
+        region = page.parents[region]
+    return {region} | _beside(page, region, {e for e, _ in text_lines})
+
+
+def _beside(page: Lines, region: int, elements: set[int]) -> set[int]:
+    """Headings and paragraphs beside an element or beside one that holds it."""
+    above = set()
+    while region >= 0:
+        above.add(region)
+        region = page.parents[region]
+    return {e for e in elements if page.tags[e] in BESIDE_TAGS and page.parents[e] in above}
 
 
 def main_text(html: str | None) -> str:

@@ -59,3 +59,21 @@ def test_clashing_columns_and_empty_table(spark):
     row = extract_text(pages).first()
     assert (row.text, row.n_chars, row.row.text, row.row.n_chars) == ("", 0, "t", 3)
     assert extract_text(pages.limit(0)).collect() == []
+
+
+LONG = "word " * 600
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div><h1>Title here</h1><p>Short lead.</p><p>{LONG}</p><p>Short end.</p></div>",
+        f"<h1>Title here</h1><div><p>Short lead.</p><div><p>{LONG}</p><p>{LONG}</p></div><p>Short end.</p></div>",
+        f"<article><h1>Title here</h1><p>Short lead.</p></article><article><p>{LONG}</p></article><article>Short end.</article>",
+        f"<div><h1>Title here</h1><p>Short lead.</p><ul><li>{LONG}</li></ul><p>Short end.</p></div>",
+    ],
+)
+def test_short_parts_stay(body):
+    got = main_text(PAGE % body).split()
+    assert [w for w in got if w != "word"] == ["Title", "here", "Short", "lead.", "Short", "end."]
+    assert got.count("word") == body.count("word ")
