@@ -209,14 +209,31 @@ def _window_rows(prefixes: dict[int, np.ndarray] | None):
     return run
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their number of words."""
-    for batch in batches:
-        texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-        counts: list[int] = []
-        for low, high in slices(texts):
-            counts.extend(np.diff(Words(texts[low:high]).first).tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["row", "n_words"])
+def _marked(want_rest: bool):
+    """Rows with their number of words, and spans and rest for sorted numbers of hit words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+            marks = batch.column(2)
+            counts, spans, rests = [], [], []
+            for low, high in slices(texts):
+                words = Words(texts[low:high])
+                counts.extend(np.diff(words.first).tolist())
+                hit = np.zeros(len(words.hashes) + 1, dtype=bool)
+                for k in range(high - low):
+                    if marks[low + k].is_valid:
+                        hit[words.first[k] + marks[low + k].values.to_numpy()] = True
+                for k in range(high - low):
+                    found = _spans(words, hit, k) if marks[low + k].is_valid else []
+                    spans.append([list(x) for x in found])
+                    text = texts[low + k]
+                    rests.append(_without(text, found) if want_rest and text is not None else None)
+            kinds = [pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()]
+            columns = (pa.array(c, type=k) for c, k in zip((counts, spans, rests), kinds))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", "n_words", "spans", "rest"])
+
+    return run
 
 
 def find_windows(
@@ -227,8 +244,8 @@ def find_windows(
     ``items`` are the sorted ids, as strings, of benchmark items with a window in the text; ``spans`` the byte
     ranges of runs of hit words; ``rest`` the text without them where ``want_rest``. Null and empty texts have no
     words. An item with a null id marks words but is not counted; items without words and an empty benchmark mark
-    nothing. Repeated rows each return. Beyond ``broadcast_words`` words ``spans`` and ``rest`` are null, and
-    documents need not have unique ids, but rows equal in all columns are counted as one and returned as often.
+    nothing. Repeated rows each return. Beyond ``broadcast_words`` words rows equal in all columns are sought as
+    one and returned as often.
     """
     tests = items.select(F.col("item_id").cast("string"), "text")
     source = docs.select(F.struct("*").alias("row"), "text")
@@ -253,22 +270,20 @@ def find_windows(
     seen = keyed.distinct().mapInArrow(_window_rows(tables), T.StructType([keyed.schema["row"], *text.fields]))
     marks = seen.join(bench, ["width", "prefix", "words"])
     hit = marks.select("row", F.explode(F.sequence("at", F.col("at") + F.col("width") - 1)).alias("w")).distinct()
-    hits = hit.groupBy("row").agg(F.count("*").alias("n_hit"))
+    hits = hit.groupBy("row").agg(F.collect_list("w").alias("hit"))
     ids = marks.groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    whole = docs.select(F.struct(F.struct("*").alias("row"), key.alias("k")).alias("row"), "text")
-    counted = whole.mapInArrow(
-        _counts, T.StructType([whole.schema["row"], T.StructField("n_words", T.LongType())])
-    ).select("row.row", "row.k", "n_words")
-    joined = counted.join(hits.withColumnRenamed("row", "k1"), F.col("k").eqNullSafe(F.col("k1")), "left").join(
-        ids.withColumnRenamed("row", "k2"), F.col("k").eqNullSafe(F.col("k2")), "left"
-    )
-    return joined.select(
-        "row",
+    found = hits.join(ids.withColumnRenamed("row", "k"), F.col("row").eqNullSafe(F.col("k"))).drop("k")
+    whole = docs.select(F.struct("*").alias("row"), key.alias("k"), "text")
+    joined = whole.join(found.withColumnRenamed("row", "k1"), F.col("k").eqNullSafe(F.col("k1")), "left")
+    given = joined.select(F.struct("row", "items", F.size("hit").alias("n")).alias("row"), "text", "hit")
+    outer = T.StructType([given.schema["row"], *(HITS[c] for c in ("n_words", "spans", "rest"))])
+    return given.mapInArrow(_marked(want_rest), outer).select(
+        "row.row",
         "n_words",
-        F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.lit(None).cast("array<array<bigint>>").alias("spans"),
-        F.lit(None).cast("string").alias("rest"),
+        F.greatest("row.n", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("row.items", F.array().cast("array<string>")).alias("items"),
+        "spans",
+        "rest",
     )
 
 

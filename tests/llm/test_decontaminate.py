@@ -71,6 +71,16 @@ def test_spans_leave_the_rest(spark):
     assert [r.doc_id for r in dec.drop_contaminated(docs, items).collect()] == [2]
 
 
+def test_both_ways_give_the_same_spans_and_rest(spark):
+    rows = [*enumerate(TEXTS), (4, TEXTS[4]), (4, TEXTS[3]), (None, TEXTS[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    ways = [dec.find_windows(docs, items, want_rest=True, broadcast_words=n) for n in (dec.BROADCAST_WORDS, 1)]
+    assert ways[0].columns == ways[1].columns and ways[0].dtypes == ways[1].dtypes
+    few, many = (sorted((tuple(r) for r in way.collect()), key=str) for way in ways)
+    assert few == many and any(r[4] for r in many)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
