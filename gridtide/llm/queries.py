@@ -9,6 +9,7 @@ from gridtide.llm.extract import op9_text_regions
 from gridtide.llm.packing import OP6_SQL, op6_length_buckets
 from gridtide.llm.parsing import OP3_SQL, op3_prefix_free_parsing
 from gridtide.llm.permutation import op10_permutation_index
+from gridtide.llm.prefix_join import OP11_SQL, op11_prefix_join
 from gridtide.llm.quality import op1_quality_fourier
 from gridtide.llm.quotations import OP4_SQL, op4_quotation_links
 from gridtide.llm.simhash import op2_simhash_golay
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_token_rows": op8_token_rows,
     "op9_text_regions": op9_text_regions,
     "op10_permutation_index": op10_permutation_index,
+    "op11_prefix_join": op11_prefix_join,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -34,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op5_warc_chain": OP5_SQL,
     "op6_length_buckets": OP6_SQL,
     "op7_decontaminate": OP7_SQL,
+    "op11_prefix_join": OP11_SQL,
 }
