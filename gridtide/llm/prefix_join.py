@@ -166,7 +166,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 def hub_pairs(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Each class with the hub of each of its lists: the member whose shingle comes earliest for its size."""
-    early = F.struct((F.col("place") * F.lit(1_000_000) / F.col("n")).cast("long").alias("early"), "cid", "n", "place", "matches")
+    early = F.struct((F.col("place").cast("double") / F.col("n")).alias("early"), "cid", "n", "place", "matches")
     hubs = postings.groupBy("token").agg(F.min(early).alias("hub")).select("token", "hub.*")
     found = postings.alias("p").join(hubs.alias("h"), "token").where("p.cid <> h.cid").where(_may_link(percent, "p", "h"))
     return found.select(F.expr("least(p.cid, h.cid)").alias("u"), F.expr("greatest(p.cid, h.cid)").alias("v")).distinct()
