@@ -12,8 +12,10 @@ from gridtide.llm.permutation import op10_permutation_index
 from gridtide.llm.prefix_join import OP11_SQL, op11_prefix_join
 from gridtide.llm.quality import op1_quality_fourier
 from gridtide.llm.quotations import OP4_SQL, op4_quotation_links
+from gridtide.llm.repair import op12_four_russians
 from gridtide.llm.simhash import op2_simhash_golay
 from gridtide.llm.token_rows import op8_token_rows
+from gridtide.llm.vector_codes import OP13_SQL, op13_vector_codes
 from gridtide.llm.warc import OP5_SQL, op5_warc_chain
 
 QUERIES = {
@@ -28,6 +30,8 @@ QUERIES = {
     "op9_text_regions": op9_text_regions,
     "op10_permutation_index": op10_permutation_index,
     "op11_prefix_join": op11_prefix_join,
+    "op12_four_russians": op12_four_russians,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -37,4 +41,5 @@ ORACLES: dict[str, str] = {
     "op6_length_buckets": OP6_SQL,
     "op7_decontaminate": OP7_SQL,
     "op11_prefix_join": OP11_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
