@@ -213,13 +213,14 @@ def class_links(classes: DataFrame, texts: DataFrame, words: int = SHINGLE_WORDS
         return settle(found.mapInArrow(_sets(words), "cid long, shingles array<long>"), "shingle_sets")
 
     def links_of(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = settle(pairs, f"{name}_pairs")
         return settle(verified(pairs, sets_of(pairs), percent), f"{name}_links")
 
-    first = links_of(hub_pairs(postings, percent), "hub")
+    judged = settle(hub_pairs(postings, percent), "hub_pairs")
+    first = links_of(judged, "hub")
     members = settle(connected_components(first), "hub_members")
     placed = postings.join(members.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    rest = links_of(cross_pairs(placed, percent), "cross")
+    unseen = settle(cross_pairs(placed, percent).join(judged, ["u", "v"], "left_anti"), "cross_pairs")
+    rest = links_of(unseen, "cross")
     return connected_components(first.union(rest))
 
 
