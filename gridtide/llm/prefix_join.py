@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,7 +111,7 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, mean: float, percent: int = P
     return matches, alone, hashes[order[alone:end]]
 
 
-def _sketch(words: int, percent: int, shared):
+def _sketch(words: int, percent: int, shared, fingerprint: Callable[[bytes | None], int] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, mean = shared.value
         for batch in batches:
@@ -122,10 +122,12 @@ def _sketch(words: int, percent: int, shared):
                 first = prefix(found, counts, mean, percent) if len(found) else (0, 0, found)
                 nodes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 sizes.append(len(found)), asked.append(first[0]), skipped.append(first[1]), tokens.append(first[2].view(np.int64))
+            prints = np.array([fingerprint(t.as_py()) if fingerprint else 0 for t in texts], dtype=np.uint64)
             columns = [pa.array(nodes, pa.binary()), *(pa.array(c, pa.int32()) for c in (sizes, asked, skipped))]
+            columns += [pa.array(tokens, pa.list_(pa.int64())), pa.array(prints.view(np.int64))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *columns, pa.array(tokens, pa.list_(pa.int64()))],
-                ["doc_id", "row_key", "node", "n", "matches", "skipped", "tokens"],
+                [batch.column(0), batch.column(1), *columns],
+                ["doc_id", "row_key", "node", "n", "matches", "skipped", "tokens", "print"],
             )
 
     return run
@@ -196,10 +198,13 @@ def cross_pairs(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.groupBy("u", "v").agg(F.count("*").alias("met"), F.min("asked").alias("asked")).where("met >= asked").select("u", "v")
 
 
-def class_links(classes: DataFrame, texts: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+def class_links(
+    classes: DataFrame, texts: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, seeds: DataFrame | None = None
+) -> DataFrame:
     """``(node, root)`` of all classes linked to another.
 
     ``classes`` has ``cid``, ``row_key``, ``n``, ``matches``, ``skipped`` and ``tokens``, ``texts`` has ``row_key`` and ``text``.
+    ``seeds`` are further pairs ``(u, v)`` to be judged first.
     """
     every = classes.select("cid", "n", "matches", "skipped", F.posexplode("tokens").alias("at", "token"))
     every = every.select("token", "cid", "n", (F.col("at") + F.col("skipped")).alias("place"), "matches")
@@ -215,7 +220,8 @@ def class_links(classes: DataFrame, texts: DataFrame, words: int = SHINGLE_WORDS
     def links_of(pairs: DataFrame, name: str) -> DataFrame:
         return settle(verified(pairs, sets_of(pairs), percent), f"{name}_links")
 
-    judged = settle(hub_pairs(postings, percent), "hub_pairs")
+    hubs = hub_pairs(postings, percent)
+    judged = settle(hubs if seeds is None else hubs.union(seeds).distinct(), "hub_pairs")
     first = links_of(judged, "hub")
     members = settle(connected_components(first), "hub_members")
     placed = postings.join(members.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -231,10 +237,19 @@ def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 
 def jaccard_groups(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    words: int = SHINGLE_WORDS,
+    percent: int = PERCENT,
+    fingerprint: Callable[[bytes | None], int] | None = None,
+    seeds: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs``, by chains of links of ``percent`` or more.
 
+    ``seeds`` may name pairs ``(u, v)`` of classes ``(cid, print)`` to be judged first, where ``print`` is what
+    ``fingerprint`` makes of a text; they change the work and not the result.
+
     Null and empty texts and those without words have no shingles, link with nothing and are their own component. Rows with
     equal sets are linked, repeated rows each return, and texts of any length are used whole. A null id never is the
     smallest of its component, and a component of null ids alone has a null component id. Other columns of ``docs`` are not
@@ -243,13 +258,14 @@ def jaccard_groups(
     rows = keyed(docs, id_column, text_column)
     shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(rows, words))
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"doc_id {kind}, row_key string, node binary, n int, matches int, skipped int, tokens array<long>"
-    sketches = settle(rows.mapInArrow(_sketch(words, percent, shared), schema), "sketches")
+    schema = f"doc_id {kind}, row_key string, node binary, n int, matches int, skipped int, tokens array<long>, print long"
+    sketches = settle(rows.mapInArrow(_sketch(words, percent, shared, fingerprint), schema), "sketches")
     named = sketches.where("n > 0")
-    one = F.first(F.struct("row_key", "n", "matches", "skipped", "tokens")).alias("one")
+    one = F.first(F.struct("row_key", "n", "matches", "skipped", "tokens", "print")).alias("one")
     classes = named.groupBy("node").agg(F.min("doc_id").alias("least_id"), one).select("node", "least_id", "one.*")
     classes = settle(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    members = class_links(classes, rows.select("row_key", "text"), words, percent).withColumnRenamed("node", "cid")
+    first = None if seeds is None else seeds(classes.select("cid", "print"))
+    members = class_links(classes, rows.select("row_key", "text"), words, percent, first).withColumnRenamed("node", "cid")
     placed = classes.select("node", "cid", "least_id").join(members, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     component = placed.join(least, "root").select("node", "component_id")

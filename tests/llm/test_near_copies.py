@@ -62,5 +62,32 @@ def test_recall_on_the_given_documents(spark):
     assert {tuple(r) for r in got.collect()} == brute_components(rows)
 
 
+def test_one_of_each_group_with_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    schema = "doc_id long, text string, print string, tags map<string,string>"
+    rows = [
+        (None, text, "b", {"k": "2"}), (None, text, "a", {"k": "1"}), (3, text + " end", "c", None), (3, text + "  end", "c", None),
+        (5, "x y z", "d", None), (5, "x y z", "c", None), (5, "other words here", "d", None),
+        (None, "only here", "z", None), (None, "only here", "y", None), (None, "", "e", None), (8, None, "e", None), (9, " ", "e", None),
+    ]
+    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, schema))
+    assert kept.schema == spark.createDataFrame([], schema).schema
+    got = sorted((tuple(r)[:3] for r in kept.collect()), key=repr)
+    assert [g for g in got if g[0] == 3] in ([(3, text + " end", "c")], [(3, text + "  end", "c")])
+    assert [g for g in got if g[0] != 3] == sorted([(5, "x y z", "c"), (5, "other words here", "d"), (None, "only here", "y"), (8, None, "e")], key=repr)
+    assert len(got) == 5
+
+
+def test_fingerprints_alone_find_the_nearest_copies(spark):
+    from gridtide.llm.simhash import fingerprint
+
+    text = " ".join(f"w{i}" for i in range(2000))
+    prints = [fingerprint(t.encode(), 5) for t in (text, text + " end", text.replace("w7 ", "x7 "))]
+    rows = [(k, p - (1 << 64) if p >> 63 else p) for k, p in enumerate(prints)] + [(3, 12345), (4, 12345)]
+    pairs = near_copies.fingerprint_pairs(spark.createDataFrame(rows, "cid long, print long"))
+    near = {(u, v) for u in range(3) for v in range(u + 1, 3) if 0 < (prints[u] ^ prints[v]).bit_count() <= 3}
+    assert near <= {tuple(r) for r in pairs.collect()} and (3, 4) in {tuple(r) for r in pairs.collect()}
+
+
 def test_empty_table(spark):
     assert near_copies.near_copy_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []

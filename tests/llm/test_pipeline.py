@@ -29,12 +29,13 @@ def test_stages_take_effect_and_keep_the_columns(steps):
 
 
 def test_each_stage_does_what_its_operator_says(spark, steps):
-    from gridtide.llm import decontaminate, parsing, quality, simhash
+    from gridtide.llm import decontaminate, parsing, quality
+    from test_near_copies import brute_components
 
     scores = quality.quality_scores(steps[0], spark.read.parquet(f"{SF}/labels.parquet")).collect()
     assert {r.row.doc_id for r in scores if r.score >= 0.5} == {r.doc_id for r in steps[1].collect()}
-    groups = simhash.simhash_groups(steps[1]).collect()
-    assert {r.component_id for r in groups} == {r.doc_id for r in steps[2].collect()}
+    groups = brute_components([(r.doc_id, r.text) for r in steps[1].collect()])
+    assert {component for _, component in groups} == {r.doc_id for r in steps[2].collect()}
     kept = {r.row.doc_id: r.kept_sha256 for r in parsing.repeated_spans(steps[2]).collect()}
     cut = {r.doc_id: r for r in steps[3].collect()}
     whole = {r.doc_id: r.text for r in steps[2].collect()}
