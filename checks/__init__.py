@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def all_queries():
     """Every registered query and every SQL twin."""
-    from checks import catalog, cubes, ingest, periods, zonal  # noqa: F401
+    from checks import catalog, cubes, ingest, periods, spatial, zonal  # noqa: F401
     from checks.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

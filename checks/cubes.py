@@ -39,9 +39,11 @@ from gridtide.operators.reduce import (
     build_overviews,
     coarsen,
     coverage,
+    read_overview,
     reduce_bands,
     reduce_dimension,
     reduce_spatial,
+    update_overviews,
 )
 from gridtide.operators.regrid import reproject, resample_cube_spatial
 from gridtide.operators.resample import aggregate_temporal_period, drop_incomplete_edges, resample
@@ -761,6 +763,25 @@ def second_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.parquet(levels[-1][0]), "precip")
 
 
+@query(
+    with_views("daily")
+    + """, one AS (SELECT t, CAST(FLOOR(y / 2.0) AS BIGINT) AS y, CAST(FLOOR(x / 2.0) AS BIGINT) AS x, AVG(precip) AS precip
+                 FROM daily GROUP BY 1, 2, 3)
+         SELECT 1 AS level, t, y * 2 + 0.5 AS y, x * 2 + 0.5 AS x, ROUND(precip, 6) AS precip FROM one
+         UNION ALL SELECT 2, t, CAST(FLOOR(y / 2.0) AS BIGINT) * 4 + 1.5 AS y, CAST(FLOOR(x / 2.0) AS BIGINT) * 4 + 1.5 AS x,
+                ROUND(AVG(precip), 6) AS precip FROM one WHERE x < 4 AND y < 4 GROUP BY 1, 2, 3, 4"""
+)
+def overviews_after_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both levels after values were rewritten for two months and two years were appended: only their buckets go up again."""
+    cube, path = precip_cube(spark, sf_dir), scratch_path(spark, "kept-overviews")
+    early, wrong = F.col("t") < "2000-01-01", F.col("t").between("1997-03-01", "1997-04-30")
+    before = cube.filter(early).withColumn("precip", F.when(wrong, -1.0).otherwise(F.col("precip")))
+    update_overviews(before, GRID, path, before.select("t"), levels=2)
+    levels = update_overviews(cube, GRID, path, cube.filter(~early | wrong).select("t"), levels=2)
+    read = [read_overview(spark, at).select(F.lit(k).alias("level"), "t", "y", "x", "precip") for k, (at, _) in enumerate(levels, 1)]
+    return rounded(read[0].union(read[1]), "precip")
+
+
 @query(
     """WITH axes AS (SELECT DISTINCT 't' AS axis, EPOCH(l_shipdate) AS v FROM lineitem
                      UNION SELECT DISTINCT 'x', CAST(l_suppkey % 10 AS DOUBLE) FROM lineitem

@@ -16,7 +16,7 @@ from gridtide.operators.combine import find_gaps, pending_periods
 from gridtide.operators.reduce import coverage
 from gridtide.plans.derived import artifact_row, materialize_resampled
 from gridtide.plans.ingest import ingest
-from gridtide.plans.sync import APPEND, REMATERIALIZE, TEMPLATE_SCHEMA, plan_sync, record_coverage, run_sync
+from gridtide.plans.sync import APPEND, REMATERIALIZE, TEMPLATE_SCHEMA, plan_sync, record_coverages, run_sync
 from gridtide.session import scratch_path
 from gridtide.streaming.append import append_from, append_missing, rematerialize, stream_append
 from gridtide.streaming.resample import stream_resample
@@ -88,6 +88,24 @@ def period_shapes_of_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_shapes(rows).drop("cell_hash")
 
 
+@query(
+    with_views("daily")
+    + """SELECT k, STRFTIME(MIN(t), '%Y-%m-%d') AS "start", STRFTIME(MAX(t), '%Y-%m-%d') AS "end", 0.0 AS xmin, 9.0 AS xmax, 0.0 AS ymin, 9.0 AS ymax
+         FROM daily JOIN (VALUES (1, DATE '1996-03-01', DATE '1996-12-31'), (2, DATE '1995-05-01', DATE '1996-12-31'),
+                                 (3, DATE '1995-05-01', DATE '1999-02-28')) v(k, a, z) ON t >= a AND t <= z GROUP BY k"""
+)
+def coverage_by_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store covers after each of three appends, told by its ledger alone."""
+    cube = _any_shape(precip_cube(spark, sf_dir))
+    store = PeriodStore(spark, scratch_path(spark, "covered"), "daily")
+    reached = []
+    for k, (start, end) in enumerate((("1996-03-01", "1996-12-31"), ("1995-05-01", "1996-12-31"), ("1995-05-01", "1999-02-28")), 1):
+        append_missing(cube, store, {"variable": "precip"}, start, end)
+        reached.append((k, *store.coverage().select("start", "end", "xmin", "xmax", "ymin", "ymax").first()))
+    # told at once, since plans over the same folder at different times count as the same to Spark
+    return spark.createDataFrame(reached, "k int, start string, end string, xmin double, xmax double, ymin double, ymax double")
+
+
 @query("SELECT DISTINCT STRFTIME(l_shipdate, '%G-W%V') AS period_id FROM lineitem")
 def stored_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periods a store knows of, after a rebuild by week."""
@@ -137,6 +155,24 @@ def streamed_two_day_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.parquet(out), "t2m").select("t", "y", "x", "t2m")
 
 
+@query(
+    with_views("daily")
+    + """SELECT DATE_TRUNC('month', t) AS t, y, x, ROUND(SUM(precip), 6) AS precip FROM daily
+         WHERE t >= TIMESTAMP '1995-02-01' AND t < DATE_TRUNC('month', (SELECT MAX(t) FROM daily)) GROUP BY 1, 2, 3"""
+)
+def streamed_monthly_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly sums of a stream that is stopped in the middle of a month and goes on from its checkpoint."""
+    landing, out, state = (scratch_path(spark, n) for n in ("days", "months", "months-state"))
+    cube = precip_cube(spark, sf_dir)
+    for rows in (cube.filter("t < TIMESTAMP_NTZ'1998-05-17'"), cube.filter("t >= TIMESTAMP_NTZ'1998-05-17'")):
+        rows.write.mode("append").parquet(landing)
+        source = spark.readStream.schema(cube.schema).parquet(landing)
+        sums = stream_resample(source, "MS", "sum", "1995-01-02", watermark="0 seconds")
+        writer = sums.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.parquet(out), "precip").select("t", "y", "x", "precip")
+
+
 @query(
     with_views("daily")
     + """SELECT t, y, x, ROUND(precip, 6) AS precip FROM daily WHERE t >= TIMESTAMP '1996-01-01' AND t < TIMESTAMP '2001-01-01'"""
@@ -236,11 +272,11 @@ def synced_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     def rebuild(row):
         return rematerialize(cube, stores[row["dataset_id"]], template(row), row["current_start"], row["target_end"])
 
-    def note(row, _result) -> None:
-        name = row["dataset_id"]
-        record_coverage(catalog, name, coverage(stores[name].read(), "daily"), now())
+    def note(finished) -> None:
+        names = [row["dataset_id"] for row, _ in finished]
+        record_coverages(catalog, {name: stores[name].coverage() for name in names}, now())
 
-    outcomes = run_sync(plan, {APPEND: append, REMATERIALIZE: rebuild}, note)
+    outcomes = run_sync(plan, {APPEND: append, REMATERIALIZE: rebuild}, record_all=note)
     ends = {r["dataset_id"]: r["end"] for r in catalog.read().select("dataset_id", "coverage.temporal.end").collect()}
     ends["broken"] = "1998-12-31" if ends["broken"] == "oops" else None  # left as it was
     done = []

@@ -18,11 +18,13 @@ def merge_cubes(
     right: DataFrame,
     overlap: Callable[[Column, Column], Column] | None = None,
     extra_dims: Sequence[str] = (),
+    grid: GridSpec | None = None,
 ) -> DataFrame:
     """Combine two aligned cubes.
 
     Variables of only one cube are kept beside each other. A variable of both needs ``overlap``,
-    which decides where both have a value; elsewhere the one value there is is taken.
+    which decides where both have a value; elsewhere the one value there is is taken. Cells are matched by their
+    numbers on ``grid``, see ``numbered_cells``; where both cubes have a cell, its coordinates are those of the left one.
     """
     keys = key_columns(left, extra_dims)
     if set(keys) != set(key_columns(right, extra_dims)):
@@ -31,7 +33,14 @@ def merge_cubes(
     shared = [name for name in left_values if name in right_values]
     if shared and overlap is None:
         raise GridError(f"Both cubes have {shared}; an overlap function is needed")
-    joined = left.alias("a").join(right.alias("b"), keys, "full_outer")
+    spots = [k for k in ("y", "x") if k in keys]
+    others = [k for k in keys if k not in spots]
+    if len(spots) == 2:
+        left, right = numbered_cells(left, right, grid)
+        joined = left.alias("a").join(right.alias("b"), [*others, "__iy", "__ix"], "full_outer")
+    else:
+        others = keys
+        joined = left.alias("a").join(right.alias("b"), keys, "full_outer")
     columns = []
     for name in [*left_values, *[v for v in right_values if v not in shared]]:
         if name in shared:
@@ -40,7 +49,8 @@ def merge_cubes(
             columns.append(F.when(both, overlap(a, b)).otherwise(F.coalesce(a, b)).alias(name))
         else:
             columns.append(F.col(f"{'a' if name in left_values else 'b'}.{name}").alias(name))
-    return joined.select(*keys, *columns)
+    here = [F.col(k) if k in others else F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys]
+    return joined.select(*here, *columns)
 
 
 def append_periods(store: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridtide.errors import GridError
@@ -14,6 +14,7 @@ from gridtide.functions.crs import WGS84, bounds_wgs84
 from gridtide.functions.periods import period_id
 from gridtide.functions.reducers import Reducer, reducer
 from gridtide.schema import folded_columns, key_columns, value_columns
+from gridtide.sources.cube import bucket_of, bucket_seconds, write_cube
 from gridtide.sources.grid import GridSpec
 
 # When overviews are needed, and how many.
@@ -59,6 +60,11 @@ def coverage(cube: DataFrame, period_type: str, crs: str = WGS84) -> DataFrame:
         F.max("t").alias("t1"),
         *[fn(axis).cast("double").alias(f"{axis}{fn.__name__}") for axis in ("x", "y") for fn in (F.min, F.max)],
     )
+    return described_extent(measured, period_type, crs)
+
+
+def described_extent(measured: DataFrame, period_type: str, crs: str = WGS84) -> DataFrame:
+    """The row of ``coverage`` from ``steps``, first and last time ``t0, t1`` and the box of the cell centres."""
     box = [F.col(name) for name in ("xmin", "ymin", "xmax", "ymax")]
     return measured.select(
         (F.col("steps") > 0).alias("has_data"),
@@ -182,3 +188,48 @@ def build_overviews(
         cube = spark.read.parquet(target)
         written.append((target, grid))
     return written
+
+
+def update_overviews(
+    cube: DataFrame,
+    grid: GridSpec,
+    path: str,
+    changed: DataFrame,
+    levels: int | None = None,
+    iso_step: str | None = "P1D",
+    dataset_id: str = "overview",
+    extra_dims: Sequence[str] = (),
+) -> list[tuple[str, GridSpec]]:
+    """Bring the overview levels below ``path`` up to a cube that has new or rewritten times ``t`` in ``changed``.
+
+    Levels are stored by time bucket. Only buckets with a changed time go up, level by level: they are read from the level
+    below, and replace the same buckets there; all other files stay as they are. A first call with all times
+    builds everything. Times that have no row any more keep their old blocks. Use ``read_overview`` to read a level.
+    """
+    spark = cube.sparkSession
+    seconds = bucket_seconds(spark, iso_step)
+    touched = changed.select(bucket_of(F.col("t"), seconds).alias("time_bucket")).distinct().persist()
+    try:
+        low, high = touched.agg(F.min("time_bucket"), F.max("time_bucket")).first()
+        written = []
+        source = cube.withColumn("time_bucket", bucket_of(F.col("t"), seconds))
+        for level in range(1, (overview_levels(grid) if levels is None else levels) + 1):
+            target = f"{path.rstrip('/')}/level_{level}"
+            if low is not None:
+                first, last = (F.timestamp_seconds(F.lit(b * seconds)).cast("timestamp_ntz") for b in (low, high + 1))
+                near = source.filter((F.col("t") >= first) & (F.col("t") < last) & F.col("time_bucket").between(low, high))
+                near = near.join(touched, "time_bucket", "left_semi").drop("time_bucket", "dataset_id")
+                coarse, grid = coarsen(near, grid, extra_dims)
+                write_cube(coarse, target, "replace_buckets", dataset_id, iso_step)
+                source = spark.read.parquet(target)
+            else:
+                grid = coarser_grid(grid)
+            written.append((target, grid))
+        return written
+    finally:
+        touched.unpersist()
+
+
+def read_overview(spark: SparkSession, path: str) -> DataFrame:
+    """The cube of a level that ``update_overviews`` keeps."""
+    return spark.read.parquet(path).drop("time_bucket", "dataset_id")

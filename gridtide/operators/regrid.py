@@ -1,4 +1,4 @@
-"""Moving a cube to another grid or coordinate system, by nearest cell."""
+"""Moving a cube to another grid or coordinate system, by nearest cell or by weights."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridtide.errors import GridError
 from gridtide.functions.crs import normalise_crs, transform_bounds, transform_point
+from gridtide.operators.remap import WEIGHTED_METHODS, remap, reproject_bilinear
 from gridtide.operators.select import nearest_on_axis
 from gridtide.schema import key_columns, value_columns
 from gridtide.sources.grid import GridSpec, axis_number, infer_grid
@@ -29,9 +30,13 @@ def resample_cube_spatial(
     Columns and rows of the target are matched to the source axis by axis. Both maps are as short
     as an axis, so the cube is joined with them where it lies and no cell-by-cell table arises.
     ``cells`` may name a cheaper table with the same axis values, such as the cells of the grid.
+    The methods ``bilinear``, ``average`` and ``sum`` weigh cells, see ``remap``; without ``source`` the grid is
+    derived from the axes of the cube.
     """
+    if method in WEIGHTED_METHODS:
+        return remap(cube, source or infer_grid(cube), target, method, extra_dims)
     if method != "near":
-        raise GridError(f"Unsupported method '{method}'. Supported: near")
+        raise GridError(f"Unsupported method '{method}'. Supported: near, {', '.join(WEIGHTED_METHODS)}")
     spark = cube.sparkSession
     keys = key_columns(cube, extra_dims, drop=("x", "y"))
     if source is not None:
@@ -73,17 +78,22 @@ def reproject(
     source_grid: GridSpec | None = None,
     target_grid: GridSpec | None = None,
     extra_dims: Sequence[str] = (),
+    method: str = "near",
 ) -> DataFrame:
     """Cube on a regular grid in another coordinate system; unchanged if the systems are equal.
 
     Each target cell is projected back and takes the source cell it falls into. The map from target
     to source cells has one row per target cell and is joined on integer cell numbers; hand in the
-    grids to spare the aggregate that derives them.
+    grids to spare the aggregate that derives them. ``bilinear`` weighs the four source cells around it instead.
     """
+    if method not in ("near", "bilinear"):
+        raise GridError(f"Unsupported method '{method}'. Supported: near, bilinear")
     if normalise_crs(source_crs) == normalise_crs(target_crs):
         return cube
     source = (source_grid or infer_grid(cube)).with_crs(normalise_crs(source_crs))
-    target = target_grid or projected_grid(cube, source, target_crs)
+    target = (target_grid or projected_grid(cube, source, target_crs)).with_crs(normalise_crs(target_crs))
+    if method == "bilinear":
+        return reproject_bilinear(cube, source, target, extra_dims)
     back = transform_point(F.struct("x", "y"), target_crs, source_crs)
     cell_map = (
         target.cells(cube.sparkSession)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridtide.errors import GridError
 from gridtide.functions.periods import period_id
 from gridtide.functions.reducers import Reducer, reducer
+from gridtide.operators.medians import weighted_median
 from gridtide.schema import folded_columns, key_columns
 from gridtide.session import scratch_path
 from gridtide.sources.grid import GridSpec, numbered_cells
@@ -252,14 +253,12 @@ def zonal_statistics(
     """Statistics of one variable per zone and time step; cells are matched by their numbers on ``grid``.
 
     Nodata is left out unless ``include_nodata``. If ``assignment`` has a ``weight`` (from
-    ``cell_weights``), count, sum, mean and std are weighted by the covered share of each cell.
+    ``covered_shares`` or ``cell_weights``), count, sum, mean, median and std are weighted by the covered share of each cell.
     """
     unknown = [name for name in stats if name not in ZONAL_STATS]
     if unknown:
         raise GridError(f"Unknown statistics {unknown}. Known: {', '.join(ZONAL_STATS)}")
     weighted = "weight" in assignment.columns
-    if weighted and "median" in stats:
-        raise GridError("The median is not defined for partly covered cells")
     keys = ["zone_id", *key_columns(cube, extra_dims, drop=("x", "y", "zone_id"))]
     v = F.col(value).cast("double")
     if nodata is not None and not include_nodata:
@@ -288,9 +287,12 @@ def zonal_statistics(
     base = rows.groupBy(*keys).agg(
         *[folds[name].alias(name) for name in plain],
         F.count("v").alias("total"),
-        bracket("v").alias("around"),
+        *([] if weighted else [bracket("v").alias("around")]),
     )
-    median = exact_median(rows, keys, "v", base.select(*keys, "total", "around")).alias("m")
+    if weighted:
+        median = weighted_median(rows, keys, "v", "w").alias("m")
+    else:
+        median = exact_median(rows, keys, "v", base.select(*keys, "total", "around")).alias("m")
     same = [F.col(f"b.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
     joined = base.alias("b").join(median, same, "left")
     return joined.select(

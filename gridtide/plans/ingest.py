@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from gridtide.errors import GridError
 from gridtide.functions.crs import WGS84
 from gridtide.operators.catalog import LEDGER_FORMAT, CatalogTable, latest_per_dataset, scope_accepts
-from gridtide.operators.reduce import coverage
 from gridtide.plans.derived import artifact_row
 from gridtide.plans.sync import record_coverage
 from gridtide.streaming.append import append_missing
@@ -30,7 +29,7 @@ def ingest(
     bbox: tuple[float, float, float, float] | None = None,
     crs: str = WGS84,
 ) -> DataFrame:
-    """Append the missing periods of a range and record what the store covers then. Returns the record in force.
+    """Append the missing periods of a range and record what the store covers then, by its ledger. Returns the record in force.
 
     The first run adds a record, later ones bring it up to date. Data that starts elsewhere than asked, or goes
     beyond the asked end, is refused before it is recorded.
@@ -38,7 +37,7 @@ def ingest(
     spark = store.spark
     dataset_id = template["id"]
     append_missing(source, store, template, start, end)
-    covered = coverage(store.read(), store.period_type, crs)
+    covered = store.coverage(crs)
     record = artifact_row(
         spark,
         covered,

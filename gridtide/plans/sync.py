@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import uuid
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridtide.errors import GridError
 from gridtide.functions.availability import (
@@ -37,6 +41,9 @@ TEMPORAL, RELEASE_KIND, STATIC = "temporal", "release", "static"
 NO_OP, NOT_SYNCABLE, APPEND, REMATERIALIZE = "no_op", "not_syncable", "append", "rematerialize"
 UP_TO_DATE, COMPLETED, FAILED = "up_to_date", "completed", "failed"
 
+# Executions of a sync run that are under way at the same time.
+SYNC_WORKERS = 4
+
 # Messages of a plan.
 STATIC_MESSAGE = "This dataset is static and is not syncable."
 NO_PERIOD_MESSAGE = "Data already exists through {0}; target {1} does not require a new download."
@@ -204,70 +211,109 @@ def run_sync(
     plan: DataFrame,
     executors: Mapping[str, Callable[[Row], Any]],
     record: Callable[[Row, Any], None] | None = None,
+    record_all: Callable[[list[tuple[Row, Any]]], None] | None = None,
+    workers: int = SYNC_WORKERS,
 ) -> list[dict[str, Any]]:
-    """Carry out planned rows one after the other; each execution is its own Spark job.
+    """Carry out planned rows, up to ``workers`` of them at a time; each execution has its own Spark jobs.
 
-    ``executors`` gives a function for ``append`` and one for ``rematerialize``; ``record`` is called with the plan row
-    and the result of each finished one, to note the new coverage (see ``record_coverage``). The plan is written down
-    before the first execution, since executions change the stores it was made from. A dataset that cannot be planned
-    or whose execution fails is reported as failed with its reason, and the others go on.
+    ``executors`` gives a function for ``append`` and one for ``rematerialize``. They run in threads with a job group
+    each and share the cluster by scheduling pools, which are fair in a session of ``build_session``. What an execution
+    that fails left running is cancelled by its group. ``record`` is called with the plan row and the result of
+    each finished one, in the calling thread; ``record_all`` once with all of them, to note the new coverage in one version
+    of the catalog (see ``record_coverages``). The plan is written down before the first execution, since executions
+    change the stores it was made from. A dataset that cannot be planned or whose execution fails is reported as failed
+    with its reason, and the others go on.
     """
     spark = plan.sparkSession
     path = scratch_path(spark, "sync-plan")
     plan.write.parquet(path)
     fixed = spark.read.schema(plan.schema).parquet(path).orderBy("dataset_id")
-    outcomes = []
-    for row in fixed.toLocalIterator():
-        status, result, reason = COMPLETED, None, row["error"]
-        if reason is not None:
-            status = FAILED
-        elif row["action"] == NO_OP:
-            status = UP_TO_DATE
-        elif row["action"] == NOT_SYNCABLE:
-            status = NOT_SYNCABLE
-        elif row["current_start"] is None or row["target_end"] is None:
-            status, reason = FAILED, "There is no start or no target to sync to"
-        else:
-            try:
-                result = executors[row["action"]](row)
-                if record is not None:
-                    record(row, result)
-            except Exception as problem:  # noqa: BLE001  one dataset's failure is its outcome
-                status, reason = FAILED, f"{type(problem).__name__}: {problem}"
-        outcomes.append(
-            {
-                "dataset_id": row["dataset_id"],
-                "action": row["action"],
-                "status": status,
-                "result": result,
-                "reason": reason,
-            }
-        )
+    run, context = uuid.uuid4().hex, spark.sparkContext
+
+    def carry_out(row: Row, place: int) -> Any:
+        group = f"sync-{run}-{place}"
+        context.setJobGroup(group, f"sync {row['dataset_id']}", interruptOnCancel=True)
+        context.setLocalProperty("spark.scheduler.pool", f"sync-{place % workers}")
+        try:
+            return executors[row["action"]](row)
+        except Exception:
+            context.cancelJobGroup(group)
+            raise
+
+    outcomes, started, finished = [], [], []
+    with ThreadPoolExecutor(workers) as pool:
+        for row in fixed.collect():  # one short row for each dataset
+            due = row["error"] is None and row["action"] not in (NO_OP, NOT_SYNCABLE)
+            ready = row["current_start"] is not None and row["target_end"] is not None
+            # wrapped anew for each one, as it carries the properties of this thread over
+            job = pool.submit(inheritable_thread_target(spark)(carry_out), row, len(started)) if due and ready else None
+            started.append((row, job))
+        for row, job in started:
+            status, result, reason = _outcome(row, job)
+            if status == COMPLETED:
+                try:
+                    if record is not None:
+                        record(row, result)
+                    finished.append((row, result))
+                except Exception as problem:  # noqa: BLE001  one dataset's failure is its outcome
+                    status, reason = FAILED, f"{type(problem).__name__}: {problem}"
+            outcomes.append(
+                {
+                    "dataset_id": row["dataset_id"],
+                    "action": row["action"],
+                    "status": status,
+                    "result": result,
+                    "reason": reason,
+                }
+            )
+    if record_all is not None and finished:
+        record_all(finished)
     return outcomes
 
 
+def _outcome(row: Row, job: Future | None) -> tuple[str, Any, str | None]:
+    """Status, result and reason of one planned row, once it is done."""
+    if row["error"] is not None:
+        return FAILED, None, row["error"]
+    if row["action"] == NO_OP:
+        return UP_TO_DATE, None, None
+    if row["action"] == NOT_SYNCABLE:
+        return NOT_SYNCABLE, None, None
+    if job is None:
+        return FAILED, None, "There is no start or no target to sync to"
+    problem = job.exception()
+    if problem is not None:
+        return FAILED, None, f"{type(problem).__name__}: {problem}"
+    return COMPLETED, job.result(), None
+
+
 def record_coverage(catalog: CatalogTable, dataset_id: str, covered: DataFrame, now: Column) -> None:
     """Note what a dataset covers now (one row of ``coverage``) on its newest record."""
-    spark = covered.sparkSession
-    row = covered.select(
-        F.struct(F.struct("start", "end").alias("temporal"), F.struct("xmin", "ymin", "xmax", "ymax").alias("spatial"), "spatial_wgs84").alias("c")
+    record_coverages(catalog, {dataset_id: covered}, now)
+
+
+def record_coverages(catalog: CatalogTable, covered: Mapping[str, DataFrame], now: Column) -> None:
+    """Note what datasets cover now, each one row of ``coverage``, on their newest records, as one version of the catalog."""
+    spark, records = catalog.spark, catalog.read()
+    extent = F.struct(
+        F.struct("start", "end").alias("temporal"), F.struct("xmin", "ymin", "xmax", "ymax").alias("spatial"), "spatial_wgs84"
     )
-    found = spark.createDataFrame(row.collect(), row.schema)  # one row
-    records = catalog.read()
-    newest = latest_per_dataset(records.filter(F.col("dataset_id") == dataset_id)).select("artifact_id").first()
-    if newest is None:
-        raise GridError(f"Dataset '{dataset_id}' has no record")
     kind = records.schema["coverage"].dataType
-    fresh = found.select(F.col("c").cast(kind)).scalar()
-    chosen = F.col("artifact_id") == newest["artifact_id"]
-    reached = fresh["temporal"]["end"]
+    rows: Sequence[Row] = [d.select(F.lit(n).alias("dataset_id"), extent.cast(kind).alias("fresh")).first() for n, d in covered.items()]
+    fresh = spark.createDataFrame(rows, T.StructType([T.StructField("dataset_id", T.StringType()), T.StructField("fresh", kind)]))
+    newest = latest_per_dataset(records.join(fresh.select("dataset_id"), "dataset_id", "left_semi"))
+    chosen = newest.select("artifact_id", "dataset_id").join(fresh, "dataset_id")
+    unknown = fresh.join(chosen.select("dataset_id"), "dataset_id", "left_anti").first()
+    if unknown is not None:
+        raise GridError(f"Dataset '{unknown['dataset_id']}' has no record")
+    joined = records.join(chosen.select("artifact_id", "fresh"), "artifact_id", "left")
+    known, reached = F.col("fresh").isNotNull(), F.col("fresh.temporal.end")
     scope = F.when(F.col("request_scope").isNotNull(), F.col("request_scope").withField("end", reached))
-    catalog.replace(
-        records.withColumns(
-            {
-                "coverage": F.when(chosen, fresh).otherwise(F.col("coverage")),
-                "request_scope": F.when(chosen, scope).otherwise(F.col("request_scope")),
-                "created_at": F.when(chosen, now.cast("timestamp_ntz")).otherwise(F.col("created_at")),
-            }
-        )
+    noted = joined.withColumns(
+        {
+            "coverage": F.when(known, F.col("fresh")).otherwise(F.col("coverage")),
+            "request_scope": F.when(known, scope).otherwise(F.col("request_scope")),
+            "created_at": F.when(known, now.cast("timestamp_ntz")).otherwise(F.col("created_at")),
+        }
     )
+    catalog.replace(noted.select(*records.columns))

@@ -22,6 +22,8 @@ TUNING_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.parquet.filterPushdown": "true",
+    # jobs of several datasets that sync at the same time share the executors
+    "spark.scheduler.mode": "FAIR",
 }
 
 

@@ -21,11 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtide.errors import ShapeError, UnsafeStoreError
+from gridtide.functions.crs import WGS84
 from gridtide.functions.periods import period_id, period_start
+from gridtide.operators.reduce import coverage, described_extent
 from gridtide.sources import files
 from gridtide.sources.cube import bucket_seconds, cut_by_bucket, time_bucket
 
-LEDGER_SCHEMA = "period_id string, ny bigint, nx bigint, cells bigint, cell_hash decimal(38,0), batch string, until timestamp_ntz"
+LEDGER_SCHEMA = (
+    "period_id string, ny bigint, nx bigint, cells bigint, cell_hash decimal(38,0), batch string, until timestamp_ntz, "
+    "t_min timestamp_ntz, t_max timestamp_ntz, x_min double, x_max double, y_min double, y_max double"
+)
 # ISO step of each period type, which sets the width of a time bucket.
 ISO_STEPS = {"hourly": "PT1H", "daily": "P1D", "weekly": "P1W", "monthly": "P1M", "yearly": "P1Y"}
 
@@ -100,6 +105,19 @@ class PeriodStore:
         visible = data.join(batches, "batch").filter(F.col("until").isNull() | (F.col("t") < F.col("until")))
         return visible.drop("batch", "until", "time_bucket")
 
+    def coverage(self, crs: str = WGS84) -> DataFrame:
+        """What ``coverage`` says of the stored values, from the extents that the ledger keeps of every period.
+
+        Extents merge, so no value is read. Only a ledger with entries from before extents were kept sends
+        the question to the values.
+        """
+        ledger = self.ledger()
+        if not ledger.filter(F.col("t_min").isNull()).isEmpty():
+            return coverage(self.read(), self.period_type, crs)
+        ends = [fn(f"{axis}_{fn.__name__}").alias(f"{axis}{fn.__name__}") for axis in ("x", "y") for fn in (F.min, F.max)]
+        measured = ledger.agg(F.count("*").alias("steps"), F.min("t_min").alias("t0"), F.max("t_max").alias("t1"), *ends)
+        return described_extent(measured, self.period_type, crs)
+
     # -- changing it ------------------------------------------------------
 
     def refuse_unsafe_first_write(self) -> None:
@@ -142,9 +160,9 @@ class PeriodStore:
         return bool(files.child_names(self.spark, self.batch_path(batch, generation)))
 
     def written_shapes(self, batch: str, generation: int) -> DataFrame:
-        """Shapes of a batch as it lies on disk, from its axis columns alone; counted once and kept beside it."""
+        """Shapes and extents of a batch as it lies on disk, from its axis columns alone; counted once and kept beside it."""
         data = self.spark.read.parquet(self.batch_path(batch, generation))
-        shapes = period_shapes(data.select(period_id("t", self.period_type).alias("period_id"), "y", "x"))
+        shapes = period_shapes(data.select(period_id("t", self.period_type).alias("period_id"), "t", "y", "x"), extents=True)
         path = f"{self.path}/generation={generation:06d}/shapes/batch={batch}"
         shapes.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(shapes.schema).parquet(path)
@@ -158,8 +176,8 @@ class PeriodStore:
         return self.ledger(generation).filter(F.col("batch") == batch).count()
 
 
-def period_shapes(rows: DataFrame) -> DataFrame:
-    """Cells per axis, cell count and a hash of the cell set per period.
+def period_shapes(rows: DataFrame, extents: bool = False) -> DataFrame:
+    """Cells per axis, cell count and a hash of the cell set per period, and with ``extents`` the ends of all axes.
 
     The distinct coordinates are kept as sets, which are as long as an axis, so a row is counted once
     and not once for each axis.
@@ -169,6 +187,12 @@ def period_shapes(rows: DataFrame) -> DataFrame:
         F.size(F.collect_set("x")).cast("bigint").alias("nx"),
         F.count("*").alias("cells"),
         F.sum(F.xxhash64("y", "x").cast("decimal(38,0)")).cast("decimal(38,0)").alias("cell_hash"),
+        *[
+            fn(F.col(axis).cast("timestamp_ntz" if axis == "t" else "double")).alias(f"{axis}_{fn.__name__}")
+            for axis in ("t", "x", "y")
+            for fn in (F.min, F.max)
+            if extents
+        ],
     )
 
 

@@ -1,13 +1,16 @@
 import datetime as dt
+import threading
+import time
 
 import pytest
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from gridtide.errors import GridError, NoDataError, NotFoundError
 from gridtide.operators import catalog as c
-from gridtide.operators.reduce import axis_summary, variable_summary
+from gridtide.operators.reduce import axis_summary, coverage, variable_summary
 from gridtide.plans.derived import materialize_resampled
-from gridtide.plans.sync import APPEND, REMATERIALIZE, TEMPLATE_SCHEMA, plan_sync, run_sync
+from gridtide.plans.sync import APPEND, REMATERIALIZE, TEMPLATE_SCHEMA, plan_sync, record_coverages, run_sync
 from gridtide.session import scratch_path
 from gridtide.sources.cube import write_cube
 
@@ -233,6 +236,73 @@ def test_failures_leave_the_others_to_go_on(plan):
     assert noted == [("b", 1)]
 
 
+def many(plan, names):
+    row = record(1, "2026-01-31", "2026-02-01")
+    one = plan(row, template(execution="append"), "2026-02-10")
+    return one.drop("dataset_id").join(one.sparkSession.createDataFrame([(n,) for n in names], "dataset_id string")).select(*one.columns)
+
+
+def test_slow_stores_are_synced_at_the_same_time(spark, plan):
+    spans = {}
+
+    def work(row):
+        began = time.monotonic()
+        assert spark.sparkContext.getLocalProperty("spark.scheduler.pool").startswith("sync-")
+        spark.range(2).repartition(2).foreach(lambda _: time.sleep(1.5))
+        spans[row["dataset_id"]] = (began, time.monotonic())
+
+    groups = set()
+    done = run_sync(many(plan, "abc"), {APPEND: lambda r: (work(r), groups.add(spark.sparkContext.getLocalProperty("spark.jobGroup.id")))}, workers=2)
+    assert [d["status"] for d in done] == ["completed"] * 3 and len(groups) == 3
+    assert max(spans["a"][0], spans["b"][0]) < min(spans["a"][1], spans["b"][1])
+    assert spans["c"][0] >= min(spans["a"][1], spans["b"][1])
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") not in groups
+
+
+def test_a_failing_execution_cancels_its_own_jobs_only(spark, plan):
+    left = {}
+
+    def fails(row):
+        def linger():
+            try:
+                spark.range(1).foreach(lambda _: time.sleep(60))
+                left["a"] = "ended"
+            except Exception:
+                left["a"] = "cancelled"
+
+        thread = threading.Thread(target=inheritable_thread_target(linger))
+        thread.start()
+        left["thread"] = thread
+        time.sleep(1.5)
+        raise RuntimeError("gave up")
+
+    def works(row):
+        spark.range(1).foreach(lambda _: time.sleep(3))
+        return "fine"
+
+    done = run_sync(many(plan, "ab"), {APPEND: lambda r: fails(r) if r["dataset_id"] == "a" else works(r)})
+    left["thread"].join(20)
+    assert [(d["status"], d["result"]) for d in done] == [("failed", None), ("completed", "fine")]
+    assert left["a"] == "cancelled"
+
+
+def test_one_catalog_version_for_a_whole_run(spark, plan, table, cube_of):
+    catalog = c.CatalogTable(spark, scratch_path(spark, "catalog"))
+    catalog.replace(table(*[record(k, "2026-01-31", "2026-02-01", dataset=n) for k, n in enumerate("abcd")]))
+    covered = coverage(cube_of("2026-01-01", 24, [1] * 40), "daily")
+
+    def note(finished):
+        record_coverages(catalog, {row["dataset_id"]: covered for row, _ in finished}, F.lit("2026-03-01 00:00:00"))
+
+    run_sync(many(plan, "abc"), {APPEND: lambda r: 1 if r["dataset_id"] != "b" else 1 / 0}, record_all=note)
+    assert catalog._versions(complete_only=False) == [0, 1]
+    ends = {r["dataset_id"]: (r["coverage"]["temporal"]["end"], r["request_scope"]["end"]) for r in catalog.read().collect()}
+    assert ends == {n: ("2026-02-09", "2026-02-09") if n in "ac" else ("2026-01-31", "2026-01-31") for n in "abcd"}
+    with pytest.raises(GridError, match="'z' has no record"):
+        record_coverages(catalog, {"a": covered, "z": covered}, F.lit("2026-03-01 00:00:00"))
+    assert catalog._versions(complete_only=False) == [0, 1]
+
+
 def test_run_sync(plan):
     row = record(1, "2026-01-31", "2026-02-01")
     calls = {APPEND: lambda r: ("added", r["delta_start"]), REMATERIALIZE: lambda r: ("rebuilt", r["target_end"])}

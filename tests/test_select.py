@@ -165,6 +165,14 @@ def test_merge_needs_a_rule(grid_cube):
     assert merge_cubes(grid_cube.select("t", "y", "x", "a"), grid_cube.select("t", "y", "x", "b")).columns[-2:] == ["a", "b"]
 
 
+def test_merging_matches_cells_whose_coordinates_differ_in_the_last_bit(spark):
+    left = spark.createDataFrame([(0.3, 0.1, 1.0), (0.6, 0.1, 2.0)], "y double, x double, a double")
+    right = spark.createDataFrame([(0.1 * 3, 0.1, 5.0), (0.1 * 6, 0.1, 6.0), (0.7, 0.1, 7.0)], "y double, x double, b double")
+    for grid in (None, GridSpec(0.1, 0.1, 10, 0.1, 0.1, 10)):
+        got = sorted(tuple(r) for r in merge_cubes(left, right, grid=grid).select("y", "x", "a", "b").collect())
+        assert got == [(0.3, 0.1, 1.0, 5.0), (0.6, 0.1, 2.0, 6.0), (0.7, 0.1, None, 7.0)]
+
+
 def test_gaps_and_dense(cube_of):
     cube = cube_of("2026-01-01", 24, [1, None, 3]).filter("value is not null")
     assert [r["period_id"] for r in find_gaps(cube, "daily").collect()] == ["2026-01-02"]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridtide.errors import NoDataError, ShapeError, UnsafeStoreError
+from gridtide.operators.reduce import coverage
 from gridtide.session import scratch_path
 from gridtide.streaming.append import append_missing, rematerialize, stream_append
 from gridtide.streaming.resample import LateRows, stream_resample
@@ -210,3 +211,48 @@ def test_ranges_prune_buckets_in_both_stores(spark, store):
         assert "PartitionFilters: [isnotnull(time_bucket" in plan
         assert opened.count() == 31
     assert store.read(end="2026-01-10").count() == 10 and store.read("2026-07-10").count() == 10
+
+
+def test_coverage_comes_from_the_ledger(spark, store):
+    rows = [(dt.datetime(2026, 1, d, 6), y, x, 1.0) for d in range(1, 8) for y in (4.0, 5.5) for x in (-2.0, 0.0, 7.25)]
+    cube = spark.createDataFrame(rows, SCHEMA)
+    for start, end in (("2026-01-03", "2026-01-04"), ("2026-01-01", "2026-01-06")):
+        append_missing(cube, store, TEMPLATE, start, end)
+        got = store.coverage()
+        assert got.first() == coverage(store.read(), "daily").first()
+        assert got.inputFiles() and all("/ledger/" in f for f in got.inputFiles())
+    row = store.coverage("EPSG:25833").first()
+    assert (row["start"], row["end"], row["xmax"], row["ymin"]) == ("2026-01-01", "2026-01-06", 7.25, 4.0)
+    assert row["spatial_wgs84"] is not None
+
+
+def test_coverage_of_an_empty_store_and_of_refused_periods(spark, days, store):
+    assert store.coverage().first() == coverage(days.limit(0), "daily").first()
+    bad = days.unionByName(spark.createDataFrame([(dt.datetime(2026, 1, 2), 1.0, 0.0, 9.0)], SCHEMA))
+    with pytest.raises(ShapeError):
+        append_missing(bad, store, TEMPLATE, "2026-01-01", "2026-01-03")
+    assert store.coverage().first() == coverage(store.read(), "daily").first()
+
+
+def test_coverage_of_a_ledger_without_extents_reads_the_values(spark, days, store):
+    append_missing(days, store, TEMPLATE, "2026-01-01", "2026-01-03")
+    old = store.ledger().drop("t_min", "t_max", "x_min", "x_max", "y_min", "y_max").collect()
+    kept = spark.createDataFrame(old, store.ledger().drop("t_min", "t_max", "x_min", "x_max", "y_min", "y_max").schema)
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(store.ledger_path(0))
+    assert store.coverage().first() == coverage(store.read(), "daily").first()
+
+
+def test_a_second_ingest_reads_no_values_of_the_first(spark, days, store):
+    from gridtide.operators.catalog import CatalogTable
+    from gridtide.plans.ingest import ingest
+
+    catalog = CatalogTable(spark, scratch_path(spark, "catalog"))
+    template = {"id": "rain", "variable": "precip"}
+    ingest(days, store, catalog, template, "2026-01-01", "2026-01-02", F.lit("2026-02-01 00:00:00"))
+    first = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store.data_path(0))
+    files = first.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hidden = store.data_path(0) + "-away"
+    batch = [s.getPath().getName() for s in files.listStatus(first)][0]
+    files.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store.data_path(0)}/{batch}"), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(hidden))
+    record = ingest(days, store, catalog, template, "2026-01-01", "2026-01-03", F.lit("2026-02-02 00:00:00")).first()
+    assert record["coverage"]["temporal"]["end"] == "2026-01-03" and record["coverage"]["temporal"]["start"] == "2026-01-01"
