@@ -244,8 +244,8 @@ def find_windows(
     ``items`` are the sorted ids, as strings, of benchmark items with a window in the text; ``spans`` the byte
     ranges of runs of hit words; ``rest`` the text without them where ``want_rest``. Null and empty texts have no
     words. An item with a null id marks words but is not counted; items without words and an empty benchmark mark
-    nothing. Repeated rows each return. Beyond ``broadcast_words`` words rows equal in all columns are sought as
-    one and returned as often.
+    nothing. Repeated rows each return. ``docs`` needs no column but ``text``. Beyond ``broadcast_words`` words rows equal
+    in all columns are sought as one and returned as often.
     """
     tests = items.select(F.col("item_id").cast("string"), "text")
     source = docs.select(F.struct("*").alias("row"), "text")
@@ -265,7 +265,7 @@ def find_windows(
     tables: dict[int, np.ndarray] = {}
     for found in bench.select("width", "prefix").distinct().toLocalIterator():
         tables.setdefault(found.width, np.zeros(1 << PREFIX_BITS, dtype=bool))[found.prefix] = True
-    key = F.struct(F.xxhash64(*docs.columns).alias("h"), F.col("doc_id").alias("d"))
+    key = F.md5(F.to_json(F.struct("*")))  # of whole rows, whichever columns they have
     keyed = docs.select(key.alias("row"), "text")
     seen = keyed.distinct().mapInArrow(_window_rows(tables), T.StructType([keyed.schema["row"], *text.fields]))
     marks = seen.join(bench, ["width", "prefix", "words"])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtide.llm.common import read_table, settle
+from gridtide.llm.common import ASCII_LOWER, ASCII_UPPER, read_table, settle
 
 MARKS = r"^((?:[ \t]*>)*)"
 ATTRIBUTION = r"(?i)^\s*on .{1,200} wrote:\s*$"
@@ -106,34 +106,57 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
 
 
 def as_mail(chats: DataFrame) -> DataFrame:
-    """Chat turns as mail: each quotes the turn before it, and that one's quote of its own predecessor."""
+    """Chat turns as mail, which seldom answers the turn before: a message quotes one two or three turns back, by its ids.
+
+    One in five quotes as it stands, one wraps the lines anew, one changes case, one also quotes what the quoted message
+    quotes, and one adds words of its own, so that it is no quote of anything. Where there is no such turn nothing is quoted.
+    """
+    back = F.lit(2) + F.pmod(F.col("conv_id") + F.col("turn"), F.lit(2))
+    mode = F.pmod(F.col("conv_id") * 7 + F.col("turn") * 3, F.lit(5))
     texts = chats.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy(*MESSAGE).agg(F.max("text").alias("text"))
-    out = chats
-    for back in (1, 2):
-        older = texts.select("conv_id", (F.col("turn") + back).alias("turn"), F.col("text").alias(f"older_{back}"))
-        out = out.join(older, MESSAGE, "left")
+    quoted = texts.select("conv_id", F.col("turn").alias("q1"), F.col("text").alias("t1"), (F.col("turn") - back).alias("q2"))
+    deeper = texts.select("conv_id", F.col("turn").alias("q2"), F.col("text").alias("t2"))
+    out = chats.withColumns({"q1": F.col("turn") - back, "mode": mode}).join(quoted, ["conv_id", "q1"], "left")
+    out = out.join(deeper, ["conv_id", "q2"], "left")
 
-    def quoted(column: str, marks: str):
-        lines = F.concat(F.lit(marks), F.regexp_replace(column, "\r?\n", f"\n{marks}"))
-        return F.when(F.col(column).isNotNull(), F.concat(F.lit("\n\n"), lines)).otherwise(F.lit(""))
+    def lines(text, marks: str):
+        return F.concat(F.lit(f"\n\n{marks}"), F.regexp_replace(text, "\r?\n", f"\n{marks}"))
 
-    text = F.concat(F.coalesce("text", F.lit("")), quoted("older_1", "> "), quoted("older_2", "> > "))
-    return out.select(*MESSAGE, "role", text.alias("text"))
+    said = F.col("t1")
+    wrapped = F.regexp_replace(said, "[ \t]+", "\n")
+    loud = F.translate(said, ASCII_LOWER, ASCII_UPPER)
+    plain = F.when(F.col("mode") == 1, wrapped).when(F.col("mode") == 2, loud).when(F.col("mode") == 4, F.concat(said, F.lit(" or so it was"))).otherwise(said)
+    nested = F.when(F.col("mode") == 3, F.coalesce(lines(F.col("t2"), "> > "), F.lit(""))).otherwise("")
+    quote = F.coalesce(F.concat(lines(plain, "> "), nested), F.lit(""))
+    return out.select(*MESSAGE, "role", F.concat(F.coalesce("text", F.lit("")), quote).alias("text"))
 
 
 def op4_quotation_links(spark, sf_dir: str) -> DataFrame:
     """Threads of all conversations, put into mail form by quoting, since chat turns quote nothing by themselves."""
     found = reply_ordered(as_mail(read_table(spark, sf_dir, "conversations")))
-    return found.select(*MESSAGE, "role", "text", "reply_to", "root", "depth")
+    return found.select(*MESSAGE, "role", "text", "reply_to", "root", "depth", "n_quoted", "n_linked")
 
 
 OP4_SQL = r"""
-WITH RECURSIVE t AS (SELECT conv_id, turn, max(text) AS text FROM conversations GROUP BY ALL),
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, max(text) AS text, turn - 2 - (conv_id + turn) % 2 AS q1, (conv_id * 7 + turn * 3) % 5 AS mode,
+         lower(trim(regexp_replace(max(text), '[ \t\r\n]+', ' ', 'g'))) AS norm
+  FROM conversations GROUP BY ALL
+),
+q AS (
+  SELECT t.conv_id, t.turn, t.mode, a.norm || CASE WHEN t.mode = 4 THEN ' or so it was' ELSE '' END AS n1,
+         CASE WHEN t.mode = 3 THEN b.norm END AS n2
+  FROM t LEFT JOIN t a ON a.conv_id = t.conv_id AND a.turn = t.q1 LEFT JOIN t b ON b.conv_id = t.conv_id AND b.turn = a.q1
+),
+s AS (
+  SELECT q.conv_id, q.turn, count(DISTINCT n1) FILTER (n1 <> '') + count(DISTINCT n2) FILTER (n2 <> '') AS n_quoted,
+         max(e.turn) FILTER (e.norm = n1) AS s1, max(e.turn) FILTER (e.norm = n2) AS s2
+  FROM q LEFT JOIN t e ON e.conv_id = q.conv_id AND e.turn < q.turn AND e.norm <> '' GROUP BY 1, 2
+),
 p AS (
-  SELECT t.conv_id, t.turn, CASE WHEN regexp_matches(a.text, '\S') THEN a.turn WHEN regexp_matches(b.text, '\S') THEN b.turn
-    ELSE a.turn END AS reply_to
-  FROM t LEFT JOIN t a ON a.conv_id = t.conv_id AND a.turn = t.turn - 1
-         LEFT JOIN t b ON b.conv_id = t.conv_id AND b.turn = t.turn - 2
+  SELECT s.conv_id, s.turn, n_quoted, CASE WHEN s1 IS NULL THEN 0 ELSE 1 END + CASE WHEN s2 IS NULL THEN 0 ELSE 1 END AS n_linked,
+         coalesce(s1, s2, b.turn) AS reply_to
+  FROM s LEFT JOIN t b ON b.conv_id = s.conv_id AND b.turn = s.turn - 1
 ),
 r AS (
   SELECT conv_id, turn, turn AS root, 0 AS depth FROM p WHERE reply_to IS NULL
@@ -141,6 +164,7 @@ r AS (
   SELECT p.conv_id, p.turn, r.root, r.depth + 1 FROM p JOIN r ON p.conv_id = r.conv_id AND p.reply_to = r.turn
 )
 SELECT c.conv_id, c.turn, c.role, regexp_replace(coalesce(c.text, ''), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS text,
-  p.reply_to, coalesce(r.root, c.turn) AS root, coalesce(r.depth, 0) AS depth
+  p.reply_to, coalesce(r.root, c.turn) AS root, coalesce(r.depth, 0) AS depth,
+  CAST(coalesce(p.n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(p.n_linked, 0) AS BIGINT) AS n_linked
 FROM conversations c LEFT JOIN p USING (conv_id, turn) LEFT JOIN r USING (conv_id, turn)
 """

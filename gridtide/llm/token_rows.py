@@ -29,7 +29,7 @@ HELD_PIECES = 8192
 HELD_TOKENS = 4_000_000
 SCHEMA = (
     "ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<bigint>, pieces array<int>, "
-    "n_tokens int, n_pad int"
+    "n_tokens int, n_pad int, id_bytes int"
 )
 
 
@@ -91,36 +91,42 @@ def encoder(vocabulary: bytes) -> tiktoken.Encoding:
     return tiktoken.Encoding("rows", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _rows(pieces: list[tuple[int | None, int, np.ndarray]], room: int) -> pa.RecordBatch:
+def id_kind(vocabulary: bytes) -> np.dtype:
+    """Little-endian unsigned numbers of 16 bits, or of 32 where an id of the vocabulary needs them."""
+    largest = max((int(line.split()[1]) for line in vocabulary.splitlines() if line.strip()), default=0)
+    return np.dtype("<u2" if max(largest, PAD_ID) < 1 << 16 else "<u4")
+
+
+def _rows(pieces: list[tuple[int | None, int, np.ndarray]], room: int, kind: np.dtype) -> pa.RecordBatch:
     out = []
     for row in best_fit([len(p[2]) for p in pieces], room):
-        ids = np.full(room, PAD_ID, dtype="<u2")
+        ids = np.full(room, PAD_ID, dtype=kind)
         ends = np.cumsum([0, *(len(pieces[i][2]) for i in row)]).tolist()
         for i, at in zip(row, ends):
             ids[at : at + len(pieces[i][2])] = pieces[i][2]
         doc_ids, numbers = [pieces[i][0] for i in row], [pieces[i][1] for i in row]
-        out.append((ids.tobytes(), ends, ends[:-1], doc_ids, numbers, ends[-1], room - ends[-1]))
-    kinds = (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int32())
+        out.append((ids.tobytes(), ends, ends[:-1], doc_ids, numbers, ends[-1], room - ends[-1], kind.itemsize))
+    kinds = (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.int32()] * 3)
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
 
 def _pack(vocabulary: bytes, room: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = encoder(vocabulary)
+        encoding, kind = encoder(vocabulary), id_kind(vocabulary)
         held: list[tuple[int | None, int, np.ndarray]] = []
         tokens = 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoding.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype("<u2")
+                ids = encoding.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype(kind)
                 for number, at in enumerate(range(0, max(1, len(ids)), room)):
                     held.append((doc, number, ids[at : at + room]))
                 tokens += len(ids)
                 if len(held) >= HELD_PIECES or tokens >= HELD_TOKENS:
-                    yield _rows(held, room)
+                    yield _rows(held, room, kind)
                     held, tokens = [], 0
         if held:
-            yield _rows(held, room)
+            yield _rows(held, room, kind)
 
     return run
 
@@ -128,7 +134,8 @@ def _pack(vocabulary: bytes, room: int):
 def token_rows(docs: DataFrame, vocabulary: str = VOCABULARY, row_tokens: int = ROW_TOKENS) -> DataFrame:
     """One row for each packed sequence of ``row_tokens`` ids.
 
-    ``ids`` holds them as little-endian unsigned 16-bit numbers, padded at the end by ``PAD_ID``; ``cu_seqlens`` the
+    ``ids`` holds them as little-endian unsigned numbers of ``id_bytes`` bytes, two or, where the vocabulary has larger
+    ids, four, padded at the end by ``PAD_ID``; ``cu_seqlens`` the
     bounds of its segments, ``position_resets`` where positions start again at zero, ``doc_ids`` and ``pieces`` which
     piece of which document each segment is. Null and empty texts are a segment of no tokens. Ids may repeat or
     be null. Which documents share a row depends on how the input is split; every token is there once. An empty

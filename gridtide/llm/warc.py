@@ -1,7 +1,7 @@
 """WARC archives: writing pages with revisit records, and reading by a verified chain of record boundaries.
 
 Archives are plain ``WARC/1.1`` files written by Spark's text writer (its line separator is the end mark of a
-record). Reading splits the files at every ``WARC/1.1`` line, so any split can be read by itself, but such a line
+record). Reading splits the files at every ``WARC/1.``, so any split can be read by itself, but that
 may as well stand inside a payload. Therefore each task only emits candidates: the offset of a place that
 looks like a record and of the successor that its length calls for. A chain of pointers from offset 0 of a file
 decides which are records:
@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from gridtide.llm.common import read_table, settle
 from gridtide.session import scratch_path
 
-MAGIC = "WARC/1.1\r\n"
+MAGIC = "WARC/1."
+#: What follows in the first line of a record, by version.
+VERSIONS = (b"0\r\n", b"1\r\n")
+PAGE_KINDS = ("response", "revisit")
 RECORD_END = "\r\n\r\n"
 REVISIT_BYTES = 1000
 FILTER_BITS = 1 << 26
@@ -88,7 +91,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: <urn:page:"), F.col("keeper").cast("string"), F.lit(">\r\n")
     )
     record = F.concat(
-        F.lit(f"{MAGIC}WARC-Type: "),
+        F.lit(f"{MAGIC}1\r\nWARC-Type: "),
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit("\r\nWARC-Record-ID: "),
         identity,
@@ -121,18 +124,23 @@ def _identity(value: bytes | None) -> int | None:
 
 
 def parse_record(segment: bytes) -> dict | None:
-    """Figures of the bytes after a magic line, or None if they are no record; ``size`` is up to the next record."""
+    """Figures of the bytes after a magic, or None if they are no record; ``size`` is up to the next record.
+
+    Records of any type count; those that are no pages have their type and size alone.
+    """
     head, mark, _ = segment.partition(b"\r\n\r\n")
     fields = _fields(head)
     length = _number(fields.get(b"content-length"))
     kind = fields.get(b"warc-type", b"").decode("ascii", "replace")
-    if not mark or length is None or kind not in ("response", "revisit"):
+    if not mark or length is None or not kind or not head.startswith(VERSIONS):
         return None
     start = len(head) + 4
     whole = len(segment) >= start + length
     end = segment[start + length : start + length + 4]
     if whole and end != b"\r\n\r\n"[: len(end)]:
         return None
+    if kind not in PAGE_KINDS:
+        return {"size": start + length + 4, "record_type": kind, "whole": True}
     http, split, payload = segment[start : start + length].partition(b"\r\n\r\n")
     stated = _number(_fields(http).get(b"content-length"))
     found = {
@@ -150,7 +158,7 @@ def parse_record(segment: bytes) -> dict | None:
 
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
-    """What lies between magic lines, with file, split and the bytes themselves; rows of a split stay in order."""
+    """What lies between magics, with file, split and the bytes themselves; rows of a split stay in order."""
     lines = spark.read.option("lineSep", MAGIC).text(path)
     return lines.select(
         F.col("_metadata.file_path").alias("file"),
@@ -160,7 +168,7 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, int, bytes]]:
-    """File, split, number within the split, offset of the magic line from the split's first byte, and bytes."""
+    """File, split, number within the split, offset of the magic from the split's first byte, and bytes."""
     now, seq, at = None, 0, 0
     for batch in batches:
         for file, block, value in zip(*(batch.column(c) for c in ("file", "block", "value"))):
@@ -227,7 +235,7 @@ def reached_entries(pointers: DataFrame) -> DataFrame:
 
 
 def _joined_payloads(spark: SparkSession, path: str, parts: DataFrame) -> DataFrame:
-    """Payloads of records with a magic line inside, put together from ``parts(file, block, seq, owner, at)``."""
+    """Payloads of records with a magic inside, put together from ``parts(file, block, seq, owner, at)``."""
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, block, seq, _, value in _numbered(batches):
@@ -247,11 +255,21 @@ def _joined_payloads(spark: SparkSession, path: str, parts: DataFrame) -> DataFr
     return pieces.mapInArrow(payloads, "file string, owner long, payload_bytes long, payload_digest string")
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type`` and ``refers_to`` of every record.
+def broken_files(found: DataFrame, records: DataFrame) -> DataFrame:
+    """``file, bytes, reached`` of the files whose chain of records does not go on to their end."""
+    sizes = found.groupBy("file").agg((F.sum("length") - len(MAGIC)).alias("bytes"))
+    ends = records.groupBy("file").agg(F.max("next").alias("reached"))
+    joined = sizes.where("bytes > 0").join(ends, "file", "left").withColumn("reached", F.coalesce("reached", F.lit(0)))
+    return joined.where("reached <> bytes")
+
+
+def read_archives(spark: SparkSession, path: str, allow_broken: bool = False) -> DataFrame:
+    """``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type`` and ``refers_to`` of every page record.
 
-    Digest and size of a response are those of the bytes read; a revisit record states both. Files without
-    records give none; the chain of a damaged file ends where it breaks.
+    Records are those of versions 1.0 and 1.1; responses and revisits return, all others (such as warcinfo, request or
+    metadata) are links of the chain. Digest and size of a response are those of the bytes read; a revisit record
+    states both. An empty file has no records. A file whose chain breaks before its end is an error that names it, or
+    with ``allow_broken`` gives the records before the break.
     """
     found = settle(_segments(spark, path).mapInArrow(_candidates, CANDIDATE), "candidates")
     by_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -271,6 +289,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     chosen = placed.join(reached, ["file", "block"])
     records = chosen.groupBy("file", "block").applyInArrow(_walk, placed.schema)
     records = settle(records, "records")
+    if not allow_broken:
+        broken = broken_files(found, records).orderBy("file").limit(5).collect()  # enough to name some
+        if broken:
+            names = "; ".join(f"{r.file} after {r.reached} of {r.bytes} bytes" for r in broken)
+            raise ValueError(f"The chain of records breaks in {names}")
+    records = records.where(F.col("record_type").isin(*PAGE_KINDS))
     result = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     cut = records.where("NOT whole").select("file", F.col("at").alias("owner"), F.col("next").alias("until"))
     if not cut.limit(1).count():

@@ -94,3 +94,13 @@ def test_digest_of_no_items(spark, tmp_path):
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     row = dec.op7_decontaminate(spark, str(tmp_path)).first()
     assert row.items_sha256 == hashlib.sha256(b"").hexdigest() and row.contaminated is False
+
+
+def test_both_ways_take_documents_without_ids_and_with_maps(spark):
+    passage = " ".join(f"w{i}" for i in range(14))
+    rows = [(f"before {passage} after", {"a": "1"}), ("clean words only", None), (None, {"a": "1"}), (f"before {passage} after", {"a": "2"})]
+    docs = spark.createDataFrame([*rows, rows[0]], "text string, tags map<string,string>")
+    items = spark.createDataFrame([(1, passage), (2, "never seen here at all")], "item_id long, text string")
+    both = [dec.find_windows(docs, items, want_rest=True, broadcast_words=n) for n in (dec.BROADCAST_WORDS, 0)]
+    found = [sorted((repr(r) for r in b.collect())) for b in both]
+    assert found[0] == found[1] and len(found[0]) == 5

@@ -58,3 +58,15 @@ def test_order_over_partitions(spark):
     df = spark.createDataFrame([(c, t, "r", "hi") for c in range(20) for t in range(5)], "conv_id long, turn long, role string, text string")
     order = [(r.conv_id, r.root, r.depth, r.turn) for r in q.reply_ordered(df).collect()]
     assert order == sorted(order)
+
+
+def test_the_query_needs_its_links(spark, monkeypatch):
+    folder = "/root/testdata/sf0.01"
+    found = {(r.conv_id, r.turn): (r.reply_to, r.n_quoted, r.n_linked) for r in q.op4_quotation_links(spark, folder).collect()}
+    counts = [sum(v[k] > 0 for v in found.values()) for k in (1, 2)]
+    assert 0 < counts[1] < counts[0] and any(v[1] == 2 for v in found.values())
+    assert any(v[0] is not None and v[0] < k[1] - 1 for k, v in found.items())
+    links = q.quote_links
+    monkeypatch.setattr(q, "quote_links", lambda p: links(p).where("FALSE"))
+    without = {(r.conv_id, r.turn): (r.reply_to, r.n_quoted, r.n_linked) for r in q.op4_quotation_links(spark, folder).collect()}
+    assert sum(found[k][0] != without[k][0] for k in found) > len(found) / 4

@@ -55,3 +55,16 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     ids = [i for r in tr.token_rows(docs).collect() for i in r.doc_ids]
     assert sorted(ids, key=str) == [1, 1, None]
     assert tr.token_rows(docs.limit(0)).collect() == []
+
+
+def test_large_vocabularies_take_four_bytes(spark, tmp_path):
+    import base64
+
+    singles = [(bytes([b]), b) for b in range(256)]
+    path = tmp_path / "large.tiktoken"
+    path.write_text("\n".join(f"{base64.b64encode(t).decode()} {n}" for t, n in [*singles, (b"ab", 70000), (b" ab", 200000)]))
+    assert tr.id_kind(path.read_bytes()).itemsize == 4
+    docs = spark.createDataFrame([(1, "ab ab c")], "doc_id long, text string")
+    row = tr.token_rows(docs, str(path), row_tokens=8).first()
+    assert row.id_bytes == 4 and np.frombuffer(bytes(row.ids), "<u4")[:4].tolist() == [70000, 200000, 32, 99]
+    assert tr.token_rows(docs, row_tokens=8).first().id_bytes == 2

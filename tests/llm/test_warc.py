@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from gridtide.llm import warc
 
 
@@ -54,3 +56,43 @@ def test_magic_in_payloads_is_no_record(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert trip(spark, [], tmp_path) == []
+
+
+def archive(*records):
+    """Bytes of records ``(version, type, extra head lines, block)``."""
+    out = b""
+    for version, kind, extra, block in records:
+        head = f"WARC/{version}\r\nWARC-Type: {kind}\r\n{extra}Content-Length: {len(block)}\r\n\r\n".encode()
+        out += head + block + b"\r\n\r\n"
+    return out
+
+
+PAGE = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nhello"
+INFO = ("1.0", "warcinfo", "Content-Type: application/warc-fields\r\n", b"software: x\r\n")
+
+
+def page(n):
+    return "WARC-Record-ID: <urn:page:%d>\r\n" % n
+
+
+def test_records_of_all_types_and_versions_are_links_of_the_chain(spark, tmp_path):
+    records = [INFO, ("1.0", "response", page(1), PAGE), ("1.1", "request", "", b"GET / HTTP/1.1\r\n\r\n" + b"WARC/1.1\r\nx")]
+    records += [("1.1", "metadata", "", b""), ("1.0", "resource", "", b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n")]
+    (tmp_path / "a.warc").write_bytes(archive(*records, ("1.1", "response", page(2), PAGE)))
+    (tmp_path / "b.warc").write_bytes(archive(INFO))
+    (tmp_path / "c.warc").write_bytes(b"")
+    got = sorted(tuple(r) for r in warc.read_archives(spark, str(tmp_path)).collect())
+    digest = hashlib.sha1(b"hello").hexdigest()
+    assert got == [(n, 5, digest, "response", None) for n in (1, 2)]
+
+
+def test_a_chain_that_breaks_is_named(spark, tmp_path):
+    good = archive(INFO, ("1.1", "response", page(1), PAGE))
+    (tmp_path / "good.warc").write_bytes(good)
+    (tmp_path / "bad.warc").write_bytes(good + b"garbage" + archive(("1.1", "response", page(2), PAGE)))
+    with pytest.raises(ValueError, match=r"bad\.warc after %d of" % len(good)):
+        warc.read_archives(spark, str(tmp_path))
+    assert sorted(r.page_id for r in warc.read_archives(spark, str(tmp_path), allow_broken=True).collect()) == [1, 1]
+    (tmp_path / "cut.warc").write_bytes(good[:-10])
+    with pytest.raises(ValueError, match="cut.warc"):
+        warc.read_archives(spark, str(tmp_path))
