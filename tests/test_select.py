@@ -1,13 +1,14 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridtide.errors import GridError, NotFoundError
 from gridtide.functions.reducers import divide
 from gridtide.operators import select
 from gridtide.operators.combine import densify, find_gaps, merge_cubes
 from gridtide.operators.elementwise import apply, clamp_min, kelvin_to_celsius, metres_to_mm, rename_labels, run_transforms
-from gridtide.operators.reduce import axis_summary, coverage, overview_levels, variable_summary
+from gridtide.operators.reduce import axis_summary, build_overviews, coverage, overview_levels, read_overview, update_overviews, variable_summary
 from gridtide.registry import Recipes, process_by_name, register_process, register_transform
 from gridtide.session import scratch_path
 from gridtide.sources.cube import mask_nodata, normalise_axes, read_cube, read_many, select_variable, write_cube
@@ -218,3 +219,31 @@ def test_recipes(cube_of):
         recipes.run("nothing")
     register_process("half", lambda data: apply(data, divide(2)))
     assert process_by_name("half")(cube).first()["value"] == 1_000_000.0
+
+
+def test_an_append_touches_only_its_own_overview_buckets(spark):
+    grid, path = GridSpec(0.0, 1.0, 8, 0.0, 1.0, 6), scratch_path(spark, "levels")
+    rows = [(dt.datetime(2025, 1, 1) + dt.timedelta(days=d), float(y), float(x), float(d * x + y)) for d in range(0, 200, 2) for y in range(6) for x in range(8)]
+    cube = spark.createDataFrame(rows, "t timestamp_ntz, y double, x double, v double")
+    old, rewritten = F.col("t") < "2025-06-01", F.col("t") == "2025-02-10"
+    before = cube.filter(old).withColumn("v", F.when(rewritten, 0.0).otherwise(F.col("v")))
+    update_overviews(before, grid, path, before.select("t"), levels=2)
+
+    def files_of(level):
+        read = spark.read.parquet(f"{path}/level_{level}").select("time_bucket", "_metadata.file_path")
+        return {(r["time_bucket"], r["file_path"]) for r in read.distinct().collect()}
+
+    was = [files_of(1), files_of(2)]
+    levels = update_overviews(cube, grid, path, cube.filter(~old | rewritten).select("t"), levels=2)
+    for k in (0, 1):
+        now = files_of(k + 1)
+        kept, gone = was[k] & now, was[k] - now
+        assert {b for b, _ in kept} and len({b for b, _ in gone}) <= 2
+        assert {b for b, _ in gone} == {b for b, _ in was[k]} & {b for b, _ in now - was[k]}
+    built = build_overviews(cube, grid, scratch_path(spark, "full"), levels=2)
+    for (kept_path, kept_grid), (full_path, full_grid) in zip(levels, built):
+        assert kept_grid == full_grid
+        columns = ["t", "y", "x", "v"]
+        got, want = (sorted(tuple(r) for r in df.select(columns).collect()) for df in (read_overview(spark, kept_path), spark.read.parquet(full_path)))
+        assert got == want
+    assert update_overviews(cube, grid, path, cube.limit(0).select("t"), levels=2) == levels

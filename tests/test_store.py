@@ -256,3 +256,48 @@ def test_a_second_ingest_reads_no_values_of_the_first(spark, days, store):
     files.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store.data_path(0)}/{batch}"), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(hidden))
     record = ingest(days, store, catalog, template, "2026-01-01", "2026-01-03", F.lit("2026-02-02 00:00:00")).first()
     assert record["coverage"]["temporal"]["end"] == "2026-01-03" and record["coverage"]["temporal"]["start"] == "2026-01-01"
+
+
+def run_months(spark, landing, out, state, frequency, start, method="sum"):
+    rows = spark.readStream.schema(SCHEMA).parquet(landing)
+    bins = stream_resample(rows, frequency, method, start, watermark="0 seconds")
+    writer = bins.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return sorted((r["t"], r["x"], r["precip"]) for r in spark.read.schema(SCHEMA).parquet(out).collect())
+
+
+def test_calendar_bins_come_out_when_the_next_bin_is_reached(spark):
+    landing, out, state = (scratch_path(spark, n) for n in ("landing", "months", "state"))
+
+    def land(*moments):
+        rows = [(dt.datetime.fromisoformat(m), 0.0, x, 1.0) for m in moments for x in (0.0, 1.0)]
+        spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(landing)
+
+    def go():
+        return [(t.isoformat()[:10], v) for t, x, v in run_months(spark, landing, out, state, "MS", "2026-01-01") if x == 1.0]
+
+    land("2026-01-01T00:00", "2026-01-31T23:59:59.999999", "2026-02-10T00:00", "2025-12-31T23:00")
+    assert go() == [("2026-01-01", 2.0)]
+    land("2026-02-11T00:00", "2026-02-28T23:59:59.5")
+    assert go() == [("2026-01-01", 2.0)]  # stopped and started again within a month
+    land("2026-03-01T00:00", "2026-02-10T06:00")
+    assert go() == [("2026-01-01", 2.0), ("2026-02-01", 4.0)]
+    land("2026-02-20T00:00", "2026-05-01T00:00")  # too late, and a month without rows
+    assert go() == [("2026-01-01", 2.0), ("2026-02-01", 4.0), ("2026-03-01", 1.0)]
+
+
+@pytest.mark.parametrize(
+    "frequency, start, want",
+    [
+        ("2MS", "2025-11-01", [("2025-11-01", 61.0), ("2026-01-01", 59.0), ("2026-03-01", 61.0)]),
+        ("QS", "2025-11-01", [("2026-01-01", 90.0)]),
+        ("YS", "2025-01-01", [("2025-01-01", 61.0)]),
+    ],
+)
+def test_calendar_bins_of_several_units(spark, frequency, start, want):
+    landing, out, state = (scratch_path(spark, n) for n in ("landing", "bins", "state"))
+    days = spark.sql("SELECT explode(sequence(DATE'2025-11-01', DATE'2026-05-05'))").selectExpr(
+        "CAST(col AS timestamp_ntz) AS t", "0D AS y", "0D AS x", "1D AS precip"
+    )
+    days.write.parquet(landing)
+    assert [(t.isoformat()[:10], v) for t, _, v in run_months(spark, landing, out, state, frequency, start)] == want
