@@ -77,3 +77,67 @@ def test_short_parts_stay(body):
     got = main_text(PAGE % body).split()
     assert [w for w in got if w != "word"] == ["Title", "here", "Short", "lead.", "Short", "end."]
     assert got.count("word") == body.count("word ")
+
+
+PROSE = [f"Sentence number {k} of a report that goes on at some length about matters of weather and trade." for k in range(8)]
+MENU = "<div>" + "".join(f'<a href="/{k}">Go {k}</a> ' for k in range(8)) + "</div>"
+PLAIN = f"<html><body>{MENU}<div id='a'><h2>Report</h2>" + "".join(f"<p>{p}</p>" for p in PROSE) + "</div><div id='b'><span>Tag one</span><div>x</div><div>y</div></div></body></html>"
+
+
+def test_clusters_choose_the_region(monkeypatch):
+    import numpy as np
+
+    from gridtide.llm import extract
+
+    want = " ".join(["Report", *PROSE])
+    assert main_text(PLAIN) == want
+    rng = np.random.default_rng(1)
+    others = []
+    for _ in range(20):
+        monkeypatch.setattr(extract, "content_lines", lambda r: rng.random(len(r)) < 0.2)
+        others.append(main_text(PLAIN))
+    assert any(o != want for o in others)
+    monkeypatch.setattr(extract, "content_lines", lambda r: ~content_lines(r))
+    assert main_text(PLAIN) != want
+
+
+def test_title_and_lead_before_an_article_stay():
+    page = f"<body><nav>Menu</nav><main><h1>Title</h1><p>Lead.</p><article><p>{PROSE[0]}</p><p>{PROSE[1]}</p></article></main><footer>f</footer></body>"
+    assert main_text(page) == f"Title Lead. {PROSE[0]} {PROSE[1]}"
+
+
+def test_names_count_as_a_whole():
+    body = "".join(f"<p>{p}</p>" for p in PROSE)
+    assert main_text(f'<body><div class="social-sciences">{body}</div></body>') == " ".join(PROSE)
+    page = f'<article><div class="article-header"><h1>Head</h1></div><section class="login-guide"><p>How to.</p></section>{body}</article>'
+    assert main_text(page) == " ".join(["Head", "How to.", *PROSE])
+    for name in ("site-header", "share-buttons", "cookie_notice", "post-comments", "ad-slot-3", "related posts"):
+        assert main_text(f'<body><div>{body}</div><div class="{name}"><p>short</p></div></body>') == " ".join(PROSE), name
+    assert main_text(f'<body><div>{body}</div><div id="comments">{body}</div></body>') == " ".join(PROSE)
+
+
+def test_links_beside_the_text_go_and_links_within_stay():
+    body = "".join(f"<p>{p}</p>" for p in PROSE)
+    text = " ".join(PROSE)
+    assert main_text(f"<body><div>{MENU}{body}</div></body>") == text
+    assert main_text(f"<body><div><ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li></ul>{body}</div></body>") == text
+    assert main_text(f"<article>{body}<p><a>One</a> <a>Two</a> <a>Three</a></p></article>") == text + " One Two Three"
+    assert main_text(f"<body><div>{body}<p><a>Source</a></p></div></body>") == text + " Source"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>word word " * 10000,
+        "<div>" * 10000 + "<p>some words</p>" * 10000,
+        "<b>" * 10000 + "<p>some words" * 10000,
+        "<div><b>" * 10000 + "x</i></b>" * 10000,
+        "<a><b>x</a>" * 10000,
+    ],
+)
+def test_deep_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 2
