@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from checks.cubes import MERCATOR_X, MERCATOR_Y, rounded
 from checks.registry import query
-from checks.views import GRID, precip_cube, table, with_views
+from checks.views import GRID, precip_cube, table, with_views, zones
 from gridtide.operators.areas import covered_shares
 from gridtide.operators.boxes import meeting_boxes
 from gridtide.operators.combine import merge_cubes
 from gridtide.operators.regrid import reproject, resample_cube_spatial
-from gridtide.operators.zones import zonal_statistics
+from gridtide.operators.zones import aggregate_spatial, cells_in_zones, zonal_statistics
+from gridtide.sources.features import rings_of
+from gridtide.sources.geometry_text import geometry_of_text, text_of_geometry
 from gridtide.sources.grid import GridSpec
+from gridtide.sources.sinks import zones_to_table
 
 TENTHS = GridSpec(0.1, 0.1, 10, 0.1, 0.1, 10)
 
@@ -232,3 +235,31 @@ def merged_tenths(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").alias("t"), ((y + 1) * F.lit(0.1)).alias("y"), ((x + 1) * F.lit(0.1)).alias("x"))
     merged = merge_cubes(left, ordered.agg(F.count("*").alias("orders")), grid=TENTHS)
     return merged.select("t", TENTHS.iy(F.col("y")).alias("iy"), TENTHS.ix(F.col("x")).alias("ix"), F.round("precip", 6).alias("precip"), "orders")
+
+
+@query(
+    with_views("daily", "zones", "assigned")
+    + """SELECT zone_id, CASE WHEN CAST(zone_id AS BIGINT) % 3 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind,
+                CAST(CASE WHEN CAST(zone_id AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS parts, ANY_VALUE(x0) AS west, ANY_VALUE(y1) AS north,
+                ROUND(SUM(precip), 6) AS precip
+         FROM daily JOIN assigned USING (x, y) JOIN zones USING (zone_id) GROUP BY 1"""
+)
+def zones_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones whose geometry went through text, every third as two polygons: the sums of their cells beside their outline."""
+    shapes = zones(spark, sf_dir).select("id", "geometry")
+    far = F.transform(F.col("geometry.coordinates")[0], lambda ring: F.transform(ring, lambda p: F.array(p[0] + 100, p[1] - 100)))
+    several = F.struct(F.lit("MultiPolygon").alias("type"), F.concat("geometry.coordinates", F.array(far)).alias("coordinates"))
+    shaped = F.when(F.col("id").cast("int") % 3 == 0, several).otherwise(F.struct(F.lit("Polygon").alias("type"), F.col("geometry.coordinates").alias("coordinates")))
+    written = shapes.select("id", text_of_geometry(shaped).alias("geometry"))
+    read = written.select("id", geometry_of_text(F.col("geometry")).alias("g"))
+    held = cells_in_zones(GRID.cells(spark), read.select("id", rings_of(F.col("g.coordinates")).alias("rings")))
+    sums = aggregate_spatial(precip_cube(spark, sf_dir).drop("t"), held, "sum")
+    ring = F.col("geometry.coordinates")[0][0]
+    return zones_to_table(sums, written).select(
+        "zone_id",
+        F.col("geometry.type").alias("kind"),
+        F.size("geometry.coordinates").cast("bigint").alias("parts"),
+        F.array_min(F.transform(ring, lambda p: p[0])).alias("west"),
+        F.array_max(F.transform(ring, lambda p: p[1])).alias("north"),
+        F.round("precip", 6).alias("precip"),
+    )

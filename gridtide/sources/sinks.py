@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from gridtide.errors import GridError
 from gridtide.sources.cube import write_cube
+from gridtide.sources.geometry_text import geometry_of_text
 
 # Columns left over from array libraries, dropped from CSV.
 ARTEFACT_COLUMNS = ("spatial_ref", "index")
@@ -18,8 +19,13 @@ GEOMETRY_COLUMNS = ("geometry", "rings")
 
 
 def zones_to_table(zonal: DataFrame, features: DataFrame, zone: str = "zone_id") -> DataFrame:
-    """A zonal result with the geometry of its zones: one row per zone and time."""
-    geometry = features.select(F.col("id").alias(zone), "geometry")
+    """A zonal result with the geometry of its zones: one row per zone and time.
+
+    Features may give their geometry as text, see ``geometry_of_text``.
+    """
+    written = isinstance(features.schema["geometry"].dataType, T.StringType)
+    shape = geometry_of_text(F.col("geometry")) if written else F.col("geometry")
+    geometry = features.select(F.col("id").alias(zone), shape.alias("geometry"))
     return zonal.join(geometry, zone, "left")
 
 

@@ -9,6 +9,7 @@ from gridtide.operators.boxes import meeting_boxes
 from gridtide.operators.medians import weighted_median
 from gridtide.operators.regrid import reproject, resample_cube_spatial
 from gridtide.operators.zones import zonal_statistics
+from gridtide.sources.geometry_text import geometry_of_text, text_of_geometry
 from gridtide.sources.grid import GridSpec
 
 BOX = "xmin double, ymin double, xmax double, ymax double"
@@ -203,3 +204,34 @@ def test_bilinear_reprojection_of_a_constant_and_of_longitude(spark):
     for r in got:
         degrees = math.degrees(r.x / 6378137.0)
         assert r.v == pytest.approx(min(max(degrees, 0.5), 9.5), abs=1e-9)
+
+
+SQUARE = [[[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 0.0]]]
+HOLED = [SQUARE[0], [[0.5, 0.5], [1.0, 0.5], [1.0, 1.0]]]
+TEXTS = [
+    ("POLYGON ((0 0, 2 0, 2 2, 0 0))", ("Polygon", [SQUARE])),
+    ("  polygon((0 0,2 0,2 2,0 0),\n( .5 0.5 , 1 5e-1, 1. 1))", ("Polygon", [HOLED])),
+    ("MULTIPOLYGON (((0 0, 2 0, 2 2, 0 0)), ((0 0, 2 0, 2 2, 0 0), (0.5 0.5, 1 0.5, 1 1)))", ("MultiPolygon", [SQUARE, HOLED])),
+    ("SRID=4326;POLYGON Z ((0 0 9, 2 0 9, 2 2 9, 0 0 9))", ("Polygon", [SQUARE])),
+    ("POLYGON EMPTY", ("Polygon", [])),
+    ("MULTIPOLYGON EMPTY ", ("MultiPolygon", [])),
+] + [(bad, None) for bad in (
+    None, "", "POINT (1 2)", "POLYGON", "POLYGON (0 0, 2 0, 2 2)", "POLYGON ((0 0, 2 0))", "POLYGON ((0 0, 2 0, 2 x))", "POLYGON ((0 0, 2 0, 2 2)",
+    "POLYGON ((0 0, 2 0, 2 2)) x", "POLYGON ((0, 2, 2))", "POLYGON (((0 0, 2 0, 2 2)))", "MULTIPOLYGON ((0 0, 2 0, 2 2))", "POLYGON ((0 0, 2 0, 2 NaN))",
+    "POLYGON ((0 0, 2 0, 2 2),)", "POLYGON (()", "POLYGON ((0 0, 1 1, 2 2), EMPTY)", "POLYGON EMPTY ((0 0))",
+)]
+
+
+def test_geometry_texts_are_read_level_by_level(spark):
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(TEXTS)], "k int, text string")
+    got = {r.k: r.g and (r.g.type, r.g.coordinates) for r in rows.select("k", geometry_of_text(F.col("text")).alias("g")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(TEXTS)}
+
+
+def test_geometries_survive_their_text(spark):
+    ring = [[k / 7.0, -k * 1e-9] for k in range(60000)]
+    shapes = [("Polygon", [SQUARE]), ("Polygon", [HOLED]), ("MultiPolygon", [SQUARE, HOLED]), ("MultiPolygon", []), ("Polygon", [[ring]]), None]
+    kind = "struct<type:string,coordinates:array<array<array<array<double>>>>>"
+    frame = spark.createDataFrame([(k, s) for k, s in enumerate(shapes)], f"k int, g {kind}")
+    back = frame.select("k", geometry_of_text(text_of_geometry(F.col("g"))).alias("g")).collect()
+    assert {r.k: r.g and (r.g.type, r.g.coordinates) for r in back} == dict(enumerate(shapes))
