@@ -89,6 +89,19 @@ def stored_cube_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(part, "precip"), "price", digits=2)
 
 
+@query(
+    with_views("daily")
+    + """SELECT t, y, x, ROUND(precip, 6) AS precip, ROUND(price, 2) AS price FROM daily
+         WHERE t >= TIMESTAMP '1998-05-01' AND t < TIMESTAMP '1998-09-01' AND x BETWEEN 3 AND 4 AND y BETWEEN 5 AND 6"""
+)
+def tiled_cube_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily cube laid out by tiles of two by two cells along a Z-shaped curve, then opened for four months and a small box."""
+    path = scratch_path(spark, "tiled-cube")
+    write_cube(daily_cube(spark, sf_dir), path, dataset_id="rain", iso_step="P1D", tile=(2.0, 2.0))
+    part = read_cube(spark, path, "1998-05", "1998-08", (3, 5, 4, 6)).select("t", "y", "x", "precip", "price")
+    return rounded(rounded(part, "precip"), "price", digits=2)
+
+
 @query(
     with_views("daily")
     + """SELECT t, y, x, ROUND(precip, 6) AS precip FROM daily"""

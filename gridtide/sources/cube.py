@@ -21,6 +21,12 @@ SPACE_NAMES = (("x", "y"), ("lon", "lat"), ("longitude", "latitude"))
 
 BUCKET_KEY = "bucket_seconds"
 
+# Tiles are numbered from this one, so that those left of and below the origin have numbers too.
+FIRST_TILE = -(1 << 30)
+
+# Size of a row group of a tiled store: small enough that a box needs few of the rows of a file.
+ROW_GROUP_BYTES = 16 * 1024 * 1024
+
 
 def normalise_axes(cube: DataFrame) -> DataFrame:
     """Rename the time and space columns to ``t``, ``x``, ``y``; times become naive."""
@@ -133,18 +139,44 @@ def time_bucket(cube: DataFrame, seconds: int) -> DataFrame:
     return cube.withColumn("time_bucket", bucket_of(F.col("t"), seconds)).withMetadata("t", metadata)
 
 
+def tile_order(tile: tuple[float, float]) -> Column:
+    """Number of the tile of a cell on a Z-shaped curve: the bits of its row and column by turns, so near tiles come near each other."""
+
+    def spread(number: Column) -> Column:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            number = number.bitwiseOR(F.shiftleft(number, shift)).bitwiseAND(F.lit(mask))
+        return number
+
+    across, down = (spread(F.floor(F.col(axis) / F.lit(float(size))).cast("bigint") - FIRST_TILE) for axis, size in zip("xy", tile))
+    return across.bitwiseOR(F.shiftleft(down, 1))
+
+
+def in_layout(bucketed: DataFrame, layout: Sequence[str], tile: tuple[float, float] | None = None) -> DataFrame:
+    """Rows dealt out and sorted as a store holds them: by ``layout``, then by cell, or with ``tile`` by tile and cell."""
+    if tile is None:
+        return bucketed.hint("rebalance", *layout).sortWithinPartitions(*layout, "y", "x", "t")
+    # blocks of 16 x 16 tiles stay together, so that a task holds few stretches of the curve
+    tiled = bucketed.withColumn("__tile", tile_order(tile)).withColumn("__block", F.shiftright("__tile", 8))
+    tiled = tiled.hint("rebalance", *layout, "__block").sortWithinPartitions(*layout, "__tile", "y", "x", "t")
+    return tiled.drop("__tile", "__block")
+
+
 def write_cube(
     cube: DataFrame,
     path: str,
     mode: str = "overwrite",
     dataset_id: str | None = None,
     iso_step: str | None = "P1D",
+    tile: tuple[float, float] | None = None,
+    row_group_bytes: int = ROW_GROUP_BYTES,
 ) -> None:
     """Write a cube by dataset and time bucket.
 
     ``overwrite`` replaces the store, ``append`` adds rows, ``replace_buckets`` replaces only
     the buckets that occur in the cube. The rebalance splits a bucket that is too big for one
-    task and joins small ones; sorting by cell keeps each file's box narrow.
+    task and joins small ones; sorting by cell keeps each file's box narrow. With ``tile``, a width and height in the
+    units of the axes, cells are dealt out and sorted by tiles along a Z-shaped curve and row groups are kept small, so that a
+    reader with a box skips most of them.
     """
     if mode not in ("overwrite", "append", "replace_buckets"):
         raise GridError(f"Unknown write mode '{mode}'")
@@ -154,15 +186,9 @@ def write_cube(
         raise GridError("A dataset_id column or argument is needed")
     seconds = bucket_seconds(cube.sparkSession, iso_step)
     layout = ["dataset_id", "time_bucket"]
-    laid_out = (
-        time_bucket(cube, seconds)
-        .hint("rebalance", *layout)
-        .sortWithinPartitions(*layout, "y", "x", "t")
-    )
+    laid_out = in_layout(time_bucket(cube, seconds), layout, tile)
     overwrite = "static" if mode == "overwrite" else "dynamic"
-    (
-        laid_out.write.mode("append" if mode == "append" else "overwrite")
-        .option("partitionOverwriteMode", overwrite)
-        .partitionBy(*layout)
-        .parquet(path)
-    )
+    writer = laid_out.write.mode("append" if mode == "append" else "overwrite").option("partitionOverwriteMode", overwrite)
+    if tile is not None:
+        writer = writer.option("parquet.block.size", row_group_bytes)
+    writer.partitionBy(*layout).parquet(path)

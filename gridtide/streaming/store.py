@@ -25,7 +25,7 @@ from gridtide.functions.crs import WGS84
 from gridtide.functions.periods import period_id, period_start
 from gridtide.operators.reduce import coverage, described_extent
 from gridtide.sources import files
-from gridtide.sources.cube import bucket_seconds, cut_by_bucket, time_bucket
+from gridtide.sources.cube import ROW_GROUP_BYTES, bucket_seconds, cut_by_bucket, in_layout, time_bucket
 
 LEDGER_SCHEMA = (
     "period_id string, ny bigint, nx bigint, cells bigint, cell_hash decimal(38,0), batch string, until timestamp_ntz, "
@@ -41,10 +41,14 @@ LANDED_SCHEMA = "period_id string, file string"
 class PeriodStore:
     """One dataset's periods on shared storage."""
 
-    def __init__(self, spark: SparkSession, path: str, period_type: str = "daily") -> None:
+    def __init__(
+        self, spark: SparkSession, path: str, period_type: str = "daily", tile: tuple[float, float] | None = None
+    ) -> None:
+        """``tile`` lays values out by tiles of that width and height, see ``write_cube``."""
         self.spark = spark
         self.path = path.rstrip("/")
         self.period_type = period_type
+        self.tile = tile
 
     # -- where things are -------------------------------------------------
 
@@ -149,14 +153,10 @@ class PeriodStore:
     def write_values(self, rows: DataFrame, batch: str, generation: int) -> bool:
         """Write one batch, and say whether it has any row. The rebalance splits what is too big for one task."""
         seconds = bucket_seconds(self.spark, ISO_STEPS[self.period_type])
-        laid_out = time_bucket(rows, seconds).hint("rebalance", "time_bucket")
-        (
-            laid_out.sortWithinPartitions("time_bucket", "y", "x", "t")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy("time_bucket")
-            .parquet(self.batch_path(batch, generation))
-        )
+        writer = in_layout(time_bucket(rows, seconds), ["time_bucket"], self.tile).write.mode("overwrite")
+        if self.tile is not None:
+            writer = writer.option("parquet.block.size", ROW_GROUP_BYTES)
+        writer.option("partitionOverwriteMode", "static").partitionBy("time_bucket").parquet(self.batch_path(batch, generation))
         return bool(files.child_names(self.spark, self.batch_path(batch, generation)))
 
     def written_shapes(self, batch: str, generation: int) -> DataFrame:

@@ -11,7 +11,7 @@ from gridtide.operators.elementwise import apply, clamp_min, kelvin_to_celsius,
 from gridtide.operators.reduce import axis_summary, build_overviews, coverage, overview_levels, read_overview, update_overviews, variable_summary
 from gridtide.registry import Recipes, process_by_name, register_process, register_transform
 from gridtide.session import scratch_path
-from gridtide.sources.cube import mask_nodata, normalise_axes, read_cube, read_many, select_variable, write_cube
+from gridtide.sources.cube import mask_nodata, normalise_axes, read_cube, read_many, select_variable, tile_order, write_cube
 from gridtide.sources.grid import GridSpec, grid_for_bbox, infer_grid
 
 
@@ -247,3 +247,41 @@ def test_an_append_touches_only_its_own_overview_buckets(spark):
         got, want = (sorted(tuple(r) for r in df.select(columns).collect()) for df in (read_overview(spark, kept_path), spark.read.parquet(full_path)))
         assert got == want
     assert update_overviews(cube, grid, path, cube.limit(0).select("t"), levels=2) == levels
+
+
+def test_tiles_follow_a_z_shaped_curve(spark):
+    cells = spark.createDataFrame([(float(x), float(y)) for y in (-1, 0, 1, 2) for x in (-1, 0, 1, 2)], "x double, y double")
+    order = [(r.x, r.y) for r in cells.orderBy(tile_order((1.0, 1.0))).collect()]
+    assert order[0] == (-1.0, -1.0) and order[-1] == (2.0, 2.0)
+    near = [(r.x, r.y) for r in cells.filter("x >= 0 AND y >= 0 AND x < 2 AND y < 2").orderBy(tile_order((1.0, 1.0))).collect()]
+    assert near == [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0)]
+
+
+def test_a_small_box_reads_few_row_groups_of_a_tiled_store(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    cube = spark.range(200 * 200 * 20).selectExpr(
+        "CAST(DATE'2026-01-01' + CAST(id % 20 AS INT) AS timestamp_ntz) AS t", "CAST(id DIV 4000 AS DOUBLE) AS y",
+        "CAST(id DIV 20 % 200 AS DOUBLE) AS x", "id * 0.5 AS v",
+    )
+    box = (90.0, 130.0, 109.0, 149.0)  # one in a hundred cells
+    shares, found = {}, {}
+    for name, tile in (("tiled", (8.0, 8.0)), ("plain", None)):
+        path = scratch_path(spark, name)
+        write_cube(cube, path, dataset_id="rain", tile=tile, row_group_bytes=64 * 1024)
+        groups = met = 0
+        for file in glob.glob(f"{path}/**/*.parquet", recursive=True):
+            data = pq.ParquetFile(file)
+            names = [data.schema_arrow.names.index(a) for a in ("x", "y")]
+            for g in range(data.metadata.num_row_groups):
+                x, y = (data.metadata.row_group(g).column(c).statistics for c in names)
+                groups += 1
+                met += x.min <= box[2] and x.max >= box[0] and y.min <= box[3] and y.max >= box[1]
+        shares[name] = met / groups
+        found[name] = sorted(tuple(r) for r in read_cube(spark, path, bbox=box).select("t", "y", "x", "v").collect())
+        if tile:
+            assert groups > 50
+    assert shares["tiled"] < 0.1
+    assert found["tiled"] == found["plain"] and len(found["tiled"]) == 400 * 20
