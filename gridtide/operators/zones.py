@@ -26,6 +26,9 @@ EXPORT_PERIODS = ("daily", "weekly", "monthly")
 # large enough that a zone does not fall into many tiles.
 TILE_CELLS = 16
 
+# Halvings from the quads a zone is first laid out on to the tiles that are joined.
+COVER_LEVELS = 3
+
 # Rank error bound of the sketch that brackets a median is one part in this many.
 SKETCH_ACCURACY = 10_000
 
@@ -54,6 +57,16 @@ def inside_rings(x: Column, y: Column, edges: Column) -> Column:
     return F.aggregate(edges, F.lit(False), lambda odd, e: odd != F.coalesce(F.when(e.y1 != e.y2, crosses(e)), F.lit(False)))
 
 
+def _edges_that_matter(edges: Column, tx: Column, ty: Column, tile_x: float, tile_y: float, margin_x: float, margin_y: float) -> Column:
+    """Edges of the row band of a tile that do not lie wholly to the west of it, which a ray to the east may meet."""
+    return F.filter(
+        edges,
+        lambda e: (F.greatest(e.y1, e.y2) >= ty * tile_y - margin_y)
+        & (F.least(e.y1, e.y2) <= (ty + 1) * tile_y + margin_y)
+        & (F.greatest(e.x1, e.x2) >= tx * tile_x - margin_x),
+    )
+
+
 def touches_cell(x: Column, y: Column, half_x: float, half_y: float, edges: Column) -> Column:
     """Whether any edge meets the closed rectangle of a cell."""
 
@@ -120,6 +133,40 @@ def zone_tiles(
     return tiles.filter(F.size("edges") > 0)
 
 
+def zone_cover(
+    zones: DataFrame,
+    tile_x: float,
+    tile_y: float,
+    zone: str = "id",
+    margin_x: float = 0.0,
+    margin_y: float = 0.0,
+    levels: int = COVER_LEVELS,
+) -> DataFrame:
+    """``zone_id, tx, ty, whole, edges``: the tiles of each zone; those wholly inside have no edges.
+
+    A zone is laid out on quads of ``2 ** levels`` tiles a side first. A quad that no edge touches is inside or outside as
+    a whole, by one test of its centre; only the others are cut in four and hand their edges down, each
+    quarter those that matter to it. So edges are copied and tested along the outline alone, not over the area.
+    """
+    scale = 2**levels
+    quads = zone_tiles(zones, tile_x * scale, tile_y * scale, zone, margin_x, margin_y).withColumn("whole", F.lit(False))
+    none = F.slice("edges", 1, 0)
+    for level in range(levels, -1, -1):
+        size_x, size_y = tile_x * 2**level, tile_y * 2**level
+        x, y = (F.col("tx") + 0.5) * size_x, (F.col("ty") + 0.5) * size_y
+        touched = touches_cell(x, y, size_x / 2 + margin_x, size_y / 2 + margin_y, F.col("edges"))
+        judged = quads.withColumn("touched", ~F.col("whole") & touched)
+        judged = judged.filter(F.col("whole") | F.col("touched") | inside_rings(x, y, F.col("edges")))
+        quads = judged.select("zone_id", "tx", "ty", (~F.col("touched")).alias("whole"), F.when(F.col("touched"), F.col("edges")).otherwise(none).alias("edges"))
+        if level:
+            quarters = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (0, 1) for i in (0, 1)])
+            split = quads.select("zone_id", "whole", "edges", "tx", "ty", F.inline(quarters))
+            split = split.select("zone_id", "whole", "edges", (F.col("tx") * 2 + F.col("i")).alias("tx"), (F.col("ty") * 2 + F.col("j")).alias("ty"))
+            left = _edges_that_matter(F.col("edges"), F.col("tx"), F.col("ty"), size_x / 2, size_y / 2, margin_x, margin_y)
+            quads = split.withColumn("edges", left).filter(F.col("whole") | (F.size("edges") > 0))
+    return quads
+
+
 def cells_in_zones(
     cells: DataFrame,
     zones: DataFrame,
@@ -133,12 +180,12 @@ def cells_in_zones(
 
     ``cells`` has one row per grid cell, so this runs once per grid and not once per time step.
     With ``all_touched`` a cell also counts if its area meets the outline. The join is on the tile
-    of both sides, never of every cell with every zone.
+    of both sides, never of every cell with every zone; only cells of tiles that an edge touches are tested.
     """
     half_x, half_y = abs(dx) / 2, abs(dy) / 2
     tile_x, tile_y = abs(dx) * tile_cells, abs(dy) * tile_cells
     margin_x, margin_y = (half_x, half_y) if all_touched else (0.0, 0.0)
-    tiles = zone_tiles(zones, tile_x, tile_y, zone, margin_x, margin_y)
+    tiles = zone_cover(zones, tile_x, tile_y, zone, margin_x, margin_y)
     x, y, edges = F.col("x").cast("double"), F.col("y").cast("double"), F.col("edges")
     tiled = cells.withColumns(
         {"tx": F.floor(x / F.lit(tile_x)).cast("bigint"), "ty": F.floor(y / F.lit(tile_y)).cast("bigint")}
@@ -146,7 +193,7 @@ def cells_in_zones(
     hit = inside_rings(x, y, edges)
     if all_touched:
         hit = hit | touches_cell(x, y, half_x, half_y, edges)
-    return tiled.join(tiles, ["tx", "ty"]).filter(hit).drop("tx", "ty", "edges")
+    return tiled.join(tiles, ["tx", "ty"]).filter(F.col("whole") | hit).drop("tx", "ty", "edges", "whole")
 
 
 def stored_assignment(assignment: DataFrame, path: str | None = None) -> DataFrame:

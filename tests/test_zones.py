@@ -246,3 +246,36 @@ def test_statistics_scan_the_cube_twice_at_most(spark, small, tmp_path):
     stats = z.zonal_statistics(spark.read.parquet(f"{tmp_path}/cube"), held, "v", z.ZONAL_STATS)
     plan = stats._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FileScan parquet") <= 4  # base and counted values, base once more for the median
+
+
+def star(k, n, cx, cy, size):
+    """An outline of many points around a centre, with bays."""
+    import math
+
+    angles = [2 * math.pi * i / n for i in range(n)]
+    return [{"x": cx + size * (0.7 + 0.3 * math.sin(k * a)) * math.cos(a), "y": cy + size * (0.7 + 0.3 * math.sin(k * a)) * math.sin(a)} for a in angles]
+
+
+@pytest.mark.parametrize("all_touched", [False, True])
+def test_a_cover_gives_the_same_cells_as_its_tiles(spark, all_touched):
+    hole = [{"x": x, "y": y} for x, y in ((-20.0, -20.0), (20.3, -20.0), (20.3, 19.1))]
+    rows = [("a", [star(5, 300, 3.3, -7.7, 90.0), hole]), ("b", [star(3, 40, 60.0, 60.0, 30.0), star(4, 50, -70.0, -60.0, 20.0)]), ("c", [star(2, 9, 0.0, 0.0, 3.0)])]
+    zones = spark.createDataFrame(rows, "id string, rings array<array<struct<x:double,y:double>>>")
+    cells = GridSpec(-99.5, 1.0, 200, -99.5, 1.0, 200).cells(spark).select("x", "y")
+    tiles = z.zone_tiles(zones, 4.0, 4.0, margin_x=0.5 * all_touched, margin_y=0.5 * all_touched)
+    placed = cells.withColumns({"tx": F.floor(F.col("x") / 4).cast("bigint"), "ty": F.floor(F.col("y") / 4).cast("bigint")}).join(tiles, ["tx", "ty"])
+    hit = z.inside_rings(F.col("x"), F.col("y"), F.col("edges"))
+    if all_touched:
+        hit = hit | z.touches_cell(F.col("x"), F.col("y"), 0.5, 0.5, F.col("edges"))
+    want = {tuple(r) for r in placed.filter(hit).select("zone_id", "x", "y").collect()}
+    got = z.cells_in_zones(cells, zones, all_touched=all_touched, tile_cells=4).select("zone_id", "x", "y").collect()
+    assert len(got) == len(want) > 10000 and {tuple(r) for r in got} == want
+
+
+def test_only_cells_along_a_long_outline_are_tested(spark):
+    zones = spark.createDataFrame([("a", [star(7, 20000, 0.0, 0.0, 480.0)])], "id string, rings array<array<struct<x:double,y:double>>>")
+    cover = z.zone_cover(zones, 16.0, 16.0).groupBy("whole").agg(F.count("*").alias("tiles"), F.sum(F.size("edges")).alias("edges"))
+    found = {r.whole: (r.tiles, r.edges) for r in cover.collect()}
+    assert found[True][1] == 0 and found[False][0] < 0.6 * found[True][0]
+    flat = z.zone_tiles(zones, 16.0, 16.0).agg(F.sum(F.size("edges"))).first()[0]
+    assert found[False][1] < 0.5 * flat
