@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is described by its nearest pivots in order of nearness. Blocks of vectors post these orders in one
-inverted file for each pivot, with the place the pivot has in the order (as half of the pivots are posted, a file is
-kept as one byte for each vector of the block). A query adds up, over the files of its own nearest pivots, the
-overlap of the two orders, which is the footrule distance up to a constant, and the candidates ranked best
-are ranked again by exact cosine. Vectors that are equal are one candidate with several ids.
+A vector is described by its nearest pivots in order of nearness. Each block of vectors keeps an inverted file for each
+pivot: the vectors that have it among their ``POSTED`` nearest of ``PIVOTS``, with the place it has in their order. A query
+reads the files of its own nearest pivots alone and adds up, for the vectors it meets there, the overlap of the two
+orders, which is the footrule distance up to a constant. The best share of the vectors met are ranked again by exact
+cosine; a vector that shares no pivot with a query is never touched. Vectors that are equal are one candidate with several ids.
 
 Every vector is in exactly one block, queries meet blocks in blocks too, and only the best few of each pair of
 blocks travel on. Block sizes are fixed, so a task's memory is bounded however many rows there are.
@@ -13,6 +13,7 @@ blocks travel on. Block sizes are fixed, so a task's memory is bounded however m
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 
 from gridtide.llm.common import read_table, settle
 
-PIVOTS = 256
-POSTED = 128
-RERANK_SHARE = 0.05
+PIVOTS = 1024
+POSTED = 32
+#: Share of the vectors met that are ranked again, and how many at least.
+RERANK_SHARE = 0.6
 RERANK_LEAST = 64
 BLOCK = 8192
 NEAREST = 5
@@ -43,23 +45,31 @@ def orders(x: np.ndarray, pivots: np.ndarray, posted: int) -> np.ndarray:
     return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :posted]
 
 
-def files(order: np.ndarray, pivots: int) -> np.ndarray:
-    """Inverted files: for pivot and vector how early the pivot comes in the vector's order, zero if it does not."""
-    posted = order.shape[1]
-    table = np.zeros((pivots, len(order)), dtype=np.uint8)
-    for place in range(posted):
-        table[order[:, place], np.arange(len(order))] = posted - place
-    return table
+class Files(NamedTuple):
+    """Inverted files of a block: where the file of each pivot starts, its vectors, and how early it comes in their orders."""
 
+    starts: np.ndarray
+    vectors: np.ndarray
+    places: np.ndarray
 
-def overlap(table: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Overlap of one query's order with those of all vectors; the footrule distance falls by twice of it."""
-    total = np.zeros(table.shape[1], dtype=np.uint16)
-    part = np.empty(table.shape[1], dtype=np.uint8)
-    for place, pivot in enumerate(order):
-        np.minimum(table[pivot], np.uint8(len(order) - place), out=part)
-        total += part
-    return total
+
+def files(order: np.ndarray, pivots: int) -> Files:
+    """Inverted files of vectors with these orders."""
+    rows, posted = order.shape
+    by_pivot = np.argsort(order.ravel(), kind="stable")
+    starts = np.searchsorted(order.ravel()[by_pivot], np.arange(pivots + 1))
+    return Files(starts, (by_pivot // posted).astype(np.int64), posted - by_pivot % posted)
+
+
+def overlap(index: Files, order: np.ndarray, rows: int) -> np.ndarray:
+    """Overlap of a query's order with those of the vectors in the files of its pivots; zero for all that are not met.
+
+    The footrule distance falls by twice of it.
+    """
+    spans = [np.arange(index.starts[p], index.starts[p + 1]) for p in order]
+    at = np.concatenate(spans)
+    early = np.repeat(len(order) - np.arange(len(order)), [len(s) for s in spans])
+    return np.bincount(index.vectors[at], np.minimum(index.places[at], early), minlength=rows).astype(np.int64)
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -72,19 +82,29 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy().reshape(len(flat), -1)
 
 
-def _search(pivots: np.ndarray, posted: int, share: float, keep: int):
+def candidates(index: Files, order: np.ndarray, rows: int, share: float, least: int) -> np.ndarray:
+    """Vectors to rank again: the best of those met, or all of the block where too few are met."""
+    rank = overlap(index, order, rows)
+    met = int(np.count_nonzero(rank))
+    if met < least:
+        return np.arange(rows)
+    size = min(met, max(RERANK_LEAST, least, math.ceil(share * met)))
+    return np.argpartition(rank, rows - size)[rows - size :]
+
+
+def _search(bases: dict[int, np.ndarray], posted: int, share: float, keep: int):
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if len(vectors) and len(queries):
             x, q = _matrix(vectors.column("embedding")), _matrix(queries.column("embedding"))
-            table = files(orders(x, pivots, posted), len(pivots))
+            pivots = bases[x.shape[1]]
+            used = min(posted, len(pivots))
+            index = files(orders(x, pivots, used), len(pivots))
             ids = vectors.column("ids").to_pylist()
             least = np.array([i[0] for i in ids])
-            size = min(len(x), max(RERANK_LEAST, math.ceil(share * len(x))))
-            heads = zip(queries.column("a").to_pylist(), queries.column("b").to_pylist(), orders(q, pivots, posted))
+            heads = zip(queries.column("a").to_pylist(), queries.column("b").to_pylist(), orders(q, pivots, used))
             for k, (a, b, order) in enumerate(heads):
-                rank = overlap(table, order)
-                near = np.argpartition(rank, len(x) - size)[len(x) - size :]
+                near = candidates(index, order, len(x), share, keep)
                 exact = cosines(q[k], x[near])
                 best = np.lexsort((least[near], -exact))[:keep]
                 found = sorted((-exact[i], v) for i in best for v in ids[near[i]])[:keep]
@@ -106,9 +126,9 @@ def nearest(
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` nearest found for each row that is a query.
 
-    Rows with a null id, and vectors that are null, zero, of another length than the first pivot or hold null
-    or non-finite numbers take no part. Rows with the same id and vector are one; a query never finds its own id.
-    Ties go to the smaller id. With fewer candidates than ``k`` all return; an empty table gives nothing.
+    Rows with a null id, and vectors that are null, zero or hold null or non-finite numbers take no part. Vectors are
+    sought among those of their own length, each length with pivots of its own; a table is expected to have few lengths.
+    Rows with the same id and vector are one; a query never finds its own id. Ties go to the smaller id. With fewer candidates than ``k`` all return; an empty table gives nothing.
     """
     keys = (F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit(1), "embedding").alias("b"))
     good = usable(vectors).select("vec_id", "embedding", *keys)
@@ -120,24 +140,29 @@ def nearest(
     )
     asking = asked.select("a", "b", F.lit(True).alias("asks")).distinct()
     classes = settle(classes.join(asking, ["a", "b"], "left"), "vectors")
-    sample = classes.orderBy(F.xxhash64("a"), "b").limit(pivots).select("embedding").collect()
+    sized = classes.withColumn("size", F.size("embedding"))
+    drawn = F.row_number().over(Window.partitionBy("size").orderBy(F.xxhash64("a"), "b"))
+    sample = sized.select("size", "embedding", drawn.alias("n")).where(F.col("n") <= pivots).collect()
     if not sample:
         return asked.select("query_id", *(F.lit(None).cast(t).alias(n) for n, t in (("rank", "int"), ("vec_id", "long"), ("score", "double")))).limit(0)
-    width = len(sample[0].embedding)
-    base = np.array([s.embedding for s in sample if len(s.embedding) == width])
-    base = base / np.linalg.norm(base, axis=1, keepdims=True)
-    classes = classes.where(F.size("embedding") == width)
-    n, n_queries = classes.agg(F.count("*"), F.count("asks")).first()
-    v_blocks, q_blocks = max(1, math.ceil(n / block)), max(1, math.ceil(n_queries / block))
-
-    def spread(df: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
-        placed = df.withColumn(own, F.pmod("b", F.lit(parts)).cast("int"))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    left = spread(classes.select("a", "b", "embedding", "ids"), "v", v_blocks, "q", q_blocks)
-    right = spread(classes.where("asks").select("a", "b", "embedding"), "q", q_blocks, "v", v_blocks)
-    search = _search(base, min(posted, len(base)), share, k + 1)
-    found = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInArrow(
+    bases = {}
+    for size in {r.size for r in sample}:
+        base = np.array([r.embedding for r in sample if r.size == size])
+        bases[size] = base / np.linalg.norm(base, axis=1, keepdims=True)
+    counts = sized.groupBy("size").agg(F.count("*").alias("n"), F.count("asks").alias("asked"))
+    parts = counts.select("size", *(F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int").alias(p) for c, p in (("n", "vs"), ("asked", "qs"))))
+    laid_out = sized.join(parts, "size")
+
+    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
+        placed = df.withColumn(own, F.pmod("b", F.col(f"{own}s")).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))).drop("vs", "qs")
+
+    left = spread(laid_out.select("a", "b", "embedding", "ids", "size", "vs", "qs"), "v", "q")
+    right = spread(laid_out.where("asks").select("a", "b", "embedding", "size", "vs", "qs"), "q", "v")
+    right = right.toDF(*right.columns)  # columns of its own, as both sides come from one table
+    search = _search(bases, posted, share, k + 1)
+    key = ("size", "v", "q")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(
         search, "a long, b long, vec_id long, score double"
     )
     order = (F.col("score").desc(), F.col("vec_id"))

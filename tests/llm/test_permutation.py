@@ -57,13 +57,36 @@ def test_overlap_orders_as_the_footrule_distance():
     def place(o, p):
         return list(o).index(p) if p in o else 7
 
-    table = permutation.files(order, 12)
+    index = permutation.files(order, 12)
     for q in order[:5]:
         distance = [sum(abs(place(q, p) - place(o, p)) for p in range(12)) for o in order]
-        assert (7 * 8 - 2 * permutation.overlap(table, q).astype(int)).tolist() == distance
+        assert (7 * 8 - 2 * permutation.overlap(index, q, 30)).tolist() == distance
 
 
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [i for i, _ in answers(permutation.nearest(df, F.col("vec_id") % 50 == 0))[0]] == [1]
     assert permutation.nearest(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_each_length_is_sought_among_its_own(spark):
+    rng = np.random.default_rng(6)
+    rows = [(-1, [1.0, 0.0, 0.0])] + [(i, rng.normal(size=8 if i % 3 else 5).tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = answers(permutation.nearest(df, F.col("vec_id") % 50 == 0, share=1.0, posted=64, block=40))
+    for size in (8, 5):
+        kind = [(i, v) for i, v in rows if len(v) == size]
+        want = brute(kind, {i for i, _ in kind if i % 50 == 0})
+        assert {q: got[q] for q in want} == want
+
+
+def test_the_index_skips_most_vectors_and_falls_back_where_few_are_met():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 64))
+    pivots = x[:1024] / np.linalg.norm(x[:1024], axis=1, keepdims=True)
+    order = permutation.orders(x, pivots, 32)
+    index = permutation.files(order, len(pivots))
+    sizes = [len(permutation.candidates(index, order[i], len(x), 0.6, 6)) for i in range(100)]
+    assert 64 <= np.mean(sizes) < 0.45 * len(x)
+    lonely = permutation.files(np.array([[0], [0], [1]]), 3)
+    assert permutation.candidates(lonely, np.array([2]), 3, 0.6, 2).tolist() == [0, 1, 2]
