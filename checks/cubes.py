@@ -375,31 +375,28 @@ def single_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(append_periods(week, month), "precip")
 
 
-@query(
+NEAREST_SERIES_SQL = (
     with_views("daily")
     + """SELECT t, y, x, ROUND(precip, 6) AS precip FROM daily
          WHERE x = (SELECT x FROM (SELECT DISTINCT x FROM daily) ORDER BY ABS(x - 6.5), x LIMIT 1)
            AND y = (SELECT y FROM (SELECT DISTINCT y FROM daily)
                     ORDER BY ABS(y - (SELECT AVG(y) FROM (SELECT DISTINCT y FROM daily))), y LIMIT 1)"""
 )
+
+
+@query(NEAREST_SERIES_SQL)
 def nearest_cell_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series of the cell nearest to a place; the row is the one nearest to the centre of the grid."""
     return rounded(select.nearest_point(precip_cube(spark, sf_dir), x=6.5), "precip")
 
 
-@query(
-    with_views("daily")
-    + """SELECT t, y, x, ROUND(precip, 6) AS precip FROM daily
-         WHERE x = (SELECT x FROM (SELECT DISTINCT x FROM daily) ORDER BY ABS(x - 6.5), x LIMIT 1)
-           AND y = (SELECT y FROM (SELECT DISTINCT y FROM daily)
-                    ORDER BY ABS(y - (SELECT AVG(y) FROM (SELECT DISTINCT y FROM daily))), y LIMIT 1)"""
-)
+@query(NEAREST_SERIES_SQL)
 def nearest_cell_series_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the grid known: series of the cell nearest to a place; the row is the one nearest to the centre of the grid."""
     return rounded(select.nearest_point(precip_cube(spark, sf_dir), x=6.5, grid=GRID), "precip")
 
 
-@query(
+NEAREST_CELLS_SQL = (
     with_views("daily")
     + """, places AS (SELECT s_suppkey AS point_id, (s_suppkey * 37 % 1300) / 100.0 - 1.5 AS px,
                         (s_suppkey * 53 % 1300) / 100.0 - 1.5 AS py FROM supplier),
@@ -408,6 +405,9 @@ def nearest_cell_series_by_number(spark: SparkSession, sf_dir: str) -> DataFrame
          SELECT point_id, COUNT(*) AS steps, ROUND(SUM(precip), 6) AS precip
          FROM xs JOIN ys USING (point_id) JOIN daily USING (x, y) GROUP BY 1"""
 )
+
+
+@query(NEAREST_CELLS_SQL)
 def nearest_cells_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total of the nearest cell for a place per supplier."""
     key = F.col("s_suppkey")
@@ -421,15 +421,7 @@ def nearest_cells_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(totals, "precip")
 
 
-@query(
-    with_views("daily")
-    + """, places AS (SELECT s_suppkey AS point_id, (s_suppkey * 37 % 1300) / 100.0 - 1.5 AS px,
-                        (s_suppkey * 53 % 1300) / 100.0 - 1.5 AS py FROM supplier),
-         xs AS (SELECT point_id, px, (SELECT x FROM (SELECT DISTINCT x FROM daily) d ORDER BY ABS(x - px), x LIMIT 1) AS x FROM places),
-         ys AS (SELECT point_id, (SELECT y FROM (SELECT DISTINCT y FROM daily) d ORDER BY ABS(y - py), y LIMIT 1) AS y FROM places)
-         SELECT point_id, COUNT(*) AS steps, ROUND(SUM(precip), 6) AS precip
-         FROM xs JOIN ys USING (point_id) JOIN daily USING (x, y) GROUP BY 1"""
-)
+@query(NEAREST_CELLS_SQL)
 def nearest_cells_of_suppliers_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the grid known: total of the nearest cell for a place per supplier."""
     key = F.col("s_suppkey")
@@ -836,7 +828,7 @@ def merged_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(merged, "precip", "tax"), "price", digits=2)
 
 
-@query(
+OTHER_GRID_SQL = (
     with_views("daily")
     + """, cols AS (SELECT r AS i, 0.21 + r * 0.7 AS tx,
                   (SELECT x FROM (SELECT DISTINCT x FROM daily) ORDER BY ABS(x - (0.21 + r * 0.7)), x LIMIT 1) AS x FROM RANGE(13) t(r)),
@@ -845,6 +837,9 @@ def merged_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
          SELECT t, ROUND(ty, 6) AS y, ROUND(tx, 6) AS x, ROUND(precip, 6) AS precip
          FROM daily JOIN cols USING (x) JOIN rws USING (y)"""
 )
+
+
+@query(OTHER_GRID_SQL)
 def other_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cube on a finer axis in x and a coarser, downward one in y."""
     target = GridSpec(0.21, 0.7, 13, 8.33, -1.87, 5)
@@ -852,15 +847,7 @@ def other_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(moved, "y", "x", "precip")
 
 
-@query(
-    with_views("daily")
-    + """, cols AS (SELECT r AS i, 0.21 + r * 0.7 AS tx,
-                  (SELECT x FROM (SELECT DISTINCT x FROM daily) ORDER BY ABS(x - (0.21 + r * 0.7)), x LIMIT 1) AS x FROM RANGE(13) t(r)),
-         rws AS (SELECT r AS j, 8.33 - r * 1.87 AS ty,
-                  (SELECT y FROM (SELECT DISTINCT y FROM daily) ORDER BY ABS(y - (8.33 - r * 1.87)), y LIMIT 1) AS y FROM RANGE(5) t(r))
-         SELECT t, ROUND(ty, 6) AS y, ROUND(tx, 6) AS x, ROUND(precip, 6) AS precip
-         FROM daily JOIN cols USING (x) JOIN rws USING (y)"""
-)
+@query(OTHER_GRID_SQL)
 def other_grid_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the grid known: the cube on a finer axis in x and a coarser, downward one in y."""
     target = GridSpec(0.21, 0.7, 13, 8.33, -1.87, 5)
