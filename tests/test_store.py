@@ -301,3 +301,14 @@ def test_calendar_bins_of_several_units(spark, frequency, start, want):
     )
     days.write.parquet(landing)
     assert [(t.isoformat()[:10], v) for t, _, v in run_months(spark, landing, out, state, frequency, start)] == want
+
+
+def test_a_tiled_store_holds_the_same_values(spark):
+    cube = spark.range(40 * 40 * 3).selectExpr(
+        "CAST(DATE'2026-01-01' + CAST(id % 3 AS INT) AS timestamp_ntz) AS t", "CAST(id DIV 120 AS DOUBLE) AS y", "CAST(id DIV 3 % 40 AS DOUBLE) AS x", "id * 0.5 AS precip"
+    )
+    stores = [PeriodStore(spark, scratch_path(spark, "tiled"), "daily", tile=tile) for tile in (None, (8.0, 8.0))]
+    for one in stores:
+        append_missing(cube, one, TEMPLATE, "2026-01-01", "2026-01-03")
+    plain, tiled = (sorted(tuple(r) for r in s.read("2026-01-02", "2026-01-03").select("t", "y", "x", "precip").collect()) for s in stores)
+    assert plain == tiled and len(plain) == 3200
