@@ -239,8 +239,8 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``row`` and ``score`` of every document.
 
-    Null and empty texts are scored by their statistics, all of them zero. Repeated rows each get a score;
-    without labels every score is a half. An empty table gives an empty result.
+    Null and empty texts are scored by their statistics, all of them zero; very long ones are counted whole. Repeated
+    rows each get a score; without labels every score is a half. An empty table gives an empty result.
     """
     stats = document_statistics(docs)
     return score(stats, fit(stats, labels))

@@ -162,8 +162,8 @@ def near_pairs(prints: DataFrame) -> DataFrame:
 def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, print, component_id)`` for every row of ``docs``.
 
-    Null and empty texts have fingerprint zero and link to each other like any others. Repeated rows each
-    return; a null id never is the smallest of its component, and a component of null ids alone has a null
+    Null and empty texts have fingerprint zero and link to each other like any others; very long ones are read whole, with their
+    bits counted piece by piece. Repeated rows each return; a null id never is the smallest of its component, and a component of null ids alone has a null
     component id. Equal fingerprints are joined before links are sought, so copies cost one row. An empty
     table gives an empty result.
     """
