@@ -383,7 +383,7 @@ def repair(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     named = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), *filled)
     named = settle(named.withColumn("key", F.md5(F.concat_ws(":", "role", "text"))).withColumn("rid", F.monotonically_increasing_id()), "turns")
     place = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "key", "rid")
-    firsts = named.where(F.col("text").rlike(some)).groupBy("conv_id", "key").agg(F.min(place)["rid"].alias("rid"))
+    firsts = named.where(F.col("text").rlike(some)).groupBy("conv_id", "role", "key").agg(F.min(place)["rid"].alias("rid"))
     fault = (
         F.when(~F.col("text").rlike(some), BLANK).when(F.col("first").isNull(), DUPLICATE)
         .when(~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"), CUT).otherwise(KEPT)

@@ -131,6 +131,7 @@ def test_reports_equal_brute_force(spark, chunk):
     rng = random.Random(chunk)
     rows = list(conversations(rng, 120))
     rows += [(500, t, rng.choice(["user", "assistant", "system"]), rng.choice(["A.", "b", f"c{t}.", ""])) for t in range(700)]
+    rows += [(501, 1, "user:a", "Hi."), (501, 2, "user", "a:Hi."), (501, 3, "user", "a:Hi.")]
     rows += [(None, 1, "user", "Hi."), (None, 2, "assistant", "Yes."), (7, 1, "user", "Hi."), (7, 1, "user", "Hi.")]
     rng.shuffle(rows)
     given = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, rid string")
