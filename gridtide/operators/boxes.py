@@ -31,24 +31,40 @@ def _levelled(boxes: DataFrame, side: str) -> DataFrame:
     return boxes.withColumns({f"__{side}x": x, f"__{side}y": y})
 
 
-def _tiled(boxes: DataFrame, side: str, other: str, levels: list[tuple[int, int]]) -> DataFrame:
-    """Each box once for every tile it lies on, on the coarser level of it and each level of the other side."""
-    pairs = F.array(*[F.struct(F.lit(x).alias(f"__{other}x"), F.lit(y).alias(f"__{other}y")) for x, y in levels])
-    rows = boxes.select("*", F.inline(pairs))
+def _tiled(boxes: DataFrame, side: str, levels: list[tuple[int, int]]) -> DataFrame:
+    """Each box once for every tile it lies on, on its own level and on the coarser ones that the other side has.
+
+    ``__kx`` and ``__ky`` are twice the level of the tiles, and one more where the right box is the coarser one, so
+    that a pair of boxes has one key on each axis.
+    """
+    pairs = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in levels])
+
+    def key(axis: str, other: Column) -> Column:
+        own = F.col(f"__{side}{axis}")
+        if side == "l":
+            return F.when(other > own, other * 2 + 1).otherwise(own * 2)
+        return F.when(other >= own, other * 2).otherwise(own * 2 + 1)
+
+    keys = F.transform(pairs, lambda p: F.struct(key("x", p["x"]).alias("__kx"), key("y", p["y"]).alias("__ky")))
+    rows = boxes.select(f"__{side}", *CORNERS, F.inline(F.array_distinct(keys)))
     for axis in ("x", "y"):
-        size = F.pow(F.lit(2.0), F.greatest(F.col(f"__l{axis}"), F.col(f"__r{axis}")))
-        low, high = (F.floor(F.col(f"{axis}{end}").cast("double") / size).cast("bigint") for end in ("min", "max"))
+        low, high = (F.floor(F.col(f"{axis}{end}") / _tile_size(axis)).cast("bigint") for end in ("min", "max"))
         rows = rows.withColumn(f"__t{axis}", F.explode(F.sequence(low, high)))
     return rows
 
 
+def _tile_size(axis: str) -> Column:
+    return F.pow(F.lit(2.0), F.shiftright(f"__k{axis}", 1))
+
+
 def meeting_boxes(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
     """Pairs ``(left_id, right_id)`` of all boxes that meet; touching counts as meeting.
 
     Both tables have the id and ``xmin``, ``ymin``, ``xmax``, ``ymax``. A box lies on at most two tiles an axis of
     a size near its own, and a pair of sizes uses the tiles of the larger, so boxes of very different sizes do not
     crowd one tile. A pair is kept only on the tile of the lower corner of what both share, which gives each pair
-    once. A box with a missing or upside-down coordinate meets everything, as far as anybody can say: it comes out
+    once. Spark takes the tiled tables for as small as the given ones, hence the hint: neither is to pass through the
+    driver. A box with a missing or upside-down coordinate meets everything, as far as anybody can say: it comes out
     once, with a null partner. The number of sizes in use is read first; it is bounded by the number of levels.
     """
     tables = []
@@ -66,15 +82,14 @@ def meeting_boxes(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     rest = no_box[0].union(no_box[1])
     if not levels[0] or not levels[1]:
         return rest
-    a = _tiled(tables[0], "l", "r", levels[1])
-    b = _tiled(tables[1], "r", "l", levels[0])
-    key = ["__lx", "__ly", "__rx", "__ry", "__tx", "__ty"]
+    a = _tiled(tables[0], "l", levels[1])
+    b = _tiled(tables[1], "r", levels[0])
+    key = ["__kx", "__ky", "__tx", "__ty"]
     renamed = b.select(*key, "__r", *[F.col(c).alias(f"__{c}") for c in CORNERS])
     here = F.lit(True)
     for axis in ("x", "y"):
-        size = F.pow(F.lit(2.0), F.greatest(F.col(f"__l{axis}"), F.col(f"__r{axis}")))
         corner = F.greatest(F.col(f"{axis}min"), F.col(f"__{axis}min"))
         overlap = (F.col(f"{axis}min") <= F.col(f"__{axis}max")) & (F.col(f"{axis}max") >= F.col(f"__{axis}min"))
-        here = here & overlap & (F.floor(corner / size).cast("bigint") == F.col(f"__t{axis}"))
-    pairs = a.join(renamed, key).filter(here)
+        here = here & overlap & (F.floor(corner / _tile_size(axis)).cast("bigint") == F.col(f"__t{axis}"))
+    pairs = a.hint("merge").join(renamed, key).filter(here)
     return pairs.select(F.col("__l").alias(left_id), F.col("__r").alias(right_id)).union(rest)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridtide.errors import GridError
+from gridtide.operators import boxes
 from gridtide.operators.areas import covered_shares
 from gridtide.operators.boxes import meeting_boxes
 from gridtide.operators.medians import weighted_median
@@ -52,6 +53,22 @@ def test_boxes_of_all_sizes_meet_once(spark):
     assert pairs_of(meeting_boxes(a.limit(0), b, "a", "b")) == [(None, 903)]
 
 
+def test_tiled_boxes_stay_few_and_out_of_the_driver(spark):
+    sizes = [0.0, 0.3, 0.9, 1.5, 3.0, 7.0, 15.0, 31.0]
+    rows = [(8 * i + j, 50.0 * i, 50.0 * j, 50.0 * i + w, 50.0 * j + h) for i, w in enumerate(sizes) for j, h in enumerate(sizes)]
+    a, b = spark.createDataFrame(rows, f"a long, {BOX}"), spark.createDataFrame(rows, f"b long, {BOX}")
+    met = meeting_boxes(a, b, "a", "b")
+    assert pairs_of(met) == brute_pairs(rows, rows)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    # a box goes to tiles of its own level and of coarser ones: half of the pairs of sizes on each axis, on one or two tiles
+    levelled = boxes._levelled(a.withColumnRenamed("a", "__l"), "l")
+    levels = [(r[0], r[1]) for r in levelled.select("__lx", "__ly").distinct().collect()]
+    copies = boxes._tiled(levelled, "l", levels)
+    kinds = copies.groupBy("__l").agg(F.countDistinct("__kx", "__ky").alias("n")).agg(F.sum("n")).first()[0]
+    assert kinds == sum(range(1, 9)) ** 2
+
+
 def grid(nx=6, ny=5):
     return GridSpec(0.5, 1.0, nx, 0.5, 1.0, ny)
 
