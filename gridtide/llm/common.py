@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +37,26 @@ def plain_lower(column):
     return F.translate(column, ASCII_UPPER, ASCII_LOWER)
 
 
-def slices(texts: list, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` bytes; a longer text stands alone."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        n = len(text or b"") + 1
+def ranges(sizes: Iterable[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of items that add up to about ``most``; a larger item stands alone."""
+    start = size = end = 0
+    for i, n in enumerate(sizes):
         if i > start and size + n > most:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+        end = i + 1
+    if start < end:
+        yield start, end
+
+
+def slices(texts: list, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes; a longer text stands alone."""
+    return ranges((len(text or b"") + 1 for text in texts), most)
+
+
+def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``SLICE_BYTES`` of text, so that what is made of the texts stays small."""
+    sizes = pc.binary_length(batch.column(column)).to_pylist()
+    for start, end in ranges((n or 0) + 1 for n in sizes):
+        yield batch.slice(start, end - start)

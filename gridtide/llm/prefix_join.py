@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridtide.llm.common import read_table, settle
+from gridtide.llm.common import pieces, read_table, settle
 from gridtide.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -114,7 +114,7 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, mean: float, percent: int = P
 def _sketch(words: int, percent: int, shared, fingerprint: Callable[[bytes | None], int] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, mean = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, 2)):
             texts = batch.column(2).cast(pa.large_binary())
             nodes, sizes, asked, skipped, tokens = [], [], [], [], []
             for text in texts:
@@ -135,7 +135,7 @@ def _sketch(words: int, percent: int, shared, fingerprint: Callable[[bytes | Non
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, 1)):
             texts = batch.column(1).cast(pa.large_binary())
             found = [shingles(t.as_py(), words).view(np.int64) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["cid", "shingles"])

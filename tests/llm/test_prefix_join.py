@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridtide.llm import prefix_join
@@ -86,3 +87,22 @@ def test_null_and_repeated_ids_extra_columns(spark):
     got = sorted((tuple(r) for r in prefix_join.jaccard_groups(docs).collect()), key=repr)
     assert got == sorted([(None, 46, 4), (None, 46, 4), (4, 47, 4), (4, 46, 4), (9, 0, 9), (None, 0, None)], key=repr)
     assert prefix_join.jaccard_groups(docs.limit(0)).collect() == []
+
+
+def test_sets_and_sketches_of_a_large_batch_come_in_parts():
+    texts = [None, "", "a b", *(" ".join(f"w{i}x{j}" for j in range(900)) for i in range(1000)), "long " * 500000, "a b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["cid", "text"])
+    parts = list(prefix_join._sets(5)(iter([batch])))
+    assert [c for p in parts for c in p.column(0).to_pylist()] == list(range(len(texts)))
+    found = [s for p in parts for s in p.column(1).to_pylist()]
+    assert all(s == prefix_join.shingles((t or "").encode()).view(np.int64).tolist() for s, t in zip(found, texts))
+    assert max(p.nbytes for p in parts) < 2 << 20
+
+    class Shared:
+        value = (np.ones(1 << prefix_join.BUCKET_BITS, dtype=np.uint16), 0.5)
+
+    rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).cast(pa.string()), batch.column(1)], ["doc_id", "row_key", "text"])
+    sketched = list(prefix_join._sketch(5, 80, Shared, None)(iter([rows])))
+    assert [i for p in sketched for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert [n for p in sketched for n in p.column(3).to_pylist()] == [len(s) for s in found]
+    assert len(sketched) == len(parts) > 5
