@@ -32,6 +32,8 @@ FIT_ROWS = 400_000
 FIT_PARTS = 12
 BINS, LEAST, MOST = 1024, -1.0, 2.0
 FIT_SHARE = 80
+#: Rows whose Fourier features are held at a time.
+FEATURE_ROWS = 1024
 
 
 def _classes() -> np.ndarray:
@@ -102,6 +104,11 @@ class Features:
         return np.hstack([cosines, np.ones((len(x), 1))])
 
 
+def _parts(rows: np.ndarray) -> Iterator[np.ndarray]:
+    for start in range(0, len(rows), FEATURE_ROWS):
+        yield rows[start : start + FEATURE_ROWS]
+
+
 def _columns(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in STATISTICS]).astype(float)
 
@@ -113,8 +120,10 @@ def _sums(features: Features):
         size = FOURIER + 2
         total = np.zeros((size, size))
         for batch in batches:
-            z = np.hstack([features(_columns(batch)), batch.column("label").to_numpy()[:, None]])
-            total += z.T @ z
+            rows = np.column_stack([_columns(batch), batch.column("label").to_numpy()])
+            for part in _parts(rows):
+                z = np.hstack([features(part[:, :-1]), part[:, -1:]])
+                total += z.T @ z
         i, j = np.triu_indices(size)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["i", "j", "value"])
 
@@ -149,7 +158,7 @@ class Model:
         self.centres, self.levels = np.zeros(1), np.full(1, 0.5)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.features(x) @ self.weights
+        return np.concatenate([np.empty(0), *(self.features(part) @ self.weights for part in _parts(x))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:

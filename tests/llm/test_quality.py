@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridtide.llm import quality
@@ -62,3 +63,25 @@ def test_few_labels_and_odd_rows(spark, labelled):
 def test_empty_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert quality.quality_scores(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect() == []
+
+
+def test_features_of_a_large_batch_are_held_in_parts():
+    rng = np.random.default_rng(2)
+    held = []
+
+    class Watched(quality.Features):
+        def __call__(self, x):
+            held.append(len(x))
+            return super().__call__(x)
+
+    size = len(quality.STATISTICS)
+    features = Watched(np.zeros(size), np.ones(size))
+    x, label = rng.normal(size=(5000, size)), rng.integers(0, 2, 5000).astype(float)
+    whole = np.hstack([quality.Features(np.zeros(size), np.ones(size))(x), label[:, None]])
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, x.T), pa.array(label)], [*quality.STATISTICS, "label"])
+    (sums,) = quality._sums(features)(iter([batch]))
+    assert np.allclose(sums.column("value").to_numpy(), (whole.T @ whole)[np.triu_indices(len(whole.T))])
+    weights = rng.normal(size=quality.FOURIER + 1)
+    assert np.allclose(quality.Model(features, weights).raw(x), whole[:, :-1] @ weights)
+    assert len(quality.Model(features, weights).raw(x[:0])) == 0
+    assert sum(held) == 10000 and max(held) <= 1024
