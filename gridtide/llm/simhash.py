@@ -138,7 +138,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def near_pairs(prints: DataFrame) -> DataFrame:
-    """Pairs ``(u, v)`` of different fingerprints within three bits, each once; ``prints`` has distinct ``print``."""
+    """Pairs ``(u, v)`` of different fingerprints within three bits, each once; ``prints`` has distinct ``print``.
+
+    Spark cannot foresee how many keys a fingerprint gives, so the join is hinted as a merge join and never broadcast.
+    """
     left = prints.select("print").mapInArrow(_keys_of(False), "key long, print long").withColumnRenamed("print", "u")
     right = prints.select("print").mapInArrow(_keys_of(True), "key long, print long").withColumnRenamed("print", "v")
     differ = "(u ^ v)"
@@ -154,7 +157,7 @@ def near_pairs(prints: DataFrame) -> DataFrame:
         f"CASE WHEN {high} = 0 THEN 0 WHEN {low} = 0 THEN 7 "
         f"WHEN bit_count({high}) = 1 THEN {near(0, high, low)} ELSE {near(1, low, high)} END"
     )
-    return left.join(right, "key").where(
+    return left.join(right.hint("merge"), "key").where(
         F.expr(f"u < v AND bit_count({differ}) <= {MAX_DIFFERENT_BITS} AND shiftright(key, {VALUE_BITS}) = {tag}")
     ).select("u", "v")
 
@@ -164,8 +167,8 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Null and empty texts have fingerprint zero and link to each other like any others; very long ones are read whole, with their
     bits counted piece by piece. Repeated rows each return; a null id never is the smallest of its component, and a component of null ids alone has a null
-    component id. Equal fingerprints are joined before links are sought, so copies cost one row. An empty
-    table gives an empty result.
+    component id. Equal fingerprints are joined before links are sought, so copies cost one row. Files of prints are a tenth
+    of what a broadcast of them takes, so these joins are merge joins too. An empty table gives an empty result.
     """
     prints = settle(
         docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(
@@ -175,10 +178,10 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
     distinct = settle(prints.groupBy("print").agg(F.min("doc_id").alias("least_id")), "distinct_prints")
     members = connected_components(near_pairs(distinct)).withColumnRenamed("node", "print")
-    placed = distinct.join(members, "print", "left").withColumn("root", F.coalesce("root", "print"))
+    placed = distinct.join(members.hint("merge"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = placed.join(least, "root").select("print", "component_id")
-    return prints.join(classes, "print").select("doc_id", "print", "component_id")
+    classes = placed.join(least.hint("merge"), "root").select("print", "component_id")
+    return prints.join(classes.hint("merge"), "print").select("doc_id", "print", "component_id")
 
 
 def op2_simhash_golay(spark, sf_dir: str) -> DataFrame:

@@ -73,6 +73,14 @@ def test_pairs_are_those_of_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_keys_and_prints_stay_out_of_the_driver(spark, tmp_path):
+    spark.range(500).selectExpr("xxhash64(id) AS print").write.parquet(f"{tmp_path}/prints")
+    docs = spark.createDataFrame([(i, f"w{i % 7} and others {i % 5}") for i in range(60)], "doc_id long, text string")
+    for found in (simhash.near_pairs(spark.read.parquet(f"{tmp_path}/prints")), simhash.simhash_groups(docs)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_groups_of_odd_rows(spark):
     rng = random.Random(8)
     base = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(200)) for _ in range(6)]
