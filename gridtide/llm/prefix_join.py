@@ -170,14 +170,14 @@ def hub_pairs(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Each class with the hub of each of its lists: the member whose shingle comes earliest for its size."""
     early = F.struct((F.col("place").cast("double") / F.col("n")).alias("early"), "cid", "n", "place", "matches")
     hubs = postings.groupBy("token").agg(F.min(early).alias("hub")).select("token", "hub.*")
-    found = postings.alias("p").join(hubs.alias("h"), "token").where("p.cid <> h.cid").where(_may_link(percent, "p", "h"))
+    found = postings.alias("p").join(hubs.hint("merge").alias("h"), "token").where("p.cid <> h.cid").where(_may_link(percent, "p", "h"))
     return found.select(F.expr("least(p.cid, h.cid)").alias("u"), F.expr("greatest(p.cid, h.cid)").alias("v")).distinct()
 
 
 def cross_pairs(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Candidates between components; ``postings`` has ``root``. Each pair has the matches that it needs."""
     mixed = postings.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    live = settle(postings.join(mixed.select("token"), "token").withColumn("reach", _reach(percent)), "live_postings")
+    live = settle(postings.join(mixed.select("token").hint("merge"), "token").withColumn("reach", _reach(percent)), "live_postings")
 
     def band(size: str) -> Column:
         return F.floor(F.log(F.expr(size).cast("double")) / math.log(BAND_RATIO)).cast("int")
@@ -209,7 +209,8 @@ def class_links(
     every = classes.select("cid", "n", "matches", "skipped", F.posexplode("tokens").alias("at", "token"))
     every = every.select("token", "cid", "n", (F.col("at") + F.col("skipped")).alias("place"), "matches")
     shared = every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    postings = settle(every.join(shared, "token"), "postings")
+    # a list of shingles has no size that Spark knows, so tables of postings are never broadcast
+    postings = settle(every.join(shared.hint("merge"), "token"), "postings")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct()
@@ -223,8 +224,8 @@ def class_links(
     hubs = hub_pairs(postings, percent)
     judged = settle(hubs if seeds is None else hubs.union(seeds).distinct(), "hub_pairs")
     first = links_of(judged, "hub")
-    members = settle(connected_components(first), "hub_members")
-    placed = postings.join(members.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    members = settle(connected_components(first), "hub_members").withColumnRenamed("node", "cid").hint("merge")
+    placed = postings.join(members, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     unseen = settle(cross_pairs(placed, percent).join(judged, ["u", "v"], "left_anti"), "cross_pairs")
     rest = links_of(unseen, "cross")
     return connected_components(first.union(rest))

@@ -106,3 +106,22 @@ def test_sets_and_sketches_of_a_large_batch_come_in_parts():
     assert [i for p in sketched for i in p.column(0).to_pylist()] == list(range(len(texts)))
     assert [n for p in sketched for n in p.column(3).to_pylist()] == [len(s) for s in found]
     assert len(sketched) == len(parts) > 5
+
+
+def test_postings_stay_out_of_the_driver(spark, monkeypatch):
+    from gridtide.llm.near_copies import fingerprint_pairs
+
+    plans = {}
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return settle(df, name)
+
+    settle = prefix_join.settle
+    monkeypatch.setattr(prefix_join, "settle", watched)
+    rows = [(i, " ".join(f"w{(i // 3) * 40 + j}" for j in range(40)) + f" end{i % 3}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = prefix_join.jaccard_groups(docs, seeds=fingerprint_pairs).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i // 3 * 3) for i in range(30)}
+    for name in ("postings", "hub_pairs", "live_postings"):
+        assert "SortMergeJoin" in plans[name] and "BroadcastExchange" not in plans[name]
