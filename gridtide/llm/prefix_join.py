@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridtide.llm.common import pieces, read_table, settle
+from gridtide.llm.common import passing, pieces, read_table, settle
 from gridtide.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -206,11 +206,7 @@ def class_links(
     ``classes`` has ``cid``, ``row_key``, ``n``, ``matches``, ``skipped`` and ``tokens``, ``texts`` has ``row_key`` and ``text``.
     ``seeds`` are further pairs ``(u, v)`` to be judged first.
     """
-    every = classes.select("cid", "n", "matches", "skipped", F.posexplode("tokens").alias("at", "token"))
-    every = every.select("token", "cid", "n", (F.col("at") + F.col("skipped")).alias("place"), "matches")
-    shared = every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    # a list of shingles has no size that Spark knows, so tables of postings are never broadcast
-    postings = settle(every.join(shared.hint("merge"), "token"), "postings")
+    spark = classes.sparkSession
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct()
@@ -219,16 +215,25 @@ def class_links(
         return settle(found.mapInArrow(_sets(words), "cid long, shingles array<long>"), "shingle_sets")
 
     def links_of(pairs: DataFrame, name: str) -> DataFrame:
-        return settle(verified(pairs, sets_of(pairs), percent), f"{name}_links")
+        with passing(spark) as keep:
+            return keep(verified(pairs, sets_of(pairs), percent), f"{name}_links")
 
-    hubs = hub_pairs(postings, percent)
-    judged = settle(hubs if seeds is None else hubs.union(seeds).distinct(), "hub_pairs")
-    first = links_of(judged, "hub")
-    members = settle(connected_components(first), "hub_members").withColumnRenamed("node", "cid").hint("merge")
-    placed = postings.join(members, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    unseen = settle(cross_pairs(placed, percent).join(judged, ["u", "v"], "left_anti"), "cross_pairs")
-    rest = links_of(unseen, "cross")
-    return connected_components(first.union(rest))
+    every = classes.select("cid", "n", "matches", "skipped", F.posexplode("tokens").alias("at", "token"))
+    every = every.select("token", "cid", "n", (F.col("at") + F.col("skipped")).alias("place"), "matches")
+    shared = every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    with passing(spark) as keep:
+        # a list of shingles has no size that Spark knows, so tables of postings are never broadcast
+        postings = settle(every.join(shared.hint("merge"), "token"), "postings")
+        hubs = hub_pairs(postings, percent)
+        judged = settle(hubs if seeds is None else hubs.union(seeds).distinct(), "hub_pairs")
+        first = links_of(judged, "hub")
+        members = settle(connected_components(first), "hub_members")
+        members = members.withColumnRenamed("node", "cid").hint("merge")
+        placed = postings.join(members, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        with passing(spark) as keep_pairs:
+            unseen = keep_pairs(cross_pairs(placed, percent).join(judged, ["u", "v"], "left_anti"), "cross_pairs")
+        rest = links_of(unseen, "cross")
+        return keep(connected_components(first.union(rest)), "class_members")
 
 
 def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -260,17 +265,19 @@ def jaccard_groups(
     shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(rows, words))
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"doc_id {kind}, row_key string, node binary, n int, matches int, skipped int, tokens array<long>, print long"
-    sketches = settle(rows.mapInArrow(_sketch(words, percent, shared, fingerprint), schema), "sketches")
-    named = sketches.where("n > 0")
-    one = F.first(F.struct("row_key", "n", "matches", "skipped", "tokens", "print")).alias("one")
-    classes = named.groupBy("node").agg(F.min("doc_id").alias("least_id"), one).select("node", "least_id", "one.*")
-    classes = settle(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    with passing(docs.sparkSession) as keep:
+        sketches = settle(rows.mapInArrow(_sketch(words, percent, shared, fingerprint), schema), "sketches")
+        one = F.first(F.struct("row_key", "n", "matches", "skipped", "tokens", "print")).alias("one")
+        classes = sketches.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), one).select("node", "least_id", "one.*")
+        classes = keep(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        sizes = keep(sketches.select("doc_id", "node", "n"), "set_sizes")
+    named = sizes.where("n > 0")
     first = None if seeds is None else seeds(classes.select("cid", "print"))
     members = class_links(classes, rows.select("row_key", "text"), words, percent, first).withColumnRenamed("node", "cid")
     placed = classes.select("node", "cid", "least_id").join(members, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     component = placed.join(least, "root").select("node", "component_id")
-    alone = sketches.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = sizes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.join(component, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
 
 

@@ -27,3 +27,9 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to its end."""
     return exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all that is in it; nothing happens if it does not exist."""
+    system, target = _handle(spark, path)
+    system.delete(target, True)
